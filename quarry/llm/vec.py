@@ -122,7 +122,7 @@ def words(data: np.ndarray, off: np.ndarray, normalised: bool = False) -> tuple[
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, block: int = 1 << 21) -> np.ndarray:
-    """64-bit hash of each word, worked off in blocks so that memory stays flat for any text length."""
+    """64-bit hash of each byte range (ends ascending), worked off in blocks so that memory stays flat for any text length."""
     out = np.empty(len(s), U64)
     inv = inverse(_P)
     i = 0
@@ -139,7 +139,7 @@ def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, block: int = 1 <
         else:
             c = np.zeros(b - a + 1, U64)
             np.cumsum(_BYTE[data[a:b]] * powers(_P, b - a), out=c[1:])
-            out[i:j] = (c[e[i:j] - a] - c[s[i:j] - a]) * powers(inv, b - a)[s[i:j] - a]
+            out[i:j] = (c[e[i:j] - a] - c[s[i:j] - a]) * powers(inv, b - a + 1)[s[i:j] - a]
         i = j
     return mix(out + (e - s).astype(U64))
 
