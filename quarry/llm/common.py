@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import vec
 
 #: A side is broadcast only when its rows, counted first, are known to stay below this.
@@ -81,7 +82,7 @@ def docs_only(docs: DataFrame, *cols: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def long_id(c: str = "doc_id") -> Column:
