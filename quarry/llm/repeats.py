@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import docs_only, joined, lists, saved
+from .common import docs_only, lists, saved
 
 LENGTH, K = 50, 10
 #: A longer run of L-grams with one minimizer (periodic text) is split, so windows stay short.
@@ -56,44 +56,71 @@ def windows_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int =
     return mm[start], d, a - first[d], n, name.view(np.int64), s[a] - off[d], e[a + n - 1] - off[d]
 
 
-def _rows(length: int, k: int, content: bool):
+def _rows(length: int, k: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in vec.pieces(it, "text"):
+            data, off = vec.buffers(b.column("text"))
+            m, d, at, n, name, _, _ = windows_of(data, off, length, k)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(ids[d]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name)], ["minimizer", "doc_id", "at", "n", "name"])
+
+    return run
+
+
+def _contents(length: int, k: int):
+    """The words of the windows listed in `wanted` (name, at, last_doc) of each row."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vec.pieces(it, "text"):
             data, off = vec.buffers(b.column("text"))
             m, d, at, n, name, lo, hi = windows_of(data, off, length, k)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            cols = [pa.array(m.view(np.int64)), pa.array(ids[d]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name)]
-            names = ["minimizer", "doc_id", "at", "n", "name"]
-            if content:
-                wanted = b.column("wanted")
-                sets, base = np.asarray(wanted.flatten()), np.asarray(wanted.offsets)
-                # membership of (document, name) pairs, all at once
-                pairs = np.stack([np.repeat(np.arange(len(base) - 1), np.diff(base)), sets], 1).astype(np.int64)
-                own = np.stack([d, name], 1)
-                keep = np.isin(own.view("i8,i8").ravel(), np.ascontiguousarray(pairs).view("i8,i8").ravel()) if len(pairs) else np.zeros(len(d), bool)
-                texts = [bytes(data[x:y]) for x, y in zip((lo + off[d])[keep].tolist(), (hi + off[d])[keep].tolist())]
-                yield pa.RecordBatch.from_arrays([cols[0].filter(pa.array(keep)), cols[4].filter(pa.array(keep)), cols[3].filter(pa.array(keep)), pa.array(texts, pa.binary())], ["minimizer", "name", "n", "words"])
-            else:
-                yield pa.RecordBatch.from_arrays(cols, names)
+            wanted = b.column("wanted")
+            sets = wanted.flatten()
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(wanted.offsets)))
+            names, places, last = (np.asarray(sets.field(c)) for c in ("name", "at", "last_doc"))
+            asked = (row << 32) | places  # a row asks for a place once at most
+            order = np.argsort(asked)
+            asked = asked[order]
+            own = (d.astype(np.int64) << 32) | at
+            i = np.searchsorted(asked, own)
+            i[i == len(asked)] = 0
+            keep = (asked[i] == own) & (names[order][i] == name) if len(asked) else np.zeros(len(own), bool)
+            texts = [bytes(data[x:y]) for x, y in zip((lo + off[d])[keep].tolist(), (hi + off[d])[keep].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(m.view(np.int64)[keep]), pa.array(name[keep]), pa.array(n[keep].astype(np.int32)), pa.array(texts, pa.binary()), pa.array(ids[d][keep]), pa.array(at[keep].astype(np.int32)), pa.array(last[order][i[keep]] if len(asked) else np.zeros(0, np.int64))],
+                ["minimizer", "name", "n", "words", "first_doc", "first_at", "last_doc"],
+            )
 
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, windows): doc_id, at, n, name, minimizer of all windows whose minimizer stands in two documents, and
-    minimizer, name, n, words, first_doc, first_at (where it stands first), last_doc of the distinct ones."""
+def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(occurrences, windows, involved): doc_id, at, n, name, minimizer of all windows whose minimizer stands in two documents;
+    minimizer, name, n, words, first_doc, first_at (where it stands first), last_doc of the distinct ones, once for each row of a repeated
+    doc_id; and the documents (doc_id, text) that have such windows, no others having repeats. All texts are shuffled once, to meet the list of their
+    windows; from there on only the documents involved move."""
     whole = docs_only(docs, "doc_id", "text").where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = whole.mapInArrow(_rows(length, k, False), "minimizer long, doc_id long, at int, n int, name long")
-    every = saved(every, "windows")
+    every = saved(whole.mapInArrow(_rows(length, k), "minimizer long, doc_id long, at int, n int, name long"), "windows")
     often = every.groupBy("minimizer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("minimizer")
     seen = saved(every.join(often, "minimizer").distinct(), "repeated-windows")
-    first = seen.groupBy("name").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last_doc"))
-    first = saved(first.select("name", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), "last_doc"), "window-firsts")
-    # the words of a window are fetched from the first document that has it, and only there
-    wanted = saved(first.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list("name").alias("wanted")), "wanted")
-    source = joined(whole, wanted, "doc_id", "inner", 400)
-    content = source.mapInArrow(_rows(length, k, True), "minimizer long, name long, n int, words binary").dropDuplicates(["name"])
-    return seen, saved(content.join(first, "name"), "distinct-windows")
+    by_name = seen.groupBy("name").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last_doc"))
+    asked = F.struct("name", F.col("first.at").alias("at"), "last_doc")
+    wanted = by_name.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(asked).alias("wanted"))
+    none = F.expr("cast(array() as array<struct<name: bigint, at: int, last_doc: bigint>>)")
+    lists_ = saved(seen.select("doc_id").distinct().join(wanted, "doc_id", "left").select("doc_id", F.coalesce("wanted", none).alias("wanted")), "wanted")
+    involved = saved(whole.join(lists_, "doc_id"), "involved")
+    content = involved.where("size(wanted) > 0").mapInArrow(_contents(length, k), "minimizer long, name long, n int, words binary, first_doc long, first_at int, last_doc long")
+    return seen, saved(content, "distinct-windows"), involved.select("doc_id", "text")
+
+
+def once(t: pa.Table) -> pa.Table:
+    """Of windows that have one name, one: the first in corpus order."""
+    t = t.sort_by([("name", "ascending"), ("first_doc", "ascending"), ("first_at", "ascending")]).combine_chunks()
+    name = np.asarray(t.column("name"))
+    new = np.ones(len(name), bool)
+    new[1:] = name[1:] != name[:-1]
+    return t if new.all() else t.filter(pa.array(new)).combine_chunks()
 
 
 def sharded(windows: DataFrame, words: int = SHARD_WORDS) -> DataFrame:
@@ -149,7 +176,7 @@ FOLD = """aggregate({rs}, cast(array() as array<struct<lo: int, hi: int>>), (acc
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, repeated, removed and the text without the removed ranges of words, for the documents in spans."""
+    """doc_id, repeated, removed and the text without the removed ranges of words, for the documents in spans. docs: the ones involved."""
 
     def f(t: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
         out = []
@@ -164,5 +191,5 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     f.__annotations__ = {"t": pa.Array, "lo": pa.Array, "hi": pa.Array, "return": pa.Array}
-    both = joined(docs_only(docs, "doc_id", "text").where("text is not null").withColumn("doc_id", F.col("doc_id").cast("long")), saved(spans, "spans"), "doc_id", "inner", 200)
+    both = docs.join(saved(spans, "spans"), "doc_id")
     return both.select("doc_id", "repeated", "removed", F.arrow_udf("string")(f)("text", "removed.lo", "removed.hi").alias("text"))

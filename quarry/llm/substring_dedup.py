@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import vec
 from .automaton import SuffixAutomaton
 from .common import docs_only, text_udf
-from .repeats import K, LENGTH, MARKS, joined_ranges, placed, repeated_windows, sharded, without_spans
+from .repeats import K, LENGTH, MARKS, joined_ranges, once, placed, repeated_windows, sharded, without_spans
 
 SHARD_WORDS = 150_000
 
@@ -47,7 +47,7 @@ def maximal(automaton: SuffixAutomaton, words: list, length: int):
 
 def marks_of(length: int):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("first_doc", "ascending"), ("first_at", "ascending"), ("name", "ascending")]).combine_chunks()
+        t = once(t).sort_by([("first_doc", "ascending"), ("first_at", "ascending"), ("name", "ascending")]).combine_chunks()
         data, off = vec.buffers(t.column("words"))
         s, e, first = vec.words(data, off)
         _, ids = np.unique(vec.word_hashes(data, s, e), return_inverse=True)
@@ -84,14 +84,19 @@ def marks_of(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, repeated, removed (ranges of words)."""
-    seen, windows = repeated_windows(docs, length, k)
+    return _spans(docs, length, k)[0]
+
+
+def _spans(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
+    seen, windows, involved = repeated_windows(docs, length, k)
     marks = sharded(windows, SHARD_WORDS).groupBy("shard").applyInArrow(marks_of(length), MARKS)
-    return placed(seen, marks)
+    return placed(seen, marks), involved
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, repeated, removed and the remaining text, for every document with a repeated passage."""
-    return without_spans(docs, repeated_spans(docs, length, k))
+    spans, involved = _spans(docs, length, k)
+    return without_spans(involved, spans)
 
 
 _built: dict[str, SuffixAutomaton] = {}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from . import vec
 from .common import shared
-from .repeats import K, LENGTH, MARKS, placed, ranges, repeated_windows, sharded, without_spans
+from .repeats import K, LENGTH, MARKS, once, placed, ranges, repeated_windows, sharded, without_spans
 
 #: Columns of the external file: parent key, window, suffix length, common prefix, preceding symbol.
 COLUMNS = (("key", np.uint64), ("win", np.int32), ("len", np.int32), ("lcp", np.int32), ("bwt", np.int32))
@@ -143,7 +143,7 @@ def marks_of(folder: str, length: int):
     """Marks of one shard's windows."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
+        t = once(t)
         data, off = vec.buffers(t.column("words"))
         s, e, first = vec.words(data, off)
         _, symbols = np.unique(vec.word_hashes(data, s, e), return_inverse=True)
@@ -176,12 +176,17 @@ def marks_of(folder: str, length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, repeated, removed (ranges of words)."""
-    seen, windows = repeated_windows(docs, length, k)
+    return _spans(docs, length, k)[0]
+
+
+def _spans(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
+    seen, windows, involved = repeated_windows(docs, length, k)
     folder = shared(docs.sparkSession)
     marks = sharded(windows).groupBy("shard").applyInArrow(marks_of(folder, length), MARKS)
-    return placed(seen, marks)
+    return placed(seen, marks), involved
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, repeated, removed and the remaining text, for every document with a repeated passage."""
-    return without_spans(docs, repeated_spans(docs, length, k))
+    spans, involved = _spans(docs, length, k)
+    return without_spans(involved, spans)
