@@ -11,7 +11,8 @@ small beside the corpus.
 `substring_dedup` cleans a corpus against itself: a span goes where a document with a smaller doc_id has it. Here the
 reference grows with the corpus, and broadcasting it would not hold. The windows of repeats.py, which provably hold all
 repeats, are collected in shards by minimizer; equal passages are always in the same shard, so an automaton goes
-only to the task that streams its shard, window by window in corpus order, each matched before it is added.
+only to the task that streams its shard, window by window in corpus order, each matched before it is added; a second pass in the
+opposite order finds what stands in later documents.
 
 Edge cases: null texts and null doc_ids take no part; texts shorter than LENGTH words match nothing; rows that repeat a doc_id are one
 document; an empty reference or table removes nothing; a document may lose all its text; extra columns are ignored.
@@ -45,6 +46,22 @@ def maximal(automaton: SuffixAutomaton, words: list, length: int):
         yield held[0] + 1 - held[1], held[0] + 1, held[2]
 
 
+def earlier_matches(doc: np.ndarray, order: np.ndarray, ids: np.ndarray, first: np.ndarray, length: int):
+    """(window, first, end) of the maximal spans of each window that a document before its own, in this order, has."""
+    automaton = SuffixAutomaton()
+    pending: list[list] = []
+    before = None
+    for w in order.tolist():
+        if doc[w] != before:  # a new document: the ones before it are reference now
+            for seq in pending:
+                automaton.add(seq)
+            pending, before = [], doc[w]
+        seq = ids[first[w] : first[w + 1]].tolist()
+        pending.append(seq)
+        for a, b, _ in maximal(automaton, seq, length):
+            yield w, a, b
+
+
 def marks_of(length: int):
     def run(t: pa.Table) -> pa.Table:
         t = once(t).sort_by([("first_doc", "ascending"), ("first_at", "ascending"), ("name", "ascending")]).combine_chunks()
@@ -52,31 +69,13 @@ def marks_of(length: int):
         s, e, first = vec.words(data, off)
         _, ids = np.unique(vec.word_hashes(data, s, e), return_inverse=True)
         doc, last = t.column("first_doc").to_numpy(), t.column("last_doc").to_numpy()
-        automaton = SuffixAutomaton()
-        begin: list[int] = []  # running number of each added window's first word
-        added: list[int] = []
-        shared, later = [], []
-        own = np.searchsorted(doc, doc, "left")
-        pending: list[tuple[int, list]] = []
-        for w in range(len(doc)):
-            if own[w] == w:  # a new document: the ones before it are reference now
-                for x, seq in pending:
-                    begin.append(automaton.size)
-                    added.append(x)
-                    automaton.add(seq)
-                pending = []
-            seq = ids[first[w] : first[w + 1]].tolist()
-            pending.append((w, seq))
-            for a, b, v in maximal(automaton, seq, length):
-                later.append((w, a, b))
-                end = automaton.end[v] + 1
-                k = int(np.searchsorted(begin, end - 1, "right")) - 1
-                shared.append((added[k], end - (b - a) - begin[k], end - begin[k]))
-            if last[w] != doc[w]:  # further documents have the whole window
-                shared.append((w, 0, len(seq)))
-        both = np.array(shared + later, np.int64).reshape(-1, 3)
-        late = np.array(later, np.int64).reshape(-1, 3)
         n = len(doc)
+        later = list(earlier_matches(doc, np.arange(n), ids, first, length))
+        # what documents after it have is shared as well; of a window that further documents have, all of it
+        shared = later + list(earlier_matches(doc, np.arange(n)[::-1], ids, first, length))
+        shared += [(w, 0, first[w + 1] - first[w]) for w in np.flatnonzero(last != doc).tolist()]
+        both = np.array(shared, np.int64).reshape(-1, 3)
+        late = np.array(later, np.int64).reshape(-1, 3)
         return pa.table({"name": t.column("name"), "first_doc": t.column("first_doc"), "shared": joined_ranges(both[:, 0], both[:, 1], both[:, 2], n), "later": joined_ranges(late[:, 0], late[:, 1], late[:, 2], n)})
 
     return run
