@@ -14,7 +14,7 @@ def bound(term: Column, args: Column, results: Column | None = None) -> Column:
     """term with arguments in place of parameters (and results of r<i>); null where one is missing."""
 
     def token(t: Column) -> Column:
-        i = F.expr("cast(0 as int)") if False else F.substring(t, F.lit(2), F.length(t)).try_cast("int") + 1
+        i = F.substring(t, F.lit(2), F.length(t)).try_cast("int") + 1
         out = F.when(t.rlike("^p[0-9]+$"), F.try_element_at(args, i))
         if results is not None:
             out = out.when(t.rlike("^r[0-9]+$"), F.try_element_at(results, i))

@@ -63,10 +63,22 @@ def resolve_invokes(calls: DataFrame, methods: DataFrame, required: DataFrame) -
     return loose.unionByName(strict).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None, small: int = SMALL) -> DataFrame:
     """node: everything reachable from seeds (node), seeds included."""
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct()
+    e = saved(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct(), "reach-edges")
     seen = saved(seeds.select("node").where("node is not null").distinct(), "seen")
+    if max_rounds is None and e.count() <= small and seen.count() <= small:
+        out = defaultdict(list)
+        for r in e.toLocalIterator():
+            out[r[0]].append(r[1])
+        todo = [r[0] for r in seen.toLocalIterator()]
+        found = set(todo)
+        while todo:
+            for b in out[todo.pop()]:
+                if b is not None and b not in found:
+                    found.add(b)
+                    todo.append(b)
+        return e.sparkSession.createDataFrame([(n,) for n in sorted(found)], f"node {dict(seen.dtypes)['node']}")
     frontier, parts, rounds = seen, [seen], 0
     while not frontier.isEmpty() and (max_rounds is None or rounds < max_rounds):
         step = frontier.join(e, "node").select(F.col("to").alias("node")).distinct()
@@ -84,12 +96,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def callers_closure(call_edges: DataFrame, seeds: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def callers_closure(call_edges: DataFrame, seeds: DataFrame, known: DataFrame | None = None, small: int = SMALL) -> DataFrame:
     """func: seeds and all that call them, directly or not. Seeds that `known` (func) lacks are dropped."""
     s = seeds.select(F.col("func").alias("node"))
     if known is not None:
         s = s.join(known.select(F.col("func").alias("node")).distinct(), "node", "left_semi")
-    return reach(call_edges, s, "callee", "caller").withColumnRenamed("node", "func")
+    return reach(call_edges, s, "callee", "caller", small=small).withColumnRenamed("node", "func")
 
 
 def closure(edges: DataFrame, part: str | None = None) -> DataFrame:
@@ -165,7 +177,7 @@ def scc(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     return scc_distributed(every, e)
 
 
-def scc_distributed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def scc_distributed(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """Colouring: nodes without a way in or out are components of their own and go; then every node takes the smallest
     colour that reaches it, and of each colour what reaches its root backwards within the colour is a component."""
     done: list[DataFrame] = []
@@ -192,7 +204,7 @@ def scc_distributed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         own = e.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst")
         own = saved(own, "own-colour")
         roots = colour.where("node = c").select("node")
-        back = saved(reach(own, roots, "dst", "src").join(colour, "node").select("node", F.col("c").alias("scc")), "scc-found")
+        back = saved(reach(own, roots, "dst", "src", small=small).join(colour, "node").select("node", F.col("c").alias("scc")), "scc-found")
         done.append(back)
         left = saved(left.join(back, "node", "left_anti"), "left")
         e = saved(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"), "scc-edges")

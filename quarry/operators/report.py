@@ -121,12 +121,11 @@ def ordered(findings: DataFrame, ranks: dict[str, int] | None = None) -> DataFra
 
 
 def normal_form(source: Column) -> Column:
-    """A source line with its particulars taken out: strings read S, identifiers I, numbers N, white space one blank."""
-    s = F.regexp_replace(source, r'"[^"]*"', " \u0001 ")
-    s = F.regexp_replace(s, r"[A-Za-z_][A-Za-z0-9_]*", "I")
-    s = F.regexp_replace(s, r"[0-9]+", "N")
-    s = F.regexp_replace(s, "\u0001", "S")
-    return F.trim(F.regexp_replace(s, r"[ \t\r\n\x0b\x0c]+", " "))
+    """A source line with its particulars taken out: strings read S, identifiers I, numbers N, runs of blanks one blank."""
+    s = F.regexp_replace(source, r'"[^"]*"|`[^`]*`', "\u0002")
+    for pattern, to in ((r"[A-Za-z_][A-Za-z0-9_]*", "I"), (r"[0-9]+", "N"), ("\u0002", "S"), (r"[ \t]+", " "), ("^ ", ""), (" $", "")):
+        s = F.regexp_replace(s, pattern, to)
+    return s
 
 
 def triage_classes(df: DataFrame, tag: Column, source: Column) -> DataFrame:
