@@ -177,7 +177,7 @@ def locate(path: str) -> list[tuple[str, str, int, int, str]]:
                     x = json.loads(line[line.index("{") :])
                     member, method_, size, at = archives[x["filename"].rpartition("/")[2]]
                     offset, length = int(x["offset"]), int(x["length"])
-                    if offset < 0 or length <= 0 or offset + length > size:
+                    if offset < 0 or length <= 0 or (method_ == zipfile.ZIP_STORED and offset + length > size):
                         raise ValueError(line)
                 except (ValueError, KeyError, TypeError):
                     out.append((path, name, None, None, "bad index"))
@@ -331,7 +331,7 @@ def package(rows: list[tuple], out, zip64: bool = False, compressed: bool = Fals
         if index:
             with z.open(_info("indexes/index.cdx.gz", zipfile.ZIP_STORED), "w", force_zip64=zip64) as f:
                 f.write(gzip.compress("\n".join(lines).encode("utf-8"), 1))
-        with z.open(_info("datapackage.json", zipfile.ZIP_DEFLATED), "w") as f:
+        with z.open(_info("datapackage.json", zipfile.ZIP_DEFLATED), "w", force_zip64=zip64) as f:
             f.write(json.dumps({"profile": "data-package", "resources": [{"path": "archive/data.warc.gz"}]}).encode())
 
 
