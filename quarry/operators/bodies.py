@@ -27,9 +27,9 @@ CANDIDATES = "spawner string, callee string, helper string, kind string, op_bloc
 
 
 def bodies(facts: dict[str, DataFrame]) -> DataFrame:
-    """func, body (struct of arrays); facts: param, freevar, value, block, cfg_edge, instr, select_arm."""
+    """func, body (struct of arrays); facts: param, freevar, value (with sort for the checkers), block, cfg_edge, instr, select_arm."""
     out = facts["block"].groupBy("func").agg((F.max("b") + 1).alias("n"))
-    for name, cols in (("param", ["idx", "vid"]), ("freevar", ["idx", "vid"]), ("value", ["vid", "kind", "ref_name", "const_kind", "const_int"]), ("cfg_edge", ["src", "succ_pos", "dst"]), ("instr", ["b", "i", "op", "dst", "a0", "a1", "a2", "a3", "operands", "field", "sub", "callee_kind", "callee", "blocking", "file", "line", "col"]), ("select_arm", ["b", "i", "arm", "dir", "chan", "send"])):
+    for name, cols in (("param", ["idx", "vid"]), ("freevar", ["idx", "vid"]), ("value", ["vid", "kind", "ref_name", "const_kind", "const_int", "const_bool", *(["sort"] if "sort" in facts["value"].columns else [])]), ("cfg_edge", ["src", "succ_pos", "dst", "pred_pos"]), ("instr", ["b", "i", "op", "dst", "a0", "a1", "a2", "a3", "operands", "field", "sub", "callee_kind", "callee", "blocking", "file", "line", "col"]), ("select_arm", ["b", "i", "arm", "dir", "chan", "send"])):
         out = out.join(facts[name].groupBy("func").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name)), "func", "left")
     return out.select("func", F.struct("n", "param", "freevar", "value", "cfg_edge", "instr", "select_arm").alias("body"))
 
@@ -330,6 +330,7 @@ def leaks(df: DataFrame, summary: DataFrame) -> DataFrame:
 def leak_message(kind: str = "kind", callee: str = "callee", helper: str = "helper") -> F.Column:
     """The text of a leak finding; it names no position."""
     inside = F.coalesce(F.concat(F.lit(" in helper "), helper), F.lit(""))
-    what = F.when(F.col(kind) == "Send", F.concat(F.lit("send"), inside, F.lit(" on a spawner-created channel with no receive, close, or select in the spawning environment")))
-    what = what.when(F.col(kind) == "Recv", F.concat(F.lit("receive"), inside, F.lit(" on a spawner-created channel with no send, close, or select")))
+    place, close = " on a spawner-created channel with no ", ", close, or select"
+    what = F.when(F.col(kind) == "Send", F.concat(F.lit("send"), inside, F.lit(f"{place}receive{close} in the spawning environment")))
+    what = what.when(F.col(kind) == "Recv", F.concat(F.lit("receive"), inside, F.lit(f"{place}send{close}")))
     return F.concat(F.lit("goroutine "), callee, F.lit(" may block forever: "), what.otherwise(F.concat(F.lit("blocking select"), inside, F.lit(" whose channels have no counterpart operations"))))

@@ -123,7 +123,7 @@ def ordered(findings: DataFrame, ranks: dict[str, int] | None = None) -> DataFra
 def normal_form(source: Column) -> Column:
     """A source line with its particulars taken out: strings read S, identifiers I, numbers N, runs of blanks one blank."""
     s = F.regexp_replace(source, r'"[^"]*"|`[^`]*`', "\u0002")
-    for pattern, to in ((r"[A-Za-z_][A-Za-z0-9_]*", "I"), (r"[0-9]+", "N"), ("\u0002", "S"), (r"[ \t]+", " "), ("^ ", ""), (" $", "")):
+    for pattern, to in ((r"[a-zA-Z_][0-9a-zA-Z_]*", "I"), (r"[0-9]+", "N"), ("\u0002", "S"), (r"[ \t]+", " "), ("^ ", ""), (" $", "")):
         s = F.regexp_replace(s, pattern, to)
     return s
 

@@ -329,7 +329,7 @@ ORACLES: dict[str, str] = {
         judged AS (SELECT *, CASE WHEN {_IGNORED} THEN 'ignored' WHEN {_KNOWN} THEN 'baseline' ELSE 'kept' END AS status FROM printed p)
         SELECT {_COLS.replace("severity", "CASE WHEN status = 'kept' THEN 'error' ELSE severity END AS severity")}, status FROM judged""",
     "triage_classes": r"""WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents),
-        n AS (SELECT lang, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '"[^"]*"|`[^`]*`', chr(2), 'g'), '[A-Za-z_][A-Za-z0-9_]*', 'I', 'g'), '[0-9]+', 'N', 'g'), chr(2), 'S', 'g'), '[ \t]+', ' ', 'g') AS s FROM l)
+        n AS (SELECT lang, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '"[^"]*"|`[^`]*`', chr(2), 'g'), '[a-zA-Z_][0-9a-zA-Z_]*', 'I', 'g'), '[0-9]+', 'N', 'g'), chr(2), 'S', 'g'), '[ \t]+', ' ', 'g') AS s FROM l)
         SELECT lang || '|' || regexp_replace(regexp_replace(s, '^ ', ''), ' $', '') AS class, count(*) AS n FROM n GROUP BY 1""",
     "sanitize_text": r"SELECT page_id, regexp_replace(replace(html, chr(9), ' '), '[\x00-\x1f\x7f]', '', 'g') AS html FROM pages",
     "call_graph_resolve": """WITH req AS (SELECT n_nationkey AS iface, unnest(['Brand#' || (1 + n_nationkey), 'Brand#' || (1 + (n_nationkey + 7) % 25)]) AS m FROM nation),

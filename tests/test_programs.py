@@ -77,7 +77,7 @@ def test_summaries(spark):
     f = p.facts(spark)
     edges = spark.createDataFrame([("CloseAll", "(*F).Close"), ("RenameAll", "(*T).Rename"), ("Fan", "Fan$1")], "caller string, callee string")
     s = bodies.summaries(bodies.bodies(f), f["func"], edges)
-    everything = "effects={spawns:Unbounded chan:{?:[Make,Send,Recv,Close,Select]} locks:{?:[Lock,Unlock,RLock,RUnlock,DeferredUnlock,DeferredRUnlock]}}"
+    everything = "effects={spawns:Unbounded chan:{?:[%s]} locks:{?:[%s]}}" % (",".join(effects.CHAN_OPS), ",".join(effects.LOCK_OPS))
     got = {r.func: r.line for r in effects.text(s).collect()}
     assert got == {
         "(*F).Close": "(*F).Close effects={spawns:None chan:{} locks:{p0.f0:[Lock,DeferredUnlock]}}", "(*T).Rename": f"(*T).Rename {everything}",
@@ -153,7 +153,7 @@ def test_leaks(leaky):
     got = bodies.leaks(df, summary)
     assert {r.spawner for r in got.collect()} == {"LeakSend", "LeakRecv", "LeakLoop", "LeakBuffered", "LeakSelect", "LeakHelper", "LeakDeferHelper", "LeakParam"}
     text = {r.spawner: r.m for r in got.withColumn("m", bodies.leak_message()).collect()}
-    assert text["LeakHelper"] == "goroutine LeakHelper$1 may block forever: send in helper helper on a spawner-created channel with no receive, close, or select in the spawning environment"
+    assert text["LeakHelper"] == "goroutine LeakHelper$1 may block forever: send in helper helper on a spawner-created " + "channel with no receive, close, or select in the spawning environment"
     assert text["LeakSelect"] == "goroutine LeakSelect$1 may block forever: blocking select whose channels have no counterpart operations"
     assert {(r.capacity, r.cap) for r in got.where("spawner = 'LeakBuffered'").collect()} == {("Buffered", 1)}
 
