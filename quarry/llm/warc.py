@@ -52,7 +52,7 @@ def opened(path: str):
     return fs.open_input_file(at)
 
 
-# -- the ZIP directory -------------------------------------------------------------------------------------
+# -- the ZIP directory
 
 
 def directory(f, size: int) -> list[tuple[str, int, int, int]]:
@@ -210,7 +210,7 @@ def located(paths: DataFrame) -> DataFrame:
     return docs_only(paths, "path").mapInArrow(run, LOCATED)
 
 
-# -- records ---------------------------------------------------------------------------------------------
+# -- records
 
 
 def _fields(block: bytes) -> tuple[str, dict[str, str]]:
@@ -296,7 +296,7 @@ def records(locators: DataFrame) -> DataFrame:
     return spread.mapInArrow(_read, RECORDS)
 
 
-# -- packages --------------------------------------------------------------------------------------------
+# -- packages
 
 
 def record(page_id, url, html) -> bytes:
