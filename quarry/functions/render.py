@@ -88,10 +88,11 @@ def sarif_report(flagged: DataFrame, tool: str = "quarry") -> str:
                 x["suppressions"] = [{"kind": how[r["status"]]}]
             results.append(x)
     rules = [{"id": k, "shortDescription": {"text": v}} for k, v in RULES.items()]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]}, indent=2, ensure_ascii=False) + "\n"
+    run = {"tool": {"driver": dict(name=tool, rules=rules)}, "results": results}
+    return json.dumps(dict(version="2.1.0", runs=[run]) | {"$schema": "https://json.schemastore.org/sarif-2.1.0.json"}, indent=2, ensure_ascii=False) + "\n"
 
 
-# -- baselines -----------------------------------------------------------------------------------------------------
+# -- baselines
 
 
 class BadBaseline(ValueError):
@@ -128,7 +129,7 @@ def read_baseline(spark, path: str) -> DataFrame:
     return spark.createDataFrame([(f,) for f in parsed_baseline(text)], "fingerprint string")
 
 
-# -- dumps -----------------------------------------------------------------------------------------------------------
+# -- dumps
 
 
 def scc_dump(components: DataFrame, depths: DataFrame, edges: DataFrame) -> DataFrame:

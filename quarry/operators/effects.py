@@ -89,7 +89,7 @@ def fixpoint(own: DataFrame, sites: DataFrame) -> DataFrame:
     return seen
 
 
-# -- blocked for ever -------------------------------------------------------------------------------------------
+# -- blocked for ever
 
 
 def _able(spark, at: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -118,7 +118,7 @@ def closure(edges: DataFrame, part: str | None = None) -> DataFrame:
     return seen
 
 
-# -- strongly connected components ---------------------------------------------------------------------------
+# -- strongly connected components
 
 
 def tarjan(nodes, edges) -> dict:

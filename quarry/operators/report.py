@@ -117,7 +117,7 @@ def ordered(findings: DataFrame, ranks: dict[str, int] | None = None) -> DataFra
     return findings.orderBy((F.col("tag") == ANNOTATION_TAG).asc(), "func", *[F.col(c).asc_nulls_first() for c in POSITION], "message", rank, "checker")
 
 
-# -- triage ------------------------------------------------------------------------------------------------
+# -- triage
 
 
 def normal_form(source: Column) -> Column:

@@ -227,7 +227,7 @@ QUERIES: dict[str, Query] = {
     "solver_verdicts": lambda s, d: verdicts.products(a.sites(s, d)),
 }
 
-# -- the same in SQL ---------------------------------------------------------------------------------------------
+# -- the same in SQL
 
 _EDGES = """
 po AS (SELECT o_orderkey, o_orderpriority, lead(o_orderkey) OVER w AS n, lag(o_orderkey) OVER w AS p FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),

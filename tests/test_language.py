@@ -128,7 +128,7 @@ def test_compiled():
 
 @pytest.fixture(scope="module")
 def findings(spark):
-    base = {"checker": "nil", "tag": "nil-deref", "severity": "error"}
+    base = dict(checker="nil", tag="nil-deref", severity="error")
     return report.fingerprinted(make(spark, "finding", [
         base | {"func": "m.F", "file": "f.go", "line": 7, "col": 3, "message": "nil dereference in m.F\t\x07", "trace": [(0, "f.go", 6, 1), (1, None, None, None)], "model": [("p0", "nil")]},
         base | {"func": "m.E", "message": "m", "severity": "warning"},

@@ -77,14 +77,14 @@ def test_summaries(spark):
     f = p.facts(spark)
     edges = spark.createDataFrame([("CloseAll", "(*F).Close"), ("RenameAll", "(*T).Rename"), ("Fan", "Fan$1")], "caller string, callee string")
     s = bodies.summaries(bodies.bodies(f), f["func"], edges)
-    everything = "effects={spawns:Unbounded chan:{?:[%s]} locks:{?:[%s]}}" % (",".join(effects.CHAN_OPS), ",".join(effects.LOCK_OPS))
+    line = lambda name, spawns="None", chan="", locks="": f"{name} effects={{spawns:{spawns} chan:{{{chan}}} locks:{{{locks}}}}}"
+    anything = ("Unbounded", f"?:[{','.join(effects.CHAN_OPS)}]", f"?:[{','.join(effects.LOCK_OPS)}]")
+    want = {"(*F).Close": ("None", "", "p0.f0:[Lock,DeferredUnlock]"), "(*T).Rename": anything, "CloseAll": ("None", "", "?:[Lock,DeferredUnlock]"), "RenameAll": anything}
+    want |= {"DeferClose": ("None", "p0:[Close]"), "GoClose": ("Bounded", "p0:[Close]"), "Fan$1": ("None", "fv:0:[Close]")}
+    want |= {"Fan": ("Bounded", " ".join(["p0:[Select]", "p1:[Select]", "alloc:3:[Close,Select]", "alloc:4:[Make]"]))}
     got = {r.func: r.line for r in effects.text(s).collect()}
-    assert got == {
-        "(*F).Close": "(*F).Close effects={spawns:None chan:{} locks:{p0.f0:[Lock,DeferredUnlock]}}", "(*T).Rename": f"(*T).Rename {everything}",
-        "CloseAll": "CloseAll effects={spawns:None chan:{} locks:{?:[Lock,DeferredUnlock]}}", "DeferClose": "DeferClose effects={spawns:None chan:{p0:[Close]} locks:{}}",
-        "GoClose": "GoClose effects={spawns:Bounded chan:{p0:[Close]} locks:{}}", "Fan": "Fan effects={spawns:Bounded chan:{p0:[Select] p1:[Select] alloc:3:[Close,Select] alloc:4:[Make]} locks:{}}",
-        "Fan$1": "Fan$1 effects={spawns:None chan:{fv:0:[Close]} locks:{}}", "RenameAll": f"RenameAll {everything}",
-    } | {n: f"{n} {everything}" for n in got if n.startswith("(*sync")}
+    want |= {n: anything for n in got if n.startswith("(*sync")}
+    assert got == {n: line(n, *x) for n, x in want.items()}
 
 
 def test_lowering(spark):
