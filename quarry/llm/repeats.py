@@ -8,6 +8,8 @@ lies in exactly one window, hence windows of different minimizers never need to
 
 Windows of the same words are collapsed before they move on (`distinct`), so a passage that stands in thousands of
 documents costs one window and thousands of small occurrence rows.
+
+Texts of one doc_id are kept apart by a hash; doc_id alone says whether two documents differ.
 """
 
 from __future__ import annotations
@@ -61,8 +63,8 @@ def _rows(length: int, k: int):
         for b in vec.pieces(it, "text"):
             data, off = vec.buffers(b.column("text"))
             m, d, at, n, name, _, _ = windows_of(data, off, length, k)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(ids[d]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name)], ["minimizer", "doc_id", "at", "n", "name"])
+            ids, th = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(ids[d]), pa.array(th[d]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name)], ["minimizer", "doc_id", "th", "at", "n", "name"])
 
     return run
 
@@ -79,7 +81,7 @@ def _contents(length: int, k: int):
             sets = wanted.flatten()
             row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(wanted.offsets)))
             names, places, last = (np.asarray(sets.field(c)) for c in ("name", "at", "last_doc"))
-            asked = (row << 32) | places  # a row asks for a place once at most
+            asked = (row << 32) | places  # a text asks for a place once at most
             order = np.argsort(asked)
             asked = asked[order]
             own = (d.astype(np.int64) << 32) | at
@@ -96,22 +98,22 @@ def _contents(length: int, k: int):
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(occurrences, windows, involved): doc_id, at, n, name, minimizer of all windows whose minimizer stands in two documents;
-    minimizer, name, n, words, first_doc, first_at (where it stands first), last_doc of the distinct ones, once for each row of a repeated
-    doc_id; and the documents (doc_id, text) that have such windows, no others having repeats. All texts are shuffled once, to meet the list of their
-    windows; from there on only the documents involved move."""
-    whole = docs_only(docs, "doc_id", "text").where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = saved(whole.mapInArrow(_rows(length, k), "minimizer long, doc_id long, at int, n int, name long"), "windows")
+    """(occurrences, windows, involved): doc_id, th (a hash that tells texts of one doc_id apart), at, n, name, minimizer of all windows whose
+    minimizer stands in two documents; minimizer, name, n, words, first_doc, first_at (where it stands first), last_doc of the distinct ones, once
+    for each row that repeats doc_id and text; and the texts (doc_id, th, text) that have such windows, no others having repeats. All texts are
+    shuffled once, to meet the list of their windows; from there on only the texts involved move."""
+    whole = docs_only(docs, "doc_id", "text").where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    every = saved(whole.mapInArrow(_rows(length, k), "minimizer long, doc_id long, th long, at int, n int, name long"), "windows")
     often = every.groupBy("minimizer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("minimizer")
     seen = saved(every.join(often, "minimizer").distinct(), "repeated-windows")
-    by_name = seen.groupBy("name").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last_doc"))
+    by_name = seen.groupBy("name").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"), F.max("doc_id").alias("last_doc"))
     asked = F.struct("name", F.col("first.at").alias("at"), "last_doc")
-    wanted = by_name.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(asked).alias("wanted"))
+    wanted = by_name.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_list(asked).alias("wanted"))
     none = F.expr("cast(array() as array<struct<name: bigint, at: int, last_doc: bigint>>)")
-    lists_ = saved(seen.select("doc_id").distinct().join(wanted, "doc_id", "left").select("doc_id", F.coalesce("wanted", none).alias("wanted")), "wanted")
-    involved = saved(whole.join(lists_, "doc_id"), "involved")
+    lists_ = saved(seen.select("doc_id", "th").distinct().join(wanted, ["doc_id", "th"], "left").select("doc_id", "th", F.coalesce("wanted", none).alias("wanted")), "wanted")
+    involved = saved(whole.join(lists_, ["doc_id", "th"]), "involved")
     content = involved.where("size(wanted) > 0").mapInArrow(_contents(length, k), "minimizer long, name long, n int, words binary, first_doc long, first_at int, last_doc long")
-    return seen, saved(content, "distinct-windows"), involved.select("doc_id", "text")
+    return seen, saved(content, "distinct-windows"), involved.select("doc_id", "th", "text")
 
 
 def once(t: pa.Table) -> pa.Table:
@@ -154,18 +156,19 @@ def joined_ranges(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, owners: int
 
 
 def placed(occurrences: DataFrame, marks: DataFrame) -> DataFrame:
-    """doc_id, repeated, removed: the ranges of words of each document that stand in another document too,
+    """doc_id, th, repeated, removed: the ranges of words of each text that stand in another document too,
     and of these the ones that stand in a document with a smaller doc_id. marks: per window name the ranges within the window
     that are shared by two documents, and those that a document before its first one has."""
-    rows = occurrences.select("doc_id", "at", "name").join(marks, "name")
-    rows = rows.select("doc_id", "at", "shared", F.when(F.col("doc_id") == F.col("first_doc"), F.col("later")).otherwise(F.col("shared")).alias("later"))
+    rows = occurrences.select("doc_id", "th", "at", "name").join(marks, "name")
+    rows = rows.select("doc_id", "th", "at", "shared", F.when(F.col("doc_id") == F.col("first_doc"), F.col("later")).otherwise(F.col("shared")).alias("later"))
     rows = rows.where("size(shared) > 0").select(
         "doc_id",
+        "th",
         F.expr("transform(shared, r -> named_struct('lo', r.lo + at, 'hi', r.hi + at))").alias("a"),
         F.expr("transform(later, r -> named_struct('lo', r.lo + at, 'hi', r.hi + at))").alias("b"),
     )
-    per = rows.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("a")))).alias("a"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("b")))).alias("b"))
-    return per.select("doc_id", F.expr(FOLD.format(rs="a")).alias("repeated"), F.expr(FOLD.format(rs="b")).alias("removed"))
+    per = rows.groupBy("doc_id", "th").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("a")))).alias("a"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("b")))).alias("b"))
+    return per.select("doc_id", "th", F.expr(FOLD.format(rs="a")).alias("repeated"), F.expr(FOLD.format(rs="b")).alias("removed"))
 
 
 #: Unites sorted ranges where they touch or overlap.
@@ -176,7 +179,7 @@ FOLD = """aggregate({rs}, cast(array() as array<struct<lo: int, hi: int>>), (acc
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, repeated, removed and the text without the removed ranges of words, for the documents in spans. docs: the ones involved."""
+    """doc_id, repeated, removed and the text without the removed ranges of words, for the texts in spans. docs: the ones involved."""
 
     def f(t: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
         out = []
@@ -191,5 +194,5 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     f.__annotations__ = {"t": pa.Array, "lo": pa.Array, "hi": pa.Array, "return": pa.Array}
-    both = docs.join(saved(spans, "spans"), "doc_id")
+    both = docs.join(saved(spans, "spans"), ["doc_id", "th"])
     return both.select("doc_id", "repeated", "removed", F.arrow_udf("string")(f)("text", "removed.lo", "removed.hi").alias("text"))

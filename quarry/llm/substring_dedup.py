@@ -82,8 +82,8 @@ def marks_of(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """doc_id, repeated, removed (ranges of words)."""
-    return _spans(docs, length, k)[0]
+    """doc_id, repeated, removed (ranges of words), for each text of a doc_id."""
+    return _spans(docs, length, k)[0].drop("th")
 
 
 def _spans(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
