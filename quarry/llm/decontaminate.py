@@ -2,10 +2,13 @@
 
 Words are lower-cased runs of letters and digits, so case, punctuation and spacing don't matter. Training words are
 streamed through the automaton, which tells at each word how long the longest string is that ends there
-and stands in some item. A maximal match of `MIN_WORDS` or more is removed from the text
+and stands in some item. A stretch of `MIN_WORDS` or more that a text shares with an item is removed from the text
 
 * if it is `MAX_WORDS` long or longer, or
-* if the document's matches cover at least `COVERAGE` of the item they come from.
+* if the text's stretches cover at least `COVERAGE` of that item.
+
+The long ones are the automaton's maximal matches. For the others an index from n-grams to all their places credits every item
+that has the words, not just the first one.
 
 A match of MIN_WORDS words contains an n-gram of MIN_WORDS of some item; their hashes are tested first over the
 whole column at once, and only the stretches around hits walk the automaton: the result is the same as for
@@ -13,7 +16,7 @@ walking every word. The items are broadcast in parts of at most `PART_BYTES` of
 worked off part by part, one pass over the documents for each.
 
 Edge cases: null and empty texts pass; items that are null or have fewer than MIN_WORDS words match nothing;
-a match in several items counts for the first; an empty benchmark changes nothing; a document that is all
+a stretch in several items is named after the first; an empty benchmark changes nothing; a document that is all
 benchmark stays with what is left, maybe an empty text; extra columns pass and n_chars is kept true.
 """
 
@@ -33,7 +36,7 @@ from .common import docs_only, hidden, text_udf
 MIN_WORDS, MAX_WORDS, COVERAGE = 8, 13, 0.5
 PART_BYTES = 8 << 20
 SPANS = "array<struct<s: int, e: int, words: int, item: bigint>>"
-RETURNS = f"struct<text: string, spans: {SPANS}>"
+NONE = f"cast(array() as {SPANS})"
 
 
 def word_bytes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[bytes]:
@@ -42,42 +45,80 @@ def word_bytes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[bytes]:
 
 
 class Items:
-    """The automaton of some items and the hashes of their n-grams."""
+    """The automaton of some items and the places of their n-grams."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         data, off = vec.buffers(vec.lower(pa.array([t for _, t in items], pa.string())))
         s, e, first = vec.words(data, off, True)
         h = vec.word_hashes(data, s, e)
         g = vec.kgrams(h, MIN_WORDS)
-        self.grams = np.unique(g[vec.inside(first, len(h), MIN_WORDS)])
+        place = np.flatnonzero(vec.inside(first, len(h), MIN_WORDS))
+        place = place[np.argsort(g[place], kind="stable")]
+        self.grams, begin = np.unique(g[place], return_index=True)
+        self.place, self.at = place, np.append(begin, len(place))  # places of gram k: place[at[k]:at[k + 1]]
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[(self.grams >> np.uint64(42)).astype(np.int64)] = True
-        w = word_bytes(data, s, e)
+        self.words = word_bytes(data, s, e)
+        self.ids = [item for item, _ in items]
+        self.n = np.diff(first)
+        self.row = np.repeat(np.arange(len(items)), self.n)  # of each word
         self.automaton = SuffixAutomaton()
-        self.of, self.begin, self.n = [], [], {}
-        at = 0
-        for k, (item, _) in enumerate(items):
-            ws = w[first[k] : first[k + 1]]
-            if len(ws) < MIN_WORDS:
-                continue
-            self.automaton.add(ws)
-            self.of += [item] * len(ws)
-            self.begin += [at] * len(ws)
-            self.n[item] = len(ws)
-            at += len(ws)
-
-    def spans(self, ws: list[bytes]) -> list[tuple[int, int, int, int]]:
-        """(first word, end, item, end in the item) of the maximal matches of MIN_WORDS at least."""
+        self.of = []
+        for k, item in enumerate(self.ids):
+            if self.n[k] >= MIN_WORDS:
+                self.automaton.add(self.words[first[k] : first[k + 1]])
+                self.of += [item] * int(self.n[k])
+
+    def places(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number in grams, place) of all places of the n-grams with these numbers."""
+        n = self.at[grams + 1] - self.at[grams]
+        skip = np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(np.arange(len(grams)), n), self.place[np.repeat(self.at[grams], n) + np.arange(len(skip)) - skip]
+
+    def covered(self, grams: np.ndarray) -> np.ndarray:
+        """Rows of the items of which these n-grams cover COVERAGE at least."""
+        _, place = self.places(np.unique(grams))
+        place = np.unique(place)
+        till = np.append(place[1:], np.iinfo(np.int64).max)
+        new = np.minimum(till - place, MIN_WORDS)  # words not counted by the next place; an n-gram stays in its item
+        row, which = np.unique(self.row[place], return_inverse=True)
+        same = np.append(self.row[place[1:]] == self.row[place[:-1]], False)
+        n = np.bincount(which, np.where(same, new, MIN_WORDS), len(row))
+        return row[n >= COVERAGE * self.n[row]]
+
+    def stretches(self, at: np.ndarray, grams: np.ndarray, rows: np.ndarray, ws: list[bytes], base: int) -> list[tuple[int, int, int]]:
+        """(first word, end, item) of what a text has in common with the items `rows`. at, grams: its n-grams; ws: its words from `base` on."""
+        wanted = np.zeros(len(self.ids), bool)
+        wanted[rows] = True
+        out = []
+        number, place = self.places(grams)
+        use = wanted[self.row[place]]
+        x, p = at[number[use]], place[use]
+        order = np.lexsort((x, p - x, self.row[p]))
+        x, p = x[order], p[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (np.diff(x) != 1) | (np.diff(p) != 1) | (np.diff(self.row[p]) != 0)
+        begin = np.flatnonzero(new)
+        for i, j in zip(begin.tolist(), np.append(begin[1:], len(x)).tolist()):
+            a, b, q, held = int(x[i]), int(x[j - 1]) + MIN_WORDS, int(p[i]), 0
+            for k in range(b - a + 1):  # equal hashes aren't enough
+                if k == b - a or ws[a - base + k] != self.words[q + k]:
+                    if k - held >= MIN_WORDS:
+                        out.append((a + held, a + k, self.ids[self.row[q]]))
+                    held = k + 1
+        return out
+
+    def long(self, ws: list[bytes]) -> list[tuple[int, int, int]]:
+        """(first word, end, first item) of the maximal matches of MAX_WORDS at least."""
         out = []
         held = None
         for i, (v, n) in enumerate(self.automaton.statistics(ws)):
             if held and n <= held[1]:
-                out.append((held[0] + 1 - held[1], held[0] + 1, held[2]))
-                held = None
-            held = (i, n, v) if n >= MIN_WORDS else None
+                out.append(held)
+            held = (i, n, v) if n >= MAX_WORDS else None
         if held:
-            out.append((held[0] + 1 - held[1], held[0] + 1, held[2]))
-        return [(a, b, self.of[(p := self.automaton.end[v])], p + 1 - self.begin[p]) for a, b, v in out]
+            out.append(held)
+        return [(i + 1 - n, i + 1, self.of[self.automaton.end[v]]) for i, n, v in out]
 
     def found(self, v: pa.Array) -> pa.Array:
         plain, plain_off = vec.buffers(v)
@@ -91,28 +132,31 @@ class Items:
         g = vec.kgrams(h, MIN_WORDS)
         hit = np.flatnonzero(vec.inside(first, len(h), MIN_WORDS) & self.bloom[(g >> np.uint64(42)).astype(np.int64)]) if len(g) else np.zeros(0, np.int64)
         hit = hit[np.isin(g[hit], self.grams)]
-        texts, spans = [None] * len(v), [None] * len(v)
+        gram = np.searchsorted(self.grams, g[hit])
+        spans = [None] * len(v)
         doc = np.searchsorted(first, hit, "right") - 1
         for d in np.unique(doc):
-            at = hit[doc == d]
+            mine = doc == d
+            at, grams = hit[mine], gram[mine]
+            base = int(at[0])
+            ws = word_bytes(data, s[base : at[-1] + MIN_WORDS], e[base : at[-1] + MIN_WORDS])
             breaks = np.flatnonzero(np.diff(at) > MIN_WORDS)  # stretches of overlapping n-grams
             matches = []
-            for a, b in zip(at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])] + MIN_WORDS):
-                matches += [(a + x, a + y, item, z) for x, y, item, z in self.spans(word_bytes(data, s[a:b], e[a:b]))]
-            covered: dict[int, set[int]] = {}
-            for x, y, item, z in matches:
-                covered.setdefault(item, set()).update(range(z - (y - x), z))
-            bad = [(x, y, item) for x, y, item, z in matches if y - x >= MAX_WORDS or len(covered[item]) >= COVERAGE * self.n[item]]
-            if not bad:
-                continue
-            lo = plain_off[d]
-            own = plain[lo : plain_off[d + 1]]
-            cut = np.array([(ps[x] - lo, pe[y - 1] - lo) for x, y, _ in bad])
-            left, _ = vec.cut(own, np.array([0, len(own)]), cut[:, 0], cut[:, 1])
-            texts[d] = left.tobytes().decode("utf-8", "replace")
-            spans[d] = [{"s": int(p), "e": int(q), "words": int(y - x), "item": int(item)} for (p, q), (x, y, item) in zip(cut, bad)]
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("words", pa.int32()), ("item", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spans, kind)], ["text", "spans"], mask=pa.array([t is None for t in texts], pa.bool_()))
+            for a, b in zip(at[np.concatenate([[0], breaks + 1])].tolist(), (at[np.concatenate([breaks, [len(at) - 1]])] + MIN_WORDS).tolist()):
+                if b - a >= MAX_WORDS:
+                    matches += [(a + x, a + y, item) for x, y, item in self.long(ws[a - base : b - base])]
+            rows = self.covered(grams)
+            if len(rows):
+                matches += self.stretches(at, grams, rows, ws, base)
+            bad, top = [], 0
+            for x, y, item in sorted(matches, key=lambda m: (m[0], -m[1], m[2])):
+                if y > top:  # else inside one before
+                    bad.append((x, y, item))
+                    top = y
+            if bad:
+                lo = plain_off[d]
+                spans[d] = [{"s": int(ps[x] - lo), "e": int(pe[y - 1] - lo), "words": y - x, "item": int(item)} for x, y, item in bad]
+        return pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("words", pa.int32()), ("item", pa.int64())])))
 
 
 _built: dict[str, Items] = {}
@@ -126,11 +170,11 @@ def _finder(broadcast):
             _built[name] = Items(broadcast.value)
         return _built[name].found(v)
 
-    return text_udf(f, RETURNS)
+    return text_udf(f, SPANS)
 
 
 def finders(benchmark: DataFrame) -> list:
-    """A column function for each part of the benchmark: null for a text that it leaves alone."""
+    """A column function for each part of the benchmark: what goes from a text; null for a text that it leaves alone."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
@@ -147,10 +191,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = docs.columns
     for find in finders(benchmark):
         x = hidden(docs, "found")
-        df = docs.withColumn(x, find(F.col("text")))
-        new = {"text": F.coalesce(F.col(f"{x}.text"), F.col("text"))}
+        df = docs.withColumn(x, F.coalesce(find(F.col("text")), F.expr(NONE)))
+        left = hidden(df, "left")
+        hit = F.size(x) > 0
+        df = df.withColumn(left, cutter()(F.when(hit, F.col("text")), F.col(f"{x}.s"), F.col(f"{x}.e")))
+        new = {"text": F.when(hit, F.col(left)).otherwise(F.col("text"))}
         if "n_chars" in names:
-            new["n_chars"] = F.when(F.col(f"{x}.text").isNotNull(), F.char_length(f"{x}.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+            new["n_chars"] = F.when(hit, F.char_length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         docs = df.withColumns(new).select(*[F.col(f"`{c}`") for c in names])
     return docs
 
@@ -161,8 +208,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     df, found = docs_only(docs, "doc_id", "text"), []
     for k, find in enumerate(finders(benchmark)):
         df = df.withColumn(f"x{k}", find(F.col("text")))
-        found.append(F.coalesce(F.col(f"x{k}.spans"), F.expr(f"cast(array() as {SPANS})")))
-    spans = F.array_sort(F.concat(*found)) if found else F.expr(f"cast(array() as {SPANS})")
+        found.append(F.coalesce(F.col(f"x{k}"), F.expr(NONE)))
+    spans = F.array_sort(F.concat(*found)) if found else F.expr(NONE)
     df = df.select("doc_id", "text", spans.alias("spans")).where("size(spans) > 0")
     return df.select("doc_id", F.array_sort(F.array_distinct("spans.item")).alias("items"), "spans", cutter()("text", "spans.s", "spans.e").alias("text"))
 

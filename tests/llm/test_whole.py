@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quarry.llm import substring_dedup, suffix_dedup
+from quarry.llm import decontaminate, substring_dedup, suffix_dedup
 
 from . import brute
 from .test_operators import table, words
@@ -40,3 +40,48 @@ def test_repeats_of_several_texts_of_one_doc_id(spark, f):
         at = [(m.start(), m.end()) for m in brute.WORDS.finditer(t.encode())]
         left.append((i, brute.without(t, [(at[a][0], at[b - 1][1]) for a, b in gone])))
     assert sorted((r.doc_id, r.text) for r in got) == sorted(left)
+
+
+def contaminated(text, items, least, most, coverage):
+    """(from, to, item): each item compared with the text by itself, quadratically."""
+    ws = brute.normal_words(text)
+    own = [w for w, _, _ in ws]
+    found = set()
+    for i, t in items:
+        its = [w for w, _, _ in brute.normal_words(t)]
+        runs, cover = [], set()
+        for a in range(len(own)):
+            for k in range(len(its)):
+                if a and k and own[a - 1] == its[k - 1]:
+                    continue
+                n = 0
+                while a + n < len(own) and k + n < len(its) and own[a + n] == its[k + n]:
+                    n += 1
+                if n >= least:
+                    runs.append((a, a + n))
+                    cover.update(range(k, k + n))
+        found.update((a, b, i) for a, b in runs if b - a >= most or len(cover) >= coverage * len(its))
+    keep = [x for x in found if not any(o[0] <= x[0] and x[1] <= o[1] and (o[:2] != x[:2] or o[2] < x[2]) for o in found)]
+    return sorted((ws[a][1], ws[b - 1][2], i) for a, b, i in keep)
+
+
+def test_every_item_is_credited(spark):
+    rng = random.Random(13)
+    big, other, template = words(rng, 100), words(rng, 60), words(rng, 9)
+    items = [(1, big), (2, big[40:50]), (3, template + words(rng, 31)), (4, template + words(rng, 3)), (5, other), (6, big[90:] + other[:3] + words(rng, 20)), (7, big[:8] + other[:8] + words(rng, 8)), (8, big), (9, big[:28] + words(rng, 30))]
+    items += [(k, words(rng, 40)) for k in range(20, 30)]
+    noise = lambda n: words(rng, n)
+    docs = [
+        noise(9) + big[40:50] + noise(9), noise(4) + template + noise(5), noise(2) + big[60:69] + noise(9), noise(3) + big[88:] + other[:20] + noise(5),
+        big[:8] + noise(3) + other[:8] + noise(2), noise(5) + items[9][1][:20] + items[10][1][:14], noise(3) + big[5:40] + noise(6), big[39:51] + noise(3) + template, noise(40),
+    ]
+    docs += [sum((rng.choice(items)[1][(a := rng.randrange(20)) : a + rng.randrange(6, 25)] + noise(rng.randrange(2)) for _ in range(6)), []) for _ in range(60)]
+    docs = [(i, " ".join(ws)) for i, ws in enumerate(docs)]
+    items = [(i, " ".join(ws)) for i, ws in items]
+    want = {i: v for i, t in docs if (v := contaminated(t, items, 8, 13, 0.5))}
+    assert {0, 1, 3, 4, 7} < set(want) and not {2, 8} & set(want)
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), table(spark, docs)
+    got = {r.doc_id: r for r in decontaminate.contaminated(df, bench).collect()}
+    assert {i: [(s.s, s.e, s.item) for s in r.spans] for i, r in got.items()} == want
+    clean = {r.doc_id: r.text for r in decontaminate.decontaminated(df, bench).collect()}
+    assert clean == {i: brute.without(t, [x[:2] for x in want.get(i, [])]) for i, t in docs}
