@@ -13,7 +13,8 @@ that has the words, not just the first one.
 A match of MIN_WORDS words contains an n-gram of MIN_WORDS of some item; their hashes are tested first over the
 whole column at once, and only the stretches around hits walk the automaton: the result is the same as for
 walking every word. The items are broadcast in parts of at most `PART_BYTES` of text, so a benchmark of any size is
-worked off part by part, one pass over the documents for each.
+worked off part by part, one pass over the documents for each; every part searches the original text, what they find is merged
+and cut once, so the result doesn't depend on the parts.
 
 Edge cases: null and empty texts pass; items that are null or have fewer than MIN_WORDS words match nothing;
 a stretch in several items is named after the first; an empty benchmark changes nothing; a document that is all
@@ -37,6 +38,8 @@ MIN_WORDS, MAX_WORDS, COVERAGE = 8, 13, 0.5
 PART_BYTES = 8 << 20
 SPANS = "array<struct<s: int, e: int, words: int, item: bigint>>"
 NONE = f"cast(array() as {SPANS})"
+#: Spans of several parts: those inside a longer one go, and of equal ones all but the first item's.
+MERGED = "array_distinct(array_sort(filter({xs}, a -> not exists({xs}, b -> b.s <= a.s and b.e >= a.e and (b.s < a.s or b.e > a.e or b.item < a.item)))))"
 
 
 def word_bytes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[bytes]:
@@ -186,31 +189,35 @@ def finders(benchmark: DataFrame) -> list:
     return out
 
 
+def searched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a further column, and its name: the spans of all parts, found on the text as it is."""
+    names, xs = docs.columns, []
+    df, spans = docs, hidden(docs, "found")
+    for k, find in enumerate(finders(benchmark)):
+        xs.append(hidden(df, f"{spans}{k}"))
+        df = df.withColumn(xs[-1], find(F.col("text")))
+    found = [F.coalesce(F.col(x), F.expr(NONE)) for x in xs]
+    df = df.select(*[F.col(f"`{c}`") for c in names], (F.concat(*found) if found else F.expr(NONE)).alias(spans))
+    return (df.withColumn(spans, F.expr(MERGED.format(xs=f"`{spans}`"))) if len(xs) > 1 else df), spans
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the benchmark's passages taken out of text."""
-    names = docs.columns
-    for find in finders(benchmark):
-        x = hidden(docs, "found")
-        df = docs.withColumn(x, F.coalesce(find(F.col("text")), F.expr(NONE)))
-        left = hidden(df, "left")
-        hit = F.size(x) > 0
-        df = df.withColumn(left, cutter()(F.when(hit, F.col("text")), F.col(f"{x}.s"), F.col(f"{x}.e")))
-        new = {"text": F.when(hit, F.col(left)).otherwise(F.col("text"))}
-        if "n_chars" in names:
-            new["n_chars"] = F.when(hit, F.char_length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        docs = df.withColumns(new).select(*[F.col(f"`{c}`") for c in names])
-    return docs
+    df, x = searched(docs, benchmark)
+    left = hidden(df, "left")
+    hit = F.size(x) > 0
+    df = df.withColumn(left, cutter()(F.when(hit, F.col("text")), F.col(f"{x}.s"), F.col(f"{x}.e")))
+    new = {"text": F.when(hit, F.col(left)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.char_length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return df.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, items, spans (byte ranges, words, item) and the text that is left, for each document with a
     passage of the benchmark."""
-    df, found = docs_only(docs, "doc_id", "text"), []
-    for k, find in enumerate(finders(benchmark)):
-        df = df.withColumn(f"x{k}", find(F.col("text")))
-        found.append(F.coalesce(F.col(f"x{k}"), F.expr(NONE)))
-    spans = F.array_sort(F.concat(*found)) if found else F.expr(NONE)
-    df = df.select("doc_id", "text", spans.alias("spans")).where("size(spans) > 0")
+    df, x = searched(docs_only(docs, "doc_id", "text"), benchmark)
+    df = df.select("doc_id", "text", F.col(x).alias("spans")).where("size(spans) > 0")
     return df.select("doc_id", F.array_sort(F.array_distinct("spans.item")).alias("items"), "spans", cutter()("text", "spans.s", "spans.e").alias("text"))
 
 

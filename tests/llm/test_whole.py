@@ -65,7 +65,7 @@ def contaminated(text, items, least, most, coverage):
     return sorted((ws[a][1], ws[b - 1][2], i) for a, b, i in keep)
 
 
-def test_every_item_is_credited(spark):
+def test_every_item_is_credited_whatever_the_parts(spark, monkeypatch):
     rng = random.Random(13)
     big, other, template = words(rng, 100), words(rng, 60), words(rng, 9)
     items = [(1, big), (2, big[40:50]), (3, template + words(rng, 31)), (4, template + words(rng, 3)), (5, other), (6, big[90:] + other[:3] + words(rng, 20)), (7, big[:8] + other[:8] + words(rng, 8)), (8, big), (9, big[:28] + words(rng, 30))]
@@ -81,7 +81,9 @@ def test_every_item_is_credited(spark):
     want = {i: v for i, t in docs if (v := contaminated(t, items, 8, 13, 0.5))}
     assert {0, 1, 3, 4, 7} < set(want) and not {2, 8} & set(want)
     bench, df = spark.createDataFrame(items, "item_id long, text string"), table(spark, docs)
-    got = {r.doc_id: r for r in decontaminate.contaminated(df, bench).collect()}
-    assert {i: [(s.s, s.e, s.item) for s in r.spans] for i, r in got.items()} == want
-    clean = {r.doc_id: r.text for r in decontaminate.decontaminated(df, bench).collect()}
-    assert clean == {i: brute.without(t, [x[:2] for x in want.get(i, [])]) for i, t in docs}
+    for size in (decontaminate.PART_BYTES, 900):
+        monkeypatch.setattr(decontaminate, "PART_BYTES", size)
+        got = {r.doc_id: r for r in decontaminate.contaminated(df, bench).collect()}
+        assert {i: [(s.s, s.e, s.item) for s in r.spans] for i, r in got.items()} == want
+        clean = {r.doc_id: r.text for r in decontaminate.decontaminated(df, bench).collect()}
+        assert clean == {i: brute.without(t, [x[:2] for x in want.get(i, [])]) for i, t in docs}
