@@ -6,7 +6,7 @@ six numbers, grown (Gini, numpy) from the small labelled table `LABELLED`, says
 content blocks, one to a line.
 
 Edge cases: null html gives null text and no blocks; an empty page, or one without text, gives an empty text; unclosed and stray tags,
-comments and quotes are read as browsers do, roughly; markup in scripts and attribute values is ignored; very long pages are one
+comments and quotes are read as browsers do, roughly: a head needs no end tag, <svg/> is empty; markup in scripts and attribute values is ignored; very long pages are one
 pass; repeated rows are each extracted; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +25,40 @@ from pyspark.sql import functions as F
 from .common import docs_only, text_udf
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose text isn't shown, skipped from tag to end tag; one that is never closed is not skipped. Raw text (in _TAG) runs to the end of the page.
+HIDDEN = frozenset("noscript template svg math object select".split())
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|head|select|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|(<(script|style|iframe|textarea|title)\b[^>]*>).*?(?:</\2\s*>|\Z)"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:"[^"]{0,65536}"|'[^']{0,65536}'|[^>"'])*+>|</?[a-zA-Z][^>]*>|<[!?][^>]*>""",
     re.S | re.I,
 )
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool]]:
+    """(from, to, name, whether it ends) of each piece of markup, hidden elements and raw text as one piece; the name is empty for what is no tag."""
+    found: list[tuple[int, int, str, bool]] = []
+    till: dict[int, int] = {}  # hidden element -> its end tag
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        name, ends = (m[2] or m[4] or "").lower(), bool(m[3])
+        if m[1] and m[1].endswith("/>") and (opened.get("svg") or opened.get("math")):
+            at = m.end(1)  # closed in itself, as anything may be there
+        if name in HIDDEN:
+            if not ends and not (name in ("svg", "math") and m[0].endswith("/>")):
+                opened.setdefault(name, []).append(len(found))
+            elif ends and opened.get(name):
+                till[opened[name].pop()] = len(found)
+        found.append((m.start(), at, name, ends))
+    k = 0
+    while k < len(found):
+        begin, _, name, ends = found[k]
+        k = till.get(k, k)
+        yield begin, found[k][1], name, ends
+        k += 1
+
+
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, words, words in links) of each block that has words."""
     out: list[tuple[str, int, int]] = []
@@ -47,21 +75,16 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             linked.clear()
 
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for begin, end, tag, ends in tags(page):
+        if begin > at:
+            parts.append(page[at:begin])
             if in_link:
-                linked.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if m[1]:
-            if m[1].lower() in ("head", "iframe", "object", "select", "textarea"):
-                flush()
-            continue
-        if not tag:
+                linked.append(page[at:begin])
+        at = end
+        if not tag or tag in ("script", "style", "noscript", "template", "svg", "math"):
             continue
         if tag == "a":
-            in_link = not m[2]
+            in_link = not ends
             if in_link:
                 linked.append(" ")
         elif tag == "br":

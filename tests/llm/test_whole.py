@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quarry.llm import decontaminate, substring_dedup, suffix_dedup
+from quarry.llm import decontaminate, html_text, substring_dedup, suffix_dedup
 
 from . import brute
 from .test_operators import table, words
@@ -87,3 +87,25 @@ def test_every_item_is_credited_whatever_the_parts(spark, monkeypatch):
         assert {i: [(s.s, s.e, s.item) for s in r.spans] for i, r in got.items()} == want
         clean = {r.doc_id: r.text for r in decontaminate.decontaminated(df, bench).collect()}
         assert clean == {i: brute.without(t, [x[:2] for x in want.get(i, [])]) for i, t in docs}
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>T</title><meta charset=x><body><p>one two</p></html>", ["one two"]),
+        ("<head><title>T</title><style>p {}</style><script>x</script><h1>one</h1><p>two", ["one", "two"]),
+        ("<head><title>T</title></head><p>one</p>", ["one"]),
+        ("<p>one <svg width='1'/> two</p><svg><text>no</text></svg><p>three</p>", ["one two", "three"]),
+        ("<p>one</p><math/><p>two</p>", ["one", "two"]),
+        ("<p>one</p><svg><path d='x'><p>two</p><svg><text>no</text></svg><p>three</p>", ["one", "two", "three"]),
+        ("<p>one</p><svg><svg><text>no</text></svg><text>no</text></svg><p>two</p>", ["one", "two"]),
+        ("<svg><style/><title/><script/></svg><p>one</p>", ["one"]),
+        ("<object data=x><p>one</p>", ["one"]),
+        ("<p>a</p><select><option>no</select><p>b</p><select><option>c", ["a", "b", "c"]),
+        ("<noscript>no</noscript><template><p>no</p></template><p>one", ["one"]),
+        ("<p>one</p><script>var s = '</p><svg>'; <p>no</p>", ["one"]),
+        ("<p>one</p><textarea>no <p>no</p>", ["one"]),
+    ],
+)
+def test_unclosed_elements(page, want):
+    assert [t for t, _, _ in html_text.blocks(page)] == want
