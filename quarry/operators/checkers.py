@@ -370,7 +370,8 @@ def _rows(budget: int, schema: pa.Schema):
 
 def findings(df: DataFrame, budget: int = 2000, rounds: int = 8) -> DataFrame:
     """checker, tag, func, message, file, line, col of all confirmed violations. df: (func, body) of bodies.bodies, values with their sort. Preconditions
-    travel `rounds` calls upwards at most."""
+    travel up the whole call graph, callees before callers; only within a recursive component, where they may grow for ever, are there `rounds` rounds at most."""
+    from . import graph
     from .bodies import _schema
 
     run = _rows(budget, _schema(RESULT))
@@ -386,12 +387,22 @@ def findings(df: DataFrame, budget: int = 2000, rounds: int = 8) -> DataFrame:
         mine = known.groupBy("func").agg(F.sort_array(F.collect_list(F.struct("tag", "term"))).alias("own"))
         return own.join(below, "func", "left").join(mine, "func", "left").select("func", "body", "callees", "own")
 
-    these = body
-    for _ in range(rounds):
-        got = saved(asked(these, clause).mapInArrow(run, RESULT).where("kind = 'requires'").select("func", "tag", "term").distinct(), "requires")
-        new = got if clause is None else saved(got.join(clause, ["func", "tag", "term"], "left_anti"), "requires")
-        clause = got if clause is None else clause.unionByName(new)
-        if new.isEmpty():
-            break
-        these = body.join(calls.join(new.select(F.col("func").alias("callee")).distinct(), "callee").select("func").distinct(), "func", "left_semi")
+    edges = calls.select(F.col("func").alias("src"), F.col("callee").alias("dst"))
+    comp = saved(graph.scc(body.select(F.col("func").alias("node")), edges), "components")
+    depth = graph.wave_depth(comp, graph.scc_edges(comp, edges))
+    level = saved(comp.join(depth, "scc").join(graph.scc_sizes(comp, edges), "scc").select(F.col("node").alias("func"), "depth", "recursive"), "levels")
+    waves = level.groupBy("depth").agg(F.bool_or("recursive")).orderBy("depth").collect()
+    for wave, (d, recursive) in enumerate(waves):
+        here = level.where(F.col("depth") == d)
+        these = body.join(here, "func", "left_semi")
+        for _ in range(rounds if recursive else 1):
+            got = saved(asked(these, clause).mapInArrow(run, RESULT).where("kind = 'requires'").select("func", "tag", "term").distinct(), "requires")
+            new = got if clause is None else saved(got.join(clause, ["func", "tag", "term"], "left_anti"), "requires")
+            clause = got if clause is None else clause.unionByName(new)
+            if not recursive or new.isEmpty():
+                break
+            again = calls.join(new.select(F.col("func").alias("callee")).distinct(), "callee").select("func").distinct()
+            these = body.join(again.join(here.where("recursive"), "func", "left_semi"), "func", "left_semi")
+        if wave % 8 == 7:  # else the plan grows with the depth
+            clause = saved(clause, "clauses")
     return asked(body, clause).mapInArrow(run, RESULT).where("kind = 'finding'").select("checker", "tag", "func", "message", "file", "line", "col")
