@@ -12,7 +12,7 @@ prior is the share of toxic rows among all rows of `labels` unless it is given.
 Training uses a bounded sample (`n_pos` confirmed documents and `n_unl` of all documents, those
 with the smallest hash of doc_id), which is what bounds the driver's part; scoring covers all text of
 all documents. A document is toxic when its score exceeds the model's threshold: the score that a share
-`prior` of the unlabelled sample exceeds, held between log-odds of -1 and 0.
+`prior` of all documents exceeds, held between log-odds of -1 and 0. It comes from a histogram of all scores.
 
 Edge cases: a null or empty text has no features, scores the bias and is never toxic; rows with a null
 doc_id are scored like others; labels with null toxic or doc_id are ignored; an empty `labels` or no
@@ -21,7 +21,7 @@ toxic row gives a model that rejects nothing; repeated rows are each scored; ext
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +89,10 @@ def _margin(w, b, rows, start, feat):
     return b + np.bincount(of, w[f], len(rows)), f, of
 
 
+#: Steps of the threshold between log-odds of -1 and 0.
+CELLS = 4096
+
+
 def train(start: np.ndarray, feat: np.ndarray, is_pos: np.ndarray, prior: float, keep: int = 1024, least: int = 5, epochs: int = 120, batch: int = 512, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> Model:
     """start, feat: features of row i are feat[start[i]:start[i+1]]; is_pos: confirmed rows, the
     others are unlabelled. Adagrad on mini-batches that hold both kinds in proportion."""
@@ -158,7 +162,21 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, n_pos: i
     if prior is None:
         prior = labels.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).when(F.col("toxic").isNotNull(), 0.0))).first()[0] or 0.0
     start, feat, pos = gathered(docs, labels, n_pos, n_unl)
-    return train(start, feat, pos, min(max(float(prior), 1e-4), 0.9))
+    model = train(start, feat, pos, min(max(float(prior), 1e-4), 0.9))
+    return replace(model, threshold=decided(docs, model)) if np.isfinite(model.threshold) else model
+
+
+def decided(docs: DataFrame, model: Model) -> float:
+    """The (1 - prior) quantile of the scores of all documents, from -1 to 0, to the next of CELLS steps."""
+    score = docs.where("text is not null").select(scored(model)("text").alias("score"))
+    cell = F.least(F.greatest(F.floor((F.col("score") + 1) * CELLS), F.lit(-1)), F.lit(CELLS - 1))
+    counts = sorted((r[0], r[1]) for r in score.groupBy(cell.cast("int").alias("cell")).count().collect())
+    total, below = sum(n for _, n in counts), 0
+    for c, n in counts:
+        below += n
+        if below >= (1 - model.prior) * total:
+            return (c + 1) / CELLS - 1
+    return model.threshold
 
 
 def scored(model: Model):

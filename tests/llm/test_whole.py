@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quarry.llm import decontaminate, html_text, substring_dedup, suffix_dedup
+from quarry.llm import decontaminate, html_text, substring_dedup, suffix_dedup, toxicity, vec
 
 from . import brute
 from .test_operators import table, words
@@ -109,3 +111,13 @@ def test_every_item_is_credited_whatever_the_parts(spark, monkeypatch):
 )
 def test_unclosed_elements(page, want):
     assert [t for t, _, _ in html_text.blocks(page)] == want
+
+
+def test_threshold_covers_all_documents(spark, monkeypatch):
+    model = toxicity.Model(np.full(toxicity.DIM, 0.001, np.float32), -1.0, -0.9, 0.3)
+    monkeypatch.setattr(toxicity, "train", lambda *a: model)  # its threshold is the sample's
+    docs = [(i, " ".join(f"w{k}" for k in range(i))) for i in range(1, 200)]
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    at = toxicity.fit(table(spark, docs), labels, prior=0.3, n_unl=20).threshold
+    score = model.scores(*vec.buffers(vec.lower(pa.array([t for _, t in docs]))))
+    assert -1 < at < 0 and (score <= at).mean() >= 0.7 > (score <= at - 1 / toxicity.CELLS).mean()
