@@ -119,17 +119,29 @@ def _index_lines(f, method: int, stored: int, begin: int, name: str) -> Iterator
     yield from data.decode("utf-8", "replace").splitlines()
 
 
+class BadRecord(ValueError):
+    """No record can be read at this offset."""
+
+
 def _walked(f, begin: int, stored: int, zipped: bool) -> Iterator[tuple[int, int]]:
     """(offset in the archive, length) of each record of an archive without an index."""
     if not zipped:
         at = 0
         while at < stored:
             f.seek(begin + at)
-            head = f.read(min(65536, stored - at))
-            end = head.find(b"\r\n\r\n")
-            if end < 0:
-                return
-            size = next((int(x.split(b":")[1]) for x in head[:end].split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
+            head, end = b"", -1
+            while end < 0:
+                more = f.read(min(max(65536, len(head)), stored - at - len(head)))
+                if not more:
+                    raise BadRecord(at)
+                end = (head + more).find(b"\r\n\r\n", max(0, len(head) - 3))
+                head += more
+            try:
+                size = next((int(x.split(b":")[1]) for x in head[:end].split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
+            except ValueError:
+                raise BadRecord(at) from None
+            if size < 0 or at + end + 4 + size > stored:
+                raise BadRecord(at)
             n = min(end + 4 + size + 4, stored - at)
             yield at, n
             at += n
@@ -140,8 +152,11 @@ def _walked(f, begin: int, stored: int, zipped: bool) -> Iterator[tuple[int, int
     while left or buf:
         if not buf:
             buf = f.read(min(1 << 20, left))
-            left -= len(buf)
-        z.decompress(buf)
+            left = left - len(buf) if buf else 0
+        try:
+            z.decompress(buf)
+        except zlib.error:
+            raise BadRecord(at) from None
         if z.eof:
             used = len(buf) - len(z.unused_data)
             pos += used
@@ -151,6 +166,8 @@ def _walked(f, begin: int, stored: int, zipped: bool) -> Iterator[tuple[int, int
         else:
             pos += len(buf)
             buf = b""
+    if pos > at:
+        raise BadRecord(at)
 
 
 def locate(path: str) -> list[tuple[str, str, int, int, str]]:
@@ -190,9 +207,10 @@ def locate(path: str) -> list[tuple[str, str, int, int, str]]:
                 out.append((path, member, None, None, "compressed"))
             elif member not in indexed:
                 try:
-                    out += [(path, member, at + a, n, "ok") for a, n in _walked(f, at, size, member.endswith(".gz"))]
-                except (zlib.error, ValueError):
-                    out.append((path, member, None, None, "bad record"))
+                    for a, n in _walked(f, at, size, member.endswith(".gz")):
+                        out.append((path, member, at + a, n, "ok"))
+                except BadRecord as bad:
+                    out.append((path, member, at + bad.args[0], None, "bad record"))
     return out
 
 

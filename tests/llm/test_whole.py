@@ -1,12 +1,13 @@
 """Cases in which an operator did less than the whole job."""
 
 import random
+import zipfile
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarry.llm import decontaminate, html_text, substring_dedup, suffix_dedup, toxicity, vec
+from quarry.llm import decontaminate, html_text, substring_dedup, suffix_dedup, toxicity, vec, warc
 
 from . import brute
 from .test_operators import table, words
@@ -121,3 +122,18 @@ def test_threshold_covers_all_documents(spark, monkeypatch):
     at = toxicity.fit(table(spark, docs), labels, prior=0.3, n_unl=20).threshold
     score = model.scores(*vec.buffers(vec.lower(pa.array([t for _, t in docs]))))
     assert -1 < at < 0 and (score <= at).mean() >= 0.7 > (score <= at - 1 / toxicity.CELLS).mean()
+
+
+def test_walked_archives_keep_what_comes_before_a_bad_record(tmp_path):
+    plain = [b"WARC/1.1\r\nX: " + b"x" * n + b"\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" for n in (5, 200_000, 9)]
+    packed = [warc.record(i, "u", "h") for i in range(3)]
+    for name, parts, good, bad in [
+        ("a.warc", plain, 3, 0), ("a.warc", plain + [b"junk"], 3, 1), ("a.warc", [*plain[:2], plain[2][:-6]], 2, 1),
+        ("a.warc.gz", packed, 3, 0), ("a.warc.gz", packed + [b"\0" * 9], 3, 1), ("a.warc.gz", [*packed[:2], packed[2][:-9]], 2, 1), ("a.warc.gz", [packed[0], b"junk", packed[1]], 1, 1),
+    ]:
+        with zipfile.ZipFile(tmp_path / "p.wacz", "w") as z:
+            z.writestr(f"archive/{name}", b"".join(parts))
+        got = warc.locate(f"file://{tmp_path}/p.wacz")
+        begin = got[0][2]
+        at = [begin + sum(map(len, parts[:k])) for k in range(good + bad)]
+        assert [(r[2], r[3], r[4]) for r in got] == [(a, len(p), "ok") for a, p in zip(at, parts[:good])] + [(a, None, "bad record") for a in at[good:]]
