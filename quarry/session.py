@@ -9,11 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Arrow batches between the JVM and Python hold so many bytes at most, else what a worker holds would go by the length of rows.
+BATCH_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package's sources to the executors, once per application; Spark's own file server
     hands them out, so nothing has to be installed there."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent

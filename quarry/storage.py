@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the cluster, or where that is unset (tests, local
-    mode) one of our own."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quarry.shared.dir", None)
+    """The folder all executors share: spark.checkpoint.dir of the session, or where that is unset, in local mode only, one of our own.
+    On a cluster a folder of one machine would be lost to the others, so there it must be set."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.shared.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.shared.dir", at)
     return at.rstrip("/") if "://" in at or at.startswith("hdfs:") else "file://" + at.rstrip("/")
