@@ -2,59 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
+from ..storage import saved, shared  # noqa: F401
 from . import vec
 
-#: A side is broadcast only when its rows, counted first, are known to stay below this.
+#: A side is broadcast only when its rows, measured first, are known to stay below this.
 BROADCAST_BYTES = 16 << 20
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir; where
-    that is unset (tests, local mode) one of our own."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quarry.shared.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("quarry.shared.dir", at)
-    return at.rstrip("/") if "://" in at or at.startswith("hdfs:") else "file://" + at.rstrip("/")
-
-
-def saved(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: lineage ends there, nothing is
-    computed twice and the loss of an executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def width(c: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((width(c.getField(f.name), f.dataType) for f in kind), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            each = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + width(x, kind.elementType))
+        else:
+            each = 8 * F.size(c).cast("long")
+        return F.coalesce(each, F.lit(0).cast("long")) + 24
+    return F.lit(8).cast("long")
 
 
-def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a saved table may be broadcast: by its counted rows, at row_bytes each."""
-    return df.count() * row_bytes <= limit
+def measured(df: DataFrame) -> int:
+    """Bytes of the rows of a saved table, in memory, about: its values are measured, whatever their length."""
+    return df.select(sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(24).cast("long")).alias("n")).agg(F.sum("n")).first()[0] or 0
 
 
-def joined(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """left JOIN right; right, a saved table, is broadcast if its checked size allows, else both
+def joined(left: DataFrame, right: DataFrame, on, how: str, limit: int | None = None) -> DataFrame:
+    """left JOIN right; right, a saved table, is broadcast if its measured size allows, else both
     sides are shuffled. The rows are the same either way."""
-    return left.join(F.broadcast(right) if fits(right, row_bytes, limit) else right, on, how)
+    return left.join(F.broadcast(right) if measured(right) <= (BROADCAST_BYTES if limit is None else limit) else right, on, how)
 
 
 def text_udf(f, returns: str):
     """A column function of a text column: f takes an Arrow string array of about a megabyte and gives
-    an array of the same length. Runs on Arrow batches; nothing is converted row by row."""
+    an array of the same length. Runs on Arrow batches, which the session bounds by bytes; nothing is converted row by row."""
 
     def whole(v: pa.Array) -> pa.Array:
         out = [f(v.slice(i, j - i)) for i, j in vec.spans(v)]
         if not out:
             out = [f(v)]
-        return pa.concat_arrays(out) if len(out) > 1 else out[0]
+        got = pa.concat_arrays(out) if len(out) > 1 else out[0]
+        del out
+        vec.trim()
+        return got
 
     whole.__annotations__ = {"v": pa.Array, "return": pa.Array}
     return F.arrow_udf(returns)(whole)

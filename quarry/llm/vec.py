@@ -3,11 +3,13 @@
 Everything here works on the raw UTF-8 bytes of a whole Arrow string column at once (numpy, no
 per-row Python): word boundaries, 64-bit word hashes, hashes of k consecutive words and sliding
 minima. Hashes only ever *select* candidates or name words; operators that drop text compare the
-text itself (or a second, independent 64-bit hash of it) before acting.
+text itself (windows of words that many documents have: a second, independent 64-bit hash of it) before acting.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +21,27 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
+#: A second hash of words, independent of the first.
+_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_P2 = 0xC2B2AE3D27D4EB4F | 1
 _pow: dict[int, np.ndarray] = {}
 
 
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on after their task, beside those of the next one."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; grown on demand and kept per worker."""
     have = _pow.get(base)
@@ -69,6 +89,7 @@ def pieces(batches: Iterator[pa.RecordBatch], col: str, limit: int = 1 << 20) ->
             continue
         for i, j in spans(b.column(b.schema.get_field_index(col)), limit):
             yield b.slice(i, j - i)
+        trim()
 
 
 def spans(arr: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -121,10 +142,17 @@ def words(data: np.ndarray, off: np.ndarray, normalised: bool = False) -> tuple[
     return s, np.flatnonzero(end) + 1, np.searchsorted(s, off)
 
 
-def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, block: int = 1 << 21) -> np.ndarray:
-    """64-bit hash of each byte range (ends ascending), worked off in blocks so that memory stays flat for any text length."""
+def symbols(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for the same bytes only."""
+    raw, seen = data.tobytes(), {}
+    return np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(s.tolist(), e.tolist())), np.int64, len(s))
+
+
+def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, block: int = 1 << 21, second: bool = False) -> np.ndarray:
+    """64-bit hash of each byte range (ends ascending), worked off in blocks so that memory stays flat for any text length; second: another one."""
     out = np.empty(len(s), U64)
-    inv = inverse(_P)
+    base, table = (_P2, _BYTE2) if second else (_P, _BYTE)
+    inv = inverse(base)
     i = 0
     while i < len(s):
         j = max(i + 1, int(np.searchsorted(e, s[i] + block, "right")))
@@ -133,12 +161,12 @@ def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, block: int = 1 <
             h, scale = 0, 1
             for x in range(a, b, block):
                 part = data[x : min(b, x + block)]
-                h = (h + scale * int((_BYTE[part] * powers(_P, len(part))).sum(dtype=U64))) % 2**64
-                scale = scale * pow(_P, len(part), 2**64) % 2**64
+                h = (h + scale * int((table[part] * powers(base, len(part))).sum(dtype=U64))) % 2**64
+                scale = scale * pow(base, len(part), 2**64) % 2**64
             out[i] = h
         else:
             c = np.zeros(b - a + 1, U64)
-            np.cumsum(_BYTE[data[a:b]] * powers(_P, b - a), out=c[1:])
+            np.cumsum(table[data[a:b]] * powers(base, b - a), out=c[1:])
             out[i:j] = (c[e[i:j] - a] - c[s[i:j] - a]) * powers(inv, b - a + 1)[s[i:j] - a]
         i = j
     return mix(out + (e - s).astype(U64))
