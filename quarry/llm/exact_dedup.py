@@ -3,7 +3,7 @@
 Each text is cut where a hash rolling over `WIDTH` bytes hits a mask, so equal stretches are cut alike
 wherever they stand; the ordered list of (chunk hash, length) is the document's recipe. A recipe that no
 other document has cannot belong to a copy, so bytes move only for documents whose recipe repeats, and of
-each chunk they share only one copy leaves a task. There every chunk hash is verified byte by byte
+each chunk they share only one copy leaves a task. Texts are cut once, in one pass over their bytes. Every chunk hash is verified byte by byte
 (smallest = largest content of that hash); a hash that stands for several contents is replaced by the
 content itself. Documents are then equal exactly when their ordered lists of verified identifiers are.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,22 @@ def _recipe(v: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([lists(pa.array(h), n), lists(pa.array((ends - starts).astype(np.int32)), n)], ["h", "n"])
 
 
+def cut():
+    """Column function: the bytes of a text's chunks, by the lengths of its recipe."""
+
+    def f(t: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for i, j in vec.spans(t):
+            data, _ = vec.buffers(t.slice(i, j - i))
+            lens = n.slice(i, j - i)
+            flat = np.asarray(lens.flatten(), np.int64)
+            out.append(lists(vec.texts(data, flat, pa.large_binary()).cast(pa.binary()), np.asarray(pa.compute.list_value_length(lens).fill_null(0))))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.binary()))
+
+    f.__annotations__ = {"t": pa.Array, "n": pa.Array, "return": pa.Array}
+    return F.arrow_udf("array<binary>")(f)
+
+
 def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, text, r (chunk hashes and lengths, null for a null text), key (a hash of r)."""
     r = text_udf(_recipe, "struct<h: array<bigint>, n: array<int>>")
@@ -70,21 +87,17 @@ def exact_duplicates(docs: DataFrame, recipe_of=recipes) -> DataFrame:
     """doc_id, group_id (the smallest doc_id with this text), copies, duplicate for every row."""
     lists_ = saved(recipe_of(docs).select("doc_id", "r", "key"), "recipes")
     again = saved(lists_.where("key is not null").groupBy("key").count().where("count > 1").select("key"), "recipe-keys")
-    moved = joined(recipe_of(docs), again, "key", "left_semi", 16)
-    chunks = moved.select(F.posexplode("r.h").alias("i", "h"), "r", "text").select(
-        "h", F.element_at("r.n", F.col("i") + 1).alias("n"), F.expr("aggregate(slice(r.n, 1, i), 0, (a, x) -> a + x)").alias("s"), F.encode("text", "UTF-8").alias("b")
-    )
-    chunks = chunks.select("h", "n", F.expr("substring(b, s + 1, n)").alias("b"))
+    moved = joined(recipe_of(docs), again, "key", "left_semi")
+    chunks = moved.select(F.explode(F.arrays_zip(F.col("r.h").alias("h"), F.col("r.n").alias("n"), cut()("text", "r.n").alias("b"))).alias("c")).select("c.*")
     clash = saved(chunks.groupBy("h", "n").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi").select("h", "n"), "clashes")
     if clash.isEmpty():
         ids = lists_.withColumn("exact", F.lit(None).cast("array<binary>"))
     else:  # these chunks are their own identifiers
-        known = clash.agg(F.collect_set("h").alias("bad"))
-        full = recipe_of(docs).crossJoin(F.broadcast(known))
-        spelled = F.expr(
-            "transform(r.h, (h, i) -> case when array_contains(bad, h) then substring(encode(text, 'UTF-8'), aggregate(slice(r.n, 1, i), 0, (a, x) -> a + x) + 1, r.n[i]) end)"
-        )
-        ids = full.select("doc_id", "r", "key", F.when(F.arrays_overlap("r.h", "bad"), spelled).alias("exact"))
+        found = saved(lists_.where("key is not null").select("key", F.explode(F.arrays_zip(F.col("r.h").alias("h"), F.col("r.n").alias("n"))).alias("c")).select("key", "c.*").distinct(), "clash-recipes")
+        bad = saved(joined(found, clash, ["h", "n"], "inner").groupBy("key").agg(F.collect_set(F.struct("h", "n")).alias("bad")), "clash-keys")
+        full = joined(recipe_of(docs), bad, "key", "left").withColumn("b", cut()("text", "r.n"))
+        spelled = F.expr("transform(b, (x, i) -> case when array_contains(bad, named_struct('h', r.h[i], 'n', r.n[i])) then x end)")
+        ids = full.select("doc_id", "r", "key", F.when(F.col("bad").isNotNull(), spelled).alias("exact"))
     same = Window.partitionBy("key", "r", "exact", F.when(F.col("key").isNull(), F.col("doc_id")))
     return ids.select(
         "doc_id",
