@@ -1,6 +1,6 @@
 r"""Line dedup by content-defined chunks of lines.
 
-Lines (split at \n) are hashed; a hash rolling over `WINDOW` line hashes decides after which lines a
+Lines (split at \n) are hashed; a hash rolling over two line hashes decides after which lines a
 chunk ends, so a passage of lines is cut alike wherever it stands. Chunks of at least two non-blank lines
 that occur more than once in the corpus are compared byte by byte, and all occurrences but the first (by
 doc_id, then line) are removed. Single lines are left alone, whatever their number.
@@ -37,18 +37,20 @@ def keyed(docs: DataFrame) -> DataFrame:
 def chunks(docs: DataFrame) -> DataFrame:
     """doc_id, th, c (first line, lines), content: the multi-line chunks of every document."""
     df = keyed(docs).withColumn("h", F.expr(HASHES)).withColumn("ends", F.expr(ENDS))
-    df = df.select("doc_id", "th", "lines", F.explode(F.expr(CHUNKS)).alias("c")).where("c.n > 1")
-    return df.where("size(filter(slice(lines, c.start + 1, c.n), x -> length(trim(x)) > 0)) > 1").select("doc_id", "th", "c", F.expr(CONTENT).alias("content"))
+    multi = f"filter({CHUNKS}, c -> c.n > 1 and size(filter(slice(lines, c.start + 1, c.n), x -> length(trim(x)) > 0)) > 1)"
+    df = df.select("doc_id", "th", F.explode(F.expr(f"transform({multi}, c -> named_struct('c', c, 'content', {CONTENT}))")).alias("x"))
+    return df.select("doc_id", "th", "x.c", "x.content")
 
 
 def removals(docs: DataFrame, key=lambda c: F.xxhash64(c)) -> DataFrame:
     """doc_id, th, gone: the chunks (first line, lines) to take out of each document, in order."""
     found = saved(chunks(docs).select("doc_id", "th", "c.start", "c.n", key("content").alias("key")).distinct(), "line-chunks")
     often = saved(found.groupBy("key").count().where("count > 1").select("key"), "line-keys")
-    seen = saved(joined(found, often, "key", "left_semi", 16), "line-repeats")
+    seen = saved(joined(found, often, "key", "left_semi"), "line-repeats")
     where = saved(seen.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "key")).alias("cs")), "line-docs")
-    spelled = joined(keyed(docs), where, ["doc_id", "th"], "inner", 96).select("doc_id", "th", "lines", F.explode("cs").alias("c"))
-    spelled = spelled.select("doc_id", "th", "c.start", "c.n", "c.key", F.expr(CONTENT).alias("content"))
+    contents = F.expr(f"transform(cs, c -> named_struct('c', c, 'content', {CONTENT}))")  # cut before they part: a chunk never carries its text
+    spelled = joined(keyed(docs), where, ["doc_id", "th"], "inner").select("doc_id", "th", F.explode(contents).alias("x"))
+    spelled = spelled.select("doc_id", "th", "x.c.start", "x.c.n", "x.c.key", "x.content")
     clash = saved(spelled.groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi").select("key"), "line-clashes")
     if clash.isEmpty():
         same = seen.select("doc_id", "th", "start", "n", F.struct("key").alias("same"))
@@ -73,7 +75,7 @@ def line_dedup(docs: DataFrame, count: str | None = None, **kw) -> DataFrame:
     column with the number of lines removed."""
     gone = saved(removals(docs, **kw), "line-gone")
     th, g, ls, new = (hidden(docs, c) for c in ("th", "gone", "lines", "kept"))
-    df = joined(docs.withColumn(th, F.xxhash64("text")), gone.select(F.col("doc_id"), F.col("th").alias(th), F.col("gone").alias(g)), ["doc_id", th], "left", 64)
+    df = joined(docs.withColumn(th, F.xxhash64("text")), gone.select(F.col("doc_id"), F.col("th").alias(th), F.col("gone").alias(g)), ["doc_id", th], "left")
     changed = F.col(g).isNotNull()
     df = df.withColumn(ls, F.when(changed, F.split("text", "\n"))).withColumn(new, F.when(changed, F.expr(kept(f"`{ls}`", f"`{g}`"))))
     text = F.coalesce(F.col(new), F.col("text"))
