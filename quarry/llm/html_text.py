@@ -29,9 +29,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HIDDEN = frozenset("noscript template svg math object select".split())
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|(<(script|style|iframe|textarea|title)\b[^>]*>).*?(?:</\2\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:"[^"]{0,65536}"|'[^']{0,65536}'|[^>"'])*+>|</?[a-zA-Z][^>]*>|<[!?][^>]*>""",
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?][^>]*>""",
     re.S | re.I,
 )
+#: The rest of a tag; a `>` in a quoted value of any length doesn't end it.
+_REST = re.compile(r"""(?:"[^"]*+"|'[^']*+'|[^>"'])*+>""")
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, bool]]:
@@ -39,14 +41,21 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool]]:
     found: list[tuple[int, int, str, bool]] = []
     till: dict[int, int] = {}  # hidden element -> its end tag
     opened: dict[str, list[int]] = {}
-    at = 0
+    at, quotes = 0, True
     while m := _TAG.search(page, at):
         at = m.end()
         name, ends = (m[2] or m[4] or "").lower(), bool(m[3])
+        if m[4]:
+            rest = _REST.match(page, at) if quotes else None
+            if rest is None:  # a quote is never closed: from here on quotes mean nothing, so a page is scanned once
+                quotes, end = False, page.find(">", at)
+                if end < 0:
+                    continue
+            at = rest.end() if rest else end + 1
         if m[1] and m[1].endswith("/>") and (opened.get("svg") or opened.get("math")):
             at = m.end(1)  # closed in itself, as anything may be there
         if name in HIDDEN:
-            if not ends and not (name in ("svg", "math") and m[0].endswith("/>")):
+            if not ends and not (name in ("svg", "math") and page.startswith("/>", at - 2)):
                 opened.setdefault(name, []).append(len(found))
             elif ends and opened.get(name):
                 till[opened[name].pop()] = len(found)
