@@ -7,7 +7,8 @@ documents. Only those windows move; all others are provably free of repeats. Eac
 lies in exactly one window, hence windows of different minimizers never need to be compared.
 
 Windows of the same words are collapsed before they move on (`distinct`), so a passage that stands in thousands of
-documents costs one window and thousands of small occurrence rows.
+documents costs one window and thousands of small occurrence rows. Words are the same when their names, 64-bit hashes, are, and a second
+hash independent of the first agrees: a name for which it doesn't is divided by it. Within a shard words are compared byte by byte.
 
 Texts of one doc_id are kept apart by a hash; doc_id alone says whether two documents differ.
 """
@@ -32,16 +33,16 @@ MOST = LENGTH
 SHARD_WORDS = 400_000
 
 
-def windows_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K):
-    """minimizer, document, first word (in its document), words, name (hash of the words), from byte, to byte
+def windows_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K, word_hash=vec.word_hashes):
+    """minimizer, document, first word (in its document), words, name and check (two hashes of the words), from byte, to byte
     (in its document) of every window."""
     s, e, first = vec.words(data, off)
-    h = vec.word_hashes(data, s, e)
+    h = word_hash(data, s, e)
     m = vec.sliding_min(vec.kgrams(h, k), length - k + 1)
     at = np.flatnonzero(vec.inside(first, len(h), length))
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, z, z, z, z
+        return z.astype(np.uint64), z, z, z, z, z, z, z
     doc = np.searchsorted(first, at, "right") - 1
     mm = m[at]
     new = np.ones(len(at), bool)
@@ -51,31 +52,33 @@ def windows_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int =
     start = np.flatnonzero(place % MOST == 0)
     n = np.diff(np.append(start, len(at))) + length - 1
     a = at[start]
-    c = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * vec.powers(vec._Q, len(h)), out=c[1:])
-    name = vec.mix((c[a + n] - c[a]) * vec.powers(vec.inverse(vec._Q), len(h))[a] + n.astype(np.uint64))
+    names = []
+    for own, q in ((h, vec._Q), (vec.word_hashes(data, s, e, second=True), vec._P)):
+        c = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * vec.powers(q, len(own)), out=c[1:])
+        names.append(vec.mix((c[a + n] - c[a]) * vec.powers(vec.inverse(q), len(own))[a] + n.astype(np.uint64)).view(np.int64))
     d = doc[start]
-    return mm[start], d, a - first[d], n, name.view(np.int64), s[a] - off[d], e[a + n - 1] - off[d]
+    return mm[start], d, a - first[d], n, *names, s[a] - off[d], e[a + n - 1] - off[d]
 
 
-def _rows(length: int, k: int):
+def _rows(length: int, k: int, word_hash):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vec.pieces(it, "text"):
             data, off = vec.buffers(b.column("text"))
-            m, d, at, n, name, _, _ = windows_of(data, off, length, k)
+            m, d, at, n, name, check, _, _ = windows_of(data, off, length, k, word_hash)
             ids, th = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(ids[d]), pa.array(th[d]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name)], ["minimizer", "doc_id", "th", "at", "n", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(ids[d]), pa.array(th[d]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name), pa.array(check)], ["minimizer", "doc_id", "th", "at", "n", "name", "check"])
 
     return run
 
 
-def _contents(length: int, k: int):
+def _contents(length: int, k: int, word_hash):
     """The words of the windows listed in `wanted` (name, at, last_doc) of each row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vec.pieces(it, "text"):
             data, off = vec.buffers(b.column("text"))
-            m, d, at, n, name, lo, hi = windows_of(data, off, length, k)
+            m, d, at, n, _, _, lo, hi = windows_of(data, off, length, k, word_hash)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             wanted = b.column("wanted")
             sets = wanted.flatten()
@@ -87,7 +90,8 @@ def _contents(length: int, k: int):
             own = (d.astype(np.int64) << 32) | at
             i = np.searchsorted(asked, own)
             i[i == len(asked)] = 0
-            keep = (asked[i] == own) & (names[order][i] == name) if len(asked) else np.zeros(len(own), bool)
+            keep = asked[i] == own if len(asked) else np.zeros(len(own), bool)
+            name = names[order][i] if len(asked) else np.zeros(len(own), np.int64)
             texts = [bytes(data[x:y]) for x, y in zip((lo + off[d])[keep].tolist(), (hi + off[d])[keep].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(m.view(np.int64)[keep]), pa.array(name[keep]), pa.array(n[keep].astype(np.int32)), pa.array(texts, pa.binary()), pa.array(ids[d][keep]), pa.array(at[keep].astype(np.int32)), pa.array(last[order][i[keep]] if len(asked) else np.zeros(0, np.int64))],
@@ -97,22 +101,26 @@ def _contents(length: int, k: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, word_hash=vec.word_hashes) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occurrences, windows, involved): doc_id, th (a hash that tells texts of one doc_id apart), at, n, name, minimizer of all windows whose
     minimizer stands in two documents; minimizer, name, n, words, first_doc, first_at (where it stands first), last_doc of the distinct ones, once
     for each row that repeats doc_id and text; and the texts (doc_id, th, text) that have such windows, no others having repeats. All texts are
     shuffled once, to meet the list of their windows; from there on only the texts involved move."""
     whole = docs_only(docs, "doc_id", "text").where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    every = saved(whole.mapInArrow(_rows(length, k), "minimizer long, doc_id long, th long, at int, n int, name long"), "windows")
+    every = saved(whole.mapInArrow(_rows(length, k, word_hash), "minimizer long, doc_id long, th long, at int, n int, name long, check long"), "windows")
     often = every.groupBy("minimizer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("minimizer")
     seen = saved(every.join(often, "minimizer").distinct(), "repeated-windows")
+    clash = saved(seen.groupBy("name").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("name"), "window-clashes")
+    if not clash.isEmpty():
+        seen = seen.join(clash.withColumn("bad", F.lit(True)), "name", "left").withColumn("name", F.when(F.col("bad"), F.xxhash64("name", "check")).otherwise(F.col("name"))).drop("bad")
+    seen = seen.drop("check")
     by_name = seen.groupBy("name").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"), F.max("doc_id").alias("last_doc"))
     asked = F.struct("name", F.col("first.at").alias("at"), "last_doc")
     wanted = by_name.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_list(asked).alias("wanted"))
     none = F.expr("cast(array() as array<struct<name: bigint, at: int, last_doc: bigint>>)")
     lists_ = saved(seen.select("doc_id", "th").distinct().join(wanted, ["doc_id", "th"], "left").select("doc_id", "th", F.coalesce("wanted", none).alias("wanted")), "wanted")
     involved = saved(whole.join(lists_, ["doc_id", "th"]), "involved")
-    content = involved.where("size(wanted) > 0").mapInArrow(_contents(length, k), "minimizer long, name long, n int, words binary, first_doc long, first_at int, last_doc long")
+    content = involved.where("size(wanted) > 0").mapInArrow(_contents(length, k, word_hash), "minimizer long, name long, n int, words binary, first_doc long, first_at int, last_doc long")
     return seen, saved(content, "distinct-windows"), involved.select("doc_id", "th", "text")
 
 

@@ -67,7 +67,7 @@ def marks_of(length: int):
         t = once(t).sort_by([("first_doc", "ascending"), ("first_at", "ascending"), ("name", "ascending")]).combine_chunks()
         data, off = vec.buffers(t.column("words"))
         s, e, first = vec.words(data, off)
-        _, ids = np.unique(vec.word_hashes(data, s, e), return_inverse=True)
+        ids = vec.symbols(data, s, e)
         doc, last = t.column("first_doc").to_numpy(), t.column("last_doc").to_numpy()
         n = len(doc)
         later = list(earlier_matches(doc, np.arange(n), ids, first, length))
@@ -86,15 +86,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     return _spans(docs, length, k)[0].drop("th")
 
 
-def _spans(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
-    seen, windows, involved = repeated_windows(docs, length, k)
+def _spans(docs: DataFrame, length: int, k: int, **kw) -> tuple[DataFrame, DataFrame]:
+    seen, windows, involved = repeated_windows(docs, length, k, **kw)
     marks = sharded(windows, SHARD_WORDS).groupBy("shard").applyInArrow(marks_of(length), MARKS)
     return placed(seen, marks), involved
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, **kw) -> DataFrame:
     """doc_id, repeated, removed and the remaining text, for every document with a repeated passage."""
-    spans, involved = _spans(docs, length, k)
+    spans, involved = _spans(docs, length, k, **kw)
     return without_spans(involved, spans)
 
 

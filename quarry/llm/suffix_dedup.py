@@ -3,14 +3,15 @@
 The collection's Burrows-Wheeler transform, suffix order and common prefixes are built as in Bauer, Cox and
 Rosone's method (and its extension to common prefixes): there is one round per symbol position, counted from the right end;
 in each round every document still running gives one symbol, its new suffix's place is found from the place of its
-previous suffix (symbols smaller, then equal symbols further up), and the columns are rewritten in one
-sequential pass: the old file is read front to back, the new one is written with the new rows in their places, and
-the common prefixes of new rows with their neighbours are set. The files live in the folder all executors share and are
+previous suffix (symbols smaller, then equal symbols further up), and the columns are rewritten in
+sequential passes: the old file is read front to back once to find the places and once more to write the new one with the new rows in
+them, `BLOCK` rows at a time; the common prefixes of new rows with their neighbours are set on the way. Memory holds a block and a few numbers for each
+document, never the columns. The files live in the folder all executors share and are
 removed as soon as the next round's is written.
 
 "Documents" of a construction are the windows of repeats.py (at most 2 * LENGTH words, so a bounded number of
 rounds whatever the length of a text), collected into shards by minimizer. Suffixes whose common prefix is LENGTH words or
-longer form the repeats; each is traced back to all its occurrences.
+longer, then compared word by word, form the repeats; each is traced back to all its occurrences.
 
 Result: for every document with a passage of LENGTH words or more that another document has, the ranges of words
 that are repeated, and those to be removed because a document with a smaller doc_id has them.
@@ -23,6 +24,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,14 @@ from . import vec
 from .common import shared
 from .repeats import K, LENGTH, MARKS, once, placed, ranges, repeated_windows, sharded, without_spans
 
-#: Columns of the external file: parent key, window, suffix length, common prefix, preceding symbol.
-COLUMNS = (("key", np.uint64), ("win", np.int32), ("len", np.int32), ("lcp", np.int32), ("bwt", np.int32))
+#: A row of the external file: parent key, window, suffix length, common prefix, preceding symbol.
+ROW = np.dtype([("key", np.uint64), ("win", np.int32), ("len", np.int32), ("lcp", np.int32), ("bwt", np.int32)])
+#: Rows read or written at a time.
+BLOCK = 1 << 16
 
 
-class ExternalColumns:
-    """The rows of a round in one file: column after column, read and written from front to back."""
+class ExternalRows:
+    """The rows of a round in one file, read and written from front to back."""
 
     def __init__(self, folder: str) -> None:
         self.fs, base = pa.fs.FileSystem.from_uri(folder)
@@ -46,37 +50,25 @@ class ExternalColumns:
         self.fs.create_dir(self.base)
         self.round, self.rows = -1, 0
 
-    def write(self, columns: dict[str, np.ndarray]) -> None:
+    def write(self, blocks: Iterator[np.ndarray]) -> None:
+        rows = 0
         with self.fs.open_output_stream(f"{self.base}/{self.round + 1}") as f:
-            for name, kind in COLUMNS:
-                f.write(np.ascontiguousarray(columns[name], kind))
+            for b in blocks:
+                f.write(b.tobytes())
+                rows += len(b)
         if self.round >= 0:
             self.fs.delete_file(f"{self.base}/{self.round}")
-        self.round += 1
-        self.rows = len(columns["key"])
+        self.round, self.rows = self.round + 1, rows
 
-    def read(self) -> dict[str, np.ndarray]:
-        out = {}
+    def blocks(self) -> Iterator[np.ndarray]:
         with self.fs.open_input_stream(f"{self.base}/{self.round}") as f:
-            for name, kind in COLUMNS:
-                out[name] = np.frombuffer(f.read(self.rows * np.dtype(kind).itemsize), kind)
-        return out
+            for i in range(0, self.rows, BLOCK):
+                yield np.frombuffer(f.read(min(BLOCK, self.rows - i) * ROW.itemsize), ROW)
 
     def close(self) -> None:
         self.fs.delete_dir(self.base)
 
 
-def merged_in(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """One sequential merge: new[i] goes before old[at[i]]; at is ascending."""
-    out = np.empty(len(old) + len(new), old.dtype)
-    put = at + np.arange(len(at))
-    mask = np.ones(len(out), bool)
-    mask[put] = False
-    out[put] = new
-    out[mask] = old
-    return out
-
-
 def common_prefix(code: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Length of the common prefix of the symbols at a and at b, `most` at most: bisection over hashes
     of prefixes (code: running hash of all symbols)."""
@@ -90,55 +82,78 @@ def common_prefix(code: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarr
     return lo
 
 
-def construct(symbols: np.ndarray, n: np.ndarray, folder: str) -> dict[str, np.ndarray]:
-    """symbols: those of all documents, joined, from 1 up; n: their lengths. Gives the rows in suffix order:
+def construct(symbols: np.ndarray, n: np.ndarray, folder: str) -> Iterator[np.ndarray]:
+    """symbols: those of all documents, joined, from 1 up; n: their lengths. Gives the rows in suffix order, block by block:
     win and len name the suffix, lcp its common prefix with the row before, bwt the symbol before it (0: none)."""
     m = len(n)
     base = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
     code = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum(vec.mix(symbols.astype(np.uint64)) * vec.powers(vec._Q, len(symbols)), out=code[1:])
-    files = ExternalColumns(folder)
+    low = np.uint64(0xFFFFFFFF)
+
+    def empty() -> Iterator[np.ndarray]:  # round 0: the empty suffix of each document, in the order of the documents
+        for i in range(0, m, BLOCK):
+            d = np.arange(i, min(m, i + BLOCK))
+            b = np.zeros(len(d), ROW)
+            b["key"], b["win"], b["bwt"] = d, d, symbols[base[d] + n[d] - 1]
+            yield b
+
+    def inserted(new: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """The old rows with new[i] before row at[i]; at is ascending."""
+        done, before, last = 0, 0, np.zeros(1, ROW)
+        was_new = False
+        olds = files.blocks()
+        while before < files.rows or done < len(new):
+            old = next(olds, np.zeros(0, ROW))
+            end = int(np.searchsorted(at, before + len(old), "left")) if before + len(old) < files.rows else len(new)
+            put = at[done:end] - before + np.arange(end - done)
+            b, is_new = np.empty(len(old) + end - done, ROW), np.zeros(len(old) + end - done, bool)
+            is_new[put] = True
+            b[is_new], b[~is_new] = new[done:end], old
+            parent = (b["key"] & low).astype(np.int64)  # moved by as many rows as went in up to it
+            b["key"] += np.where(b["key"] > low, np.searchsorted(at, parent, "right"), 0).astype(np.uint64)
+            prev = np.concatenate([last, b[:-1]])
+            touched = np.flatnonzero(is_new | np.append(was_new, is_new[:-1])[: len(b)])
+            touched = touched[touched + before + done > 0]
+            x, y = prev[touched], b[touched]
+            lx, ly = x["len"].astype(np.int64), y["len"].astype(np.int64)
+            b["lcp"][touched] = common_prefix(code, base[x["win"]] + n[x["win"]] - lx, base[y["win"]] + n[y["win"]] - ly, np.minimum(lx, ly))
+            before, done, last, was_new = before + len(old), end, b[-1:], bool(is_new[-1])
+            yield b
+
+    files = ExternalRows(folder)
     try:
-        # round 0: the empty suffix of each document, in the order of the documents
-        files.write({"key": np.arange(m), "win": np.arange(m), "len": np.zeros(m), "lcp": np.zeros(m), "bwt": symbols[base + n - 1]})
+        files.write(empty())
         place = np.arange(m)  # of each document's latest suffix
         for r in range(1, int(n.max(initial=0)) + 1):
-            old = files.read()
             live = np.flatnonzero(n >= r)
             start = base[live] + n[live] - r
             key = (symbols[start].astype(np.uint64) << np.uint64(32)) | place[live].astype(np.uint64)
             order = np.argsort(key)
             live, start, key = live[order], start[order], key[order]
-            at = np.searchsorted(old["key"], key)
-            shift = np.zeros(files.rows + 1, np.int64)  # by how much a row moves
-            np.add.at(shift, at, 1)
-            shift = np.cumsum(shift)
-            moved = merged_in(old["key"], at, key)
-            parent = (moved & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            has = moved >= np.uint64(1 << 32)
-            moved = moved + np.where(has, shift[np.where(has, parent, 0)], 0).astype(np.uint64)
-            now = {
-                "key": moved,
-                "win": merged_in(old["win"], at, live),
-                "len": merged_in(old["len"], at, np.full(len(live), r)),
-                "lcp": merged_in(old["lcp"], at, np.zeros(len(live), np.int32)),
-                "bwt": merged_in(old["bwt"], at, np.where(n[live] > r, symbols[np.maximum(start - 1, 0)], 0)),
-            }
-            place = place + shift[place]
-            put = at + np.arange(len(at))
-            place[live] = put
-            touched = np.unique(np.concatenate([put, put + 1]))
-            touched = touched[(touched > 0) & (touched < len(moved))]
-            x, y = touched - 1, touched
-            lx, ly = now["len"][x].astype(np.int64), now["len"][y].astype(np.int64)
-            wx, wy = now["win"][x], now["win"][y]
-            now["lcp"][touched] = common_prefix(code, base[wx] + n[wx] - lx, base[wy] + n[wy] - ly, np.minimum(lx, ly))
-            files.write(now)
-        return files.read() if m else {k: np.zeros(0, t) for k, t in COLUMNS}
+            at = np.zeros(len(key), np.int64)
+            for b in files.blocks():  # keys are ascending: a key's place is the number of smaller ones
+                at += np.searchsorted(b["key"], key)
+            new = np.zeros(len(key), ROW)
+            new["key"], new["win"], new["len"], new["bwt"] = key, live, r, np.where(n[live] > r, symbols[np.maximum(start - 1, 0)], 0)
+            files.write(inserted(new, at))
+            place = place + np.searchsorted(at, place, "right")
+            place[live] = at + np.arange(len(at))
+        yield from files.blocks()
     finally:
         files.close()
 
 
+def agreed(symbols: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """group, ascending, divided where neighbours' first `length` symbols are not the same: equal hashes aren't enough."""
+    new = np.ones(len(group), bool)
+    new[1:] = group[1:] != group[:-1]
+    for k in range(length):
+        x = symbols[start + k]
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new) - 1
+
+
 def marks_of(folder: str, length: int):
     """Marks of one shard's windows."""
 
@@ -146,13 +161,19 @@ def marks_of(folder: str, length: int):
         t = once(t)
         data, off = vec.buffers(t.column("words"))
         s, e, first = vec.words(data, off)
-        _, symbols = np.unique(vec.word_hashes(data, s, e), return_inverse=True)
+        symbols = vec.symbols(data, s, e) + 1
         n = np.diff(first)
-        rows = construct(symbols.astype(np.int64) + 1, n, folder)
         doc, last = t.column("first_doc").to_numpy(), t.column("last_doc").to_numpy()
-        use = rows["len"] >= length
-        group = np.cumsum(rows["lcp"] < length)[use]
-        win, at = rows["win"][use].astype(np.int64), (n[rows["win"]] - rows["len"])[use]
+        groups, count, rest = [], 0, []
+        for rows in construct(symbols, n, folder):
+            group = np.cumsum(rows["lcp"] < length) + count
+            count = int(group[-1])
+            use = rows["len"] >= length
+            groups.append(group[use])
+            rest.append(np.stack([rows["win"][use].astype(np.int64), (n[rows["win"]] - rows["len"])[use]], 1))
+        group = np.concatenate([np.zeros(0, np.int64), *groups])
+        win, at = np.concatenate([np.zeros((0, 2), np.int64), *rest]).T
+        group = agreed(symbols, first[win] + at, group, length)
         if len(group):
             group = group - group.min()
             lo, hi = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
@@ -179,14 +200,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     return _spans(docs, length, k)[0].drop("th")
 
 
-def _spans(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
-    seen, windows, involved = repeated_windows(docs, length, k)
+def _spans(docs: DataFrame, length: int, k: int, **kw) -> tuple[DataFrame, DataFrame]:
+    seen, windows, involved = repeated_windows(docs, length, k, **kw)
     folder = shared(docs.sparkSession)
     marks = sharded(windows).groupBy("shard").applyInArrow(marks_of(folder, length), MARKS)
     return placed(seen, marks), involved
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, **kw) -> DataFrame:
     """doc_id, repeated, removed and the remaining text, for every document with a repeated passage."""
-    spans, involved = _spans(docs, length, k)
+    spans, involved = _spans(docs, length, k, **kw)
     return without_spans(involved, spans)
