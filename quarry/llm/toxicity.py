@@ -9,18 +9,21 @@ the class-prior-corrected one with the non-negativity constraint (du Plessis 201
 and where the second part of a mini-batch falls below zero its gradient is followed upwards. The
 prior is the share of toxic rows among all rows of `labels` unless it is given.
 
-Training uses a bounded sample (`n_pos` confirmed documents and `n_unl` of all documents, those
+Features are chosen by their document frequencies, counted over all confirmed and over all documents: the `keep` for which the former most
+exceeds the latter, by a two-sample z of 3 at least, of those that `least` confirmed documents have. Only the weights of the chosen
+ones are fitted on a bounded sample (`n_pos` confirmed documents and `n_unl` of all documents, those
 with the smallest hash of doc_id), which is what bounds the driver's part; scoring covers all text of
 all documents. A document is toxic when its score exceeds the model's threshold: the score that a share
 `prior` of all documents exceeds, held between log-odds of -1 and 0. It comes from a histogram of all scores.
 
 Edge cases: a null or empty text has no features, scores the bias and is never toxic; rows with a null
 doc_id are scored like others; labels with null toxic or doc_id are ignored; an empty `labels` or no
-toxic row gives a model that rejects nothing; repeated rows are each scored; extra columns pass.
+toxic row gives a model that rejects nothing; repeated rows are each scored; extra columns pass. doc_id is an integer in both tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import hidden, lists, text_udf
+from .common import docs_only, hidden, joined, lists, saved, text_udf
 
 BITS = 18
 DIM = 1 << BITS
@@ -61,6 +64,8 @@ class Model:
     bias: float
     threshold: float
     prior: float
+    #: Steps in which the negative part of the risk fell below zero and was climbed back.
+    climbed: int = 0
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         d, f = features(data, off, self.weights != 0)
@@ -71,8 +76,12 @@ def select(start: np.ndarray, feat: np.ndarray, is_pos: np.ndarray, keep: int, l
     """Features whose document frequency among confirmed rows most exceeds that among unlabelled
     ones (two-sample z), of those in `least` confirmed rows at least."""
     row_pos = np.repeat(is_pos, np.diff(start))
-    n1, n0 = max(1, is_pos.sum()), max(1, (~is_pos).sum())
-    c1, c0 = np.bincount(feat[row_pos], minlength=DIM), np.bincount(feat[~row_pos], minlength=DIM)
+    return chosen_of(is_pos.sum(), (~is_pos).sum(), np.bincount(feat[row_pos], minlength=DIM), np.bincount(feat[~row_pos], minlength=DIM), keep, least)
+
+
+def chosen_of(n1: int, n0: int, c1: np.ndarray, c0: np.ndarray, keep: int, least: int) -> np.ndarray:
+    """The same from counts: confirmed and other documents, and those of either that have each feature."""
+    n1, n0 = max(1, n1), max(1, n0)
     pool = (c1 + c0 + 1) / (n1 + n0 + 2)
     z = (c1 / n1 - c0 / n0) / np.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0))
     z[(c1 < least) | (z < 3)] = 0
@@ -93,14 +102,15 @@ def _margin(w, b, rows, start, feat):
 CELLS = 4096
 
 
-def train(start: np.ndarray, feat: np.ndarray, is_pos: np.ndarray, prior: float, keep: int = 1024, least: int = 5, epochs: int = 120, batch: int = 512, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> Model:
+def train(start: np.ndarray, feat: np.ndarray, is_pos: np.ndarray, prior: float, keep: int = 1024, least: int = 5, epochs: int = 120, batch: int = 512, rate: float = 0.05, l2: float = 1e-4, seed: int = 7, chosen: np.ndarray | None = None) -> Model:
     """start, feat: features of row i are feat[start[i]:start[i+1]]; is_pos: confirmed rows, the
-    others are unlabelled. Adagrad on mini-batches that hold both kinds in proportion."""
+    others are unlabelled; chosen: the features to use, else select() says. Adagrad on mini-batches that hold both kinds in proportion."""
     rng = np.random.default_rng(seed)
     pos, unl = np.flatnonzero(is_pos), np.flatnonzero(~is_pos)
-    chosen = select(start, feat, is_pos, keep, least) if len(pos) and len(unl) else []
-    weights = np.zeros(DIM, np.float32)
-    if not len(chosen):
+    if chosen is None:
+        chosen = select(start, feat, is_pos, keep, least)
+    weights, climbed = np.zeros(DIM, np.float32), 0
+    if not len(chosen) or not len(pos) or not len(unl):
         return Model(weights, -1.0, np.inf, prior)
     to = np.full(DIM, -1, np.int64)
     to[chosen] = np.arange(len(chosen))
@@ -122,6 +132,7 @@ def train(start: np.ndarray, feat: np.ndarray, is_pos: np.ndarray, prior: float,
                 dp, du = prior * (sp - 1) / len(p) - prior * sp / len(p), su / len(u)
             else:  # the negative part over-fits: climb back, as the estimator demands
                 dp, du = prior * sp / len(p), -su / len(u)
+                climbed += 1
             grad = np.bincount(fp, dp[op], len(w)) + np.bincount(fu, du[ou], len(w)) + l2 * w
             g2 += grad * grad
             w -= rate * grad / np.sqrt(g2)
@@ -130,39 +141,61 @@ def train(start: np.ndarray, feat: np.ndarray, is_pos: np.ndarray, prior: float,
             b -= rate * gb / np.sqrt(b2)
     weights[chosen] = w
     at = float(np.quantile(_margin(w, b, unl, start, feat)[0], 1 - prior))
-    return Model(weights, float(b), min(0.0, max(-1.0, at)), prior)
+    return Model(weights, float(b), min(0.0, max(-1.0, at)), prior, climbed)
+
+
+def counted(docs: DataFrame, toxic: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Confirmed documents, all documents, and how many of either have each feature: two numbers for each of DIM features, whatever the corpus."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, DIM + 1), np.int64)
+        for b in vec.pieces(it, "text"):
+            d, f = features(*vec.buffers(vec.lower(b.column("text"))))
+            pos = np.asarray(b.column("pos"))
+            total[1] += np.bincount(f, minlength=DIM + 1)
+            total[0] += np.bincount(f[pos[d]], minlength=DIM + 1)
+            total[:, DIM] += pos.sum(), len(pos)
+        at = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["f", "pos", "n"])
 
+    rows = joined(docs_only(docs, "doc_id", "text").where("text is not null"), toxic, "doc_id", "left").select(F.col("pos").isNotNull().alias("pos"), "text")
+    t = rows.mapInArrow(run, "f int, pos long, n long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).toArrow()
+    out = np.zeros((2, DIM + 1), np.int64)
+    out[:, np.asarray(t.column("f"))] = np.asarray(t.column("pos")), np.asarray(t.column("n"))
+    return int(out[0, DIM]), int(out[1, DIM]), out[0, :DIM], out[1, :DIM]
 
-def gathered(docs: DataFrame, labels: DataFrame, n_pos: int, n_unl: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the bounded training sample: (start, features, is confirmed)."""
+
+def gathered(docs: DataFrame, toxic: DataFrame, n_pos: int, n_unl: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen features of the bounded training sample: (start, features, is confirmed)."""
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id")).where("doc_id is not null")
-    toxic = labels.where("toxic = 1 and doc_id is not null").select("doc_id")
     first = lambda df, salt, n: df.distinct().orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(n)
-    chosen = [(r[0], True) for r in first(toxic, "confirmed", n_pos).collect()] + [(r[0], False) for r in first(ids, "unlabelled", n_unl).collect()]
-    if not chosen:
+    sample = [(r[0], True) for r in first(toxic.select("doc_id"), "confirmed", n_pos).collect()] + [(r[0], False) for r in first(ids, "unlabelled", n_unl).collect()]
+    if not sample or not len(chosen):
         return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    sample = spark.createDataFrame(chosen, "doc_id long, pos boolean")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "pos", text_udf(_features_of, "array<int>")("text").alias("f")).toArrow()
-    t = rows.sort_by([("pos", "descending"), ("doc_id", "ascending")])
-    f = t.column("f").combine_chunks()
-    n = np.asarray(pa.compute.list_value_length(f), np.int64) if len(t) else np.zeros(0, np.int64)
-    return np.concatenate([[0], np.cumsum(n)]), np.asarray(f.flatten(), np.int64), np.asarray(t.column("pos"), bool)
 
+    def f(v: pa.Array) -> pa.Array:
+        only = np.zeros(DIM, bool)
+        only[chosen] = True
+        d, own = features(*vec.buffers(vec.lower(v)), only)
+        return lists(pa.array(own.astype(np.int32)), np.bincount(d, minlength=len(v)))
 
-def _features_of(v: pa.Array) -> pa.Array:
-    data, off = vec.buffers(vec.lower(v))
-    d, f = features(data, off)
-    return lists(pa.array(f.astype(np.int32)), np.bincount(d, minlength=len(v)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(spark.createDataFrame(sample, "doc_id long, pos boolean")), "doc_id").select("doc_id", "pos", text_udf(f, "array<int>")("text").alias("f")).toArrow()
+    t = rows.sort_by([("pos", "descending"), ("doc_id", "ascending")])
+    own = t.column("f").combine_chunks()
+    n = np.asarray(pa.compute.list_value_length(own), np.int64) if len(t) else np.zeros(0, np.int64)
+    return np.concatenate([[0], np.cumsum(n)]), np.asarray(own.flatten(), np.int64), np.asarray(t.column("pos"), bool)
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, n_pos: int = 2500, n_unl: int = 5000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, n_pos: int = 2500, n_unl: int = 5000, keep: int = 1024, least: int = 5) -> Model:
     """prior: the share of toxic documents; by default that of the rows of `labels`.
-    n_pos, n_unl: bounds of the training sample."""
+    n_pos, n_unl: bounds of the sample that the weights are fitted on."""
     if prior is None:
         prior = labels.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).when(F.col("toxic").isNotNull(), 0.0))).first()[0] or 0.0
-    start, feat, pos = gathered(docs, labels, n_pos, n_unl)
-    model = train(start, feat, pos, min(max(float(prior), 1e-4), 0.9))
+    toxic = saved(labels.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("pos", F.lit(True)), "confirmed")
+    chosen = chosen_of(*counted(docs, toxic), keep, least)
+    start, feat, pos = gathered(docs, toxic, n_pos, n_unl, chosen)
+    model = train(start, feat, pos, min(max(float(prior), 1e-4), 0.9), chosen=chosen)
     return replace(model, threshold=decided(docs, model)) if np.isfinite(model.threshold) else model
 
 
