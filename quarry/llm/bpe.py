@@ -1,18 +1,18 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text is halved until the parts are short, the parts are encoded, and neighbours are joined up the tree. At
-a join only a boundary window is encoded again: it grows from both sides of the seam until it ends at
-points where the tokenizer's splitter must cut whatever stands further out - a character that is no white space
+A text is halved until the parts have `LEAF` characters at most, the parts are encoded by the library, and neighbours are joined up
+the tree. At a join only a boundary window is encoded again: it doubles on each side of the seam until it holds a
+point where the tokenizer's splitter must cut whatever stands further out - a character that is no white space
 followed by white space: no word of the splitter holds both, and the splitter, which reads from left to right
-without memory, goes on from there alike. The tokens outside the window are then provably those of the whole text.
-Where no such point exists the window is the whole of that side. Joining is associative, so any tree gives the
+without memory, goes on from there alike. The tokens outside are then provably those of the whole text, so the window is encoded only
+once it has grown that far. Where no such point exists the window is the whole of that side. Joining is associative, so any tree gives the
 same tokens. Decoding concatenates bytes up the tree.
 
 The vocabulary is read from `vocabulary` (a .tiktoken file of ranks), which every executor must be able to open.
 
 Edge cases: null text gives null tokens and null text; an empty text gives no tokens; texts without white space
 and very long texts take larger windows; strings of special tokens are ordinary text; repeated rows are each
-encoded; an empty table gives no rows; other columns are ignored or pass.
+encoded; a null token, or an id that the vocabulary doesn't have, decodes to U+FFFD; an empty table gives no rows; other columns are ignored or pass.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from .common import hidden, lists, text_udf
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF = 8192
+LEAF = 512
+UNKNOWN = "\ufffd".encode()
 _LAST = re.compile(r".*\S(?=[ \t\r\n])", re.S)
 _FIRST = re.compile(r"\S(?=[ \t\r\n])")
 _loaded: dict[str, "Bpe"] = {}
@@ -63,8 +64,14 @@ class Bpe:
 
     def _head(self, text: str, lo: int, hi: int) -> int:
         """The first such point in (lo, hi), else hi."""
-        m = _FIRST.search(text, lo, hi)
-        return m.end() if m else hi
+        w = 64
+        while True:
+            b = min(hi, lo + w)
+            if m := _FIRST.search(text, lo, b + 1 if b < hi else hi):
+                return m.end()
+            if b == hi:
+                return hi
+            w *= 2
 
     def join(self, text: str, left: tuple, right: tuple) -> tuple:
         """Both are (from, to, tokens), next to each other in text."""
@@ -97,7 +104,8 @@ class Bpe:
 
     def decode(self, tokens, leaf: int = LEAF) -> bytes:
         if len(tokens) <= leaf:
-            return b"".join(map(self.bytes.__getitem__, tokens))
+            n = len(self.bytes)
+            return b"".join([self.bytes[t] or UNKNOWN if t is not None and 0 <= t < n else UNKNOWN for t in tokens])
         mid = len(tokens) // 2
         return self.decode(tokens[:mid], leaf) + self.decode(tokens[mid:], leaf)
 
