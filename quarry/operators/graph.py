@@ -1,22 +1,28 @@
 """Graph operators over edge tables.
 
-Reachability, components and depths of graphs of any size are loops of joins: each round joins only the rows that are new (the
-frontier) and what a round produced is written to the shared folder, so lineage stays one round long and a lost
-executor costs at most one round. Where all edges fit the driver (checked by counting them first) `small` runs
-the same question there; both give the same rows, and tests hold one against the other.
+Reachability, components and depths never leave the executors. A graph falls into weakly connected parts, found by alternating
+stars in a number of rounds that is logarithmic in their size. Parts are independent of each other, so one with `FUSED` edges at most is
+worked off where it lies, many of them in a task, by the linear algorithm; for a greater one the same rows come
+from loops of joins: each round joins only the rows that are new (the
+frontier) and what a round produced is written to the shared folder, so lineage stays short and a lost
+executor costs at most one round. Tests hold one against the other.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import saved
 
-#: Edges up to this number are condensed on the driver: about 40 MB of Python ints.
-SMALL = 200_000
+#: Edges of a weakly connected part that a task holds: about 200 MB of Python objects.
+FUSED = 500_000
+#: Edges of small parts that a task works off at once.
+STEP = 100_000
 
 
 def call_graph(static: DataFrame, invoke: DataFrame, dynamic: DataFrame) -> DataFrame:
@@ -63,29 +69,116 @@ def resolve_invokes(calls: DataFrame, methods: DataFrame, required: DataFrame) -
     return loose.unionByName(strict).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None, small: int = SMALL) -> DataFrame:
+def weak(edges: DataFrame) -> DataFrame:
+    """node, part (its part's smallest node) for every node of an edge (src, dst). Alternating stars: each node's greater neighbours go to its smallest one,
+    then each node to the smallest of all; the rounds are logarithmic, and equal sums of two rounds end them."""
+    e = saved(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    before = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        to = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        e = saved(large.join(least, "u").select(to.alias("x")).select("x.*").where("u <> v").distinct(), "stars")
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    roots = e.select("v").distinct()
+    inner = e.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("part")))
+    return saved(inner.unionByName(loops.distinct().join(inner, "node", "left_anti").select("node", F.col("node").alias("part"))), "parts")
+
+
+def divided(edges: DataFrame, parts: DataFrame, fused: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(src, dst, part) of the parts of `fused` edges at most, those of the others, and whether there are such."""
+    e = edges.join(parts.withColumnRenamed("node", "src"), "src").select("src", "dst", "part")
+    big = saved(e.groupBy("part").count().where(F.col("count") > fused).select("part"), "big-parts")
+    if big.isEmpty():
+        return e, e.where("false"), False
+    e = saved(e, "part-edges")
+    return e.join(big, "part", "left_anti"), e.join(big, "part", "left_semi"), True
+
+
+def fused(rows: DataFrame, solve: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """solve over the rows (part, ...) of some whole parts at a time, where they lie."""
+    from .bodies import _schema
+
+    out = _schema(schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(bs: list[pa.RecordBatch]) -> pa.RecordBatch:
+            got = list(solve([r for b in bs for r in zip(*[b.column(i).to_pylist() for i in range(1, b.num_columns)])]))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], f.type) for k, f in enumerate(out)], schema=out)
+
+        held, n = [], 0
+        for b in it:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n >= STEP:
+                last = b.column(0)[-1].as_py()
+                cut = next((i + 1 for i in range(b.num_rows - 1, -1, -1) if b.column(0)[i].as_py() != last), 0)
+                if cut or held[0].column(0)[0].as_py() != last and len(held) > 1 and held[-2].column(0)[-1].as_py() != last:
+                    yield solved([*held[:-1], b.slice(0, cut)] if cut else held[:-1])
+                    held, n = [b.slice(cut)], b.num_rows - cut
+        if n:
+            yield solved(held)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def reached(rows: list[tuple]) -> Iterator[tuple]:
+    """Nodes reached; rows: edges (src, dst), and seeds as (seed, null)."""
+    out, todo = defaultdict(list), []
+    for a, b in rows:
+        if b is None:
+            todo.append(a)
+        else:
+            out[a].append(b)
+    seen = set(todo)
+    while todo:
+        for b in out[todo.pop()]:
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return ((n,) for n in seen)
+
+
+def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None, limit: int | None = None) -> DataFrame:
     """node: everything reachable from seeds (node), seeds included."""
-    e = saved(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct(), "reach-edges")
-    seen = saved(seeds.select("node").where("node is not null").distinct(), "seen")
-    if max_rounds is None and e.count() <= small and seen.count() <= small:
-        out = defaultdict(list)
-        for r in e.toLocalIterator():
-            out[r[0]].append(r[1])
-        todo = [r[0] for r in seen.toLocalIterator()]
-        found = set(todo)
-        while todo:
-            for b in out[todo.pop()]:
-                if b is not None and b not in found:
-                    found.add(b)
-                    todo.append(b)
-        return e.sparkSession.createDataFrame([(n,) for n in sorted(found)], f"node {dict(seen.dtypes)['node']}")
-    frontier, parts, rounds = seen, [seen], 0
-    while not frontier.isEmpty() and (max_rounds is None or rounds < max_rounds):
+    e = saved(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct(), "reach-edges")
+    s = saved(seeds.select("node").where("node is not null").distinct(), "seeds")
+    if max_rounds is not None:
+        return _rounds(e, s, max_rounds)
+    parts = weak(e)
+    small, big, any_big = divided(e, parts, FUSED if limit is None else limit)
+    own = s.join(parts, "node", "left")
+    kind = dict(s.dtypes)["node"]
+    starts = own.where("part is not null").select("part", F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"))
+    if any_big:
+        at = saved(big.select("part").distinct(), "big-parts")
+        far = _rounds(big.select("src", "dst"), own.join(at, "part", "left_semi").select("node"))
+        starts = starts.join(at, "part", "left_anti")
+    near = fused(small.select("part", "src", "dst").unionByName(starts), reached, f"node {kind}")
+    near = near.unionByName(own.where("part is null").select("node"))
+    return near.unionByName(far) if any_big else near
+
+
+def _rounds(e: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """reach by joins; what was seen is written anew every few rounds, so the plan stays short."""
+    e = saved(e.select(F.col("src").alias("node"), F.col("dst").alias("to")), "reach-edges")
+    frontier = seen = saved(seeds, "frontier")
+    rounds = 0
+    while not frontier.isEmpty() and (most is None or rounds < most):
         step = frontier.join(e, "node").select(F.col("to").alias("node")).distinct()
         frontier = saved(step.join(seen, "node", "left_anti"), "frontier")
-        parts.append(frontier)
-        seen = _union(parts)
+        seen = seen.unionByName(frontier)
         rounds += 1
+        if rounds % 4 == 0:
+            seen = saved(seen, "seen")
     return seen
 
 
@@ -96,25 +189,27 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def callers_closure(call_edges: DataFrame, seeds: DataFrame, known: DataFrame | None = None, small: int = SMALL) -> DataFrame:
+def callers_closure(call_edges: DataFrame, seeds: DataFrame, known: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """func: seeds and all that call them, directly or not. Seeds that `known` (func) lacks are dropped."""
     s = seeds.select(F.col("func").alias("node"))
     if known is not None:
         s = s.join(known.select(F.col("func").alias("node")).distinct(), "node", "left_semi")
-    return reach(call_edges, s, "callee", "caller", small=small).withColumnRenamed("node", "func")
+    return reach(call_edges, s, "callee", "caller", limit=limit).withColumnRenamed("node", "func")
 
 
 def closure(edges: DataFrame, part: str | None = None) -> DataFrame:
     """(part,) src, dst for every path of one edge or more. Semi-naive: each round extends only what the round before found."""
     keys = [part] if part else []
     e = edges.select(*keys, "src", "dst").distinct()
-    frontier = saved(e, "paths")
-    seen, parts = frontier, [frontier]
+    frontier = seen = saved(e, "paths")
+    rounds = 0
     while not frontier.isEmpty():
         step = frontier.withColumnRenamed("dst", "mid").join(e.withColumnRenamed("src", "mid"), [*keys, "mid"]).select(*keys, "src", "dst").distinct()
         frontier = saved(step.join(seen, [*keys, "src", "dst"], "left_anti"), "paths")
-        parts.append(frontier)
-        seen = _union(parts)
+        seen = seen.unionByName(frontier)
+        rounds += 1
+        if rounds % 4 == 0:
+            seen = saved(seen, "paths")
     return seen
 
 
@@ -166,18 +261,25 @@ def tarjan(nodes, edges) -> dict:
     return comp
 
 
-def scc(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """node, scc (its component's smallest node)."""
+def condensed(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """node, scc (its component's smallest node), part (its weakly connected part's)."""
     e = saved(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "scc-edges")
-    every = saved(nodes.select("node").where("node is not null").unionByName(e.select(F.col("src").alias("node"))).unionByName(e.select(F.col("dst").alias("node"))).distinct(), "scc-nodes")
-    if every.count() <= small and e.count() <= small:
-        kind = dict(every.dtypes)["node"]
-        comp = tarjan(sorted(r[0] for r in every.toLocalIterator()), ((r[0], r[1]) for r in e.toLocalIterator()))
-        return every.sparkSession.createDataFrame(sorted(comp.items()), f"node {kind}, scc {kind}")
-    return scc_distributed(every, e)
+    parts = weak(e)
+    kind = dict(parts.dtypes)["node"]
+    small, big, any_big = divided(e, parts, FUSED if limit is None else limit)
+    comp = fused(small.select("part", "src", "dst"), lambda rows: tarjan(sorted({n for r in rows for n in r}), rows).items(), f"node {kind}, scc {kind}")
+    if any_big:
+        comp = comp.unionByName(scc_distributed(parts.join(big.select("part").distinct(), "part", "left_semi").select("node"), saved(big.select("src", "dst"), "big-edges")))
+    every = nodes.select("node").where("node is not null").distinct().join(parts, "node", "full").join(comp, "node", "left")
+    return every.select("node", F.coalesce("scc", "node").alias("scc"), F.coalesce("part", "node").alias("part"))
+
+
+def scc(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """node, scc (its component's smallest node)."""
+    return condensed(nodes, edges, limit).select("node", "scc")
 
 
-def scc_distributed(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+def scc_distributed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Colouring: nodes without a way in or out are components of their own and go; then every node takes the smallest
     colour that reaches it, and of each colour what reaches its root backwards within the colour is a component."""
     done: list[DataFrame] = []
@@ -204,7 +306,7 @@ def scc_distributed(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> D
         own = e.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst")
         own = saved(own, "own-colour")
         roots = colour.where("node = c").select("node")
-        back = saved(reach(own, roots, "dst", "src", small=small).join(colour, "node").select("node", F.col("c").alias("scc")), "scc-found")
+        back = saved(_rounds(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots).join(colour, "node").select("node", F.col("c").alias("scc")), "scc-found")
         done.append(back)
         left = saved(left.join(back, "node", "left_anti"), "left")
         e = saved(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"), "scc-edges")
@@ -224,15 +326,24 @@ def scc_sizes(components: DataFrame, edges: DataFrame) -> DataFrame:
     return components.join(loops, "node", "left").groupBy("scc").agg(F.count(F.lit(1)).alias("size"), ((F.count(F.lit(1)) > 1) | F.coalesce(F.bool_or("self"), F.lit(False))).alias("recursive"))
 
 
-def wave_depth(components: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+def wave_depth(components: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """scc, depth: 0 where nothing is called, else one more than the deepest component called. `edges` run from
-    caller to callee between components (scc_edges)."""
+    caller to callee between components (scc_edges). Components that come with their part aren't parted again."""
     nodes = saved(components.select("scc").distinct(), "dag-nodes")
     e = saved(edges.select("src", "dst"), "dag-edges")
-    if e.count() <= small and nodes.count() <= small:
-        return _small_depth(nodes, e)
-    # peel: a component's depth is the round in which its last callee goes
-    depth, left, round_, parts = None, nodes, 0, []
+    parts = components.select(F.col("scc").alias("node"), "part").distinct() if "part" in components.columns else weak(e)
+    small, big, any_big = divided(e, parts, FUSED if limit is None else limit)
+    kind = dict(nodes.dtypes)["scc"]
+    depth = fused(small.select("part", "src", "dst"), depths, f"scc {kind}, depth long")
+    if any_big:
+        depth = depth.unionByName(_peeled(saved(big.select("src", "dst"), "dag-edges")))
+    return nodes.join(depth, "scc", "left").select("scc", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+
+
+def _peeled(e: DataFrame) -> DataFrame:
+    """A component's depth is the round in which its last callee goes."""
+    left = e.select(F.col("src").alias("scc")).unionByName(e.select(F.col("dst").alias("scc"))).distinct()
+    round_, parts = 0, []
     while not left.isEmpty():
         busy = e.select(F.col("src").alias("scc")).distinct()
         leaves = saved(left.join(busy, "scc", "left_anti").withColumn("depth", F.lit(round_).cast("long")), "wave")
@@ -240,19 +351,19 @@ def wave_depth(components: DataFrame, edges: DataFrame, small: int = SMALL) -> D
         left = saved(left.join(busy, "scc", "left_semi"), "dag-left")
         e = saved(e.join(leaves.select(F.col("scc").alias("dst")), "dst", "left_anti").select("src", "dst"), "dag-edges")
         round_ += 1
-        depth = _union(parts)
-    return depth if depth is not None else nodes.withColumn("depth", F.lit(0).cast("long"))
+        if len(parts) == 16:
+            parts = [saved(_union(parts), "waves")]
+    return _union(parts)
 
 
-def _small_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    kind = dict(nodes.dtypes)["scc"]
+def depths(edges: list[tuple]) -> Iterable[tuple]:
     calls, callers = defaultdict(set), defaultdict(set)
-    for r in edges.toLocalIterator():
-        calls[r[0]].add(r[1])
-        callers[r[1]].add(r[0])
-    every = [r[0] for r in nodes.toLocalIterator()]
+    for a, b in edges:
+        calls[a].add(b)
+        callers[b].add(a)
+    every = set(calls) | set(callers)
     open_ = {n: len(calls[n]) for n in every}
-    depth = {n: 0 for n in every}
+    depth = dict.fromkeys(every, 0)
     ready = [n for n in every if open_[n] == 0]
     while ready:
         n = ready.pop()
@@ -261,7 +372,7 @@ def _small_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             open_[c] -= 1
             if open_[c] == 0:
                 ready.append(c)
-    return nodes.sparkSession.createDataFrame(sorted(depth.items()), f"scc {kind}, depth long")
+    return depth.items()
 
 
 def dump(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -57,7 +57,7 @@ def diff_scoped_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return saved(graph.scc(a.order_nodes(spark, d), a.edges(spark, d)), "scc")
+    return saved(graph.condensed(a.order_nodes(spark, d), a.edges(spark, d)), "scc")
 
 
 def scc(spark: SparkSession, d: str) -> DataFrame:

@@ -30,12 +30,12 @@ def small_graph(spark):
 
 def test_scc_ways_agree(spark, small_graph):
     nodes, edges = small_graph
-    a, b = graph.scc(nodes, edges), graph.scc(nodes, edges, small=0)
+    a, b = graph.scc(nodes, edges), graph.scc(nodes, edges, limit=0)
     want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {n: n for n in (6, 7, 8, 9, 10, 11, 20, 21)}
     assert {r.node: r.scc for r in a.collect()} == {r.node: r.scc for r in b.collect()} == want
     dag = graph.scc_edges(a, edges)
     d = rows(graph.wave_depth(a, dag))
-    assert d == rows(graph.wave_depth(a, dag, small=0))
+    assert d == rows(graph.wave_depth(a, dag, limit=0))
     assert {(7, 3), (1, 1), (4, 0), (10, 0), (20, 1)} <= {(x[1], x[0]) for x in d}
     assert {(r.scc, r.size, r.recursive) for r in graph.scc_sizes(a, edges).collect()} >= {(1, 3, True), (6, 1, True), (7, 1, False)}
 
@@ -44,9 +44,9 @@ def test_reach_ways_agree(spark, small_graph):
     _, edges = small_graph
     seeds = spark.createDataFrame([(4,), (10,), (None,)], "func long")
     calls = edges.toDF("caller", "callee")
-    for small in (0, 100):
-        assert rows(graph.callers_closure(calls, seeds, small=small)) == sorted(((n,) for n in (1, 2, 3, 4, 5, 7, 8, 9, 10)), key=repr)
-    assert rows(graph.callers_closure(calls, seeds, seeds.where("func = 4"), small=0)) == [(n,) for n in (1, 2, 3, 4, 5)]
+    for limit in (0, 1, 100):
+        assert rows(graph.callers_closure(calls, seeds, limit=limit)) == sorted(((n,) for n in (1, 2, 3, 4, 5, 7, 8, 9, 10)), key=repr)
+    assert rows(graph.callers_closure(calls, seeds, seeds.where("func = 4"), limit=0)) == [(n,) for n in (1, 2, 3, 4, 5)]
 
 
 def test_resolution(spark):
