@@ -1,8 +1,11 @@
 """Functions as formulas, and the nil and bounds checkers that rest on them.
 
 A function is encoded over its acyclic control flow: a guard per block, an equation per instruction. A checker asks whether a violation
-is satisfiable together with the guard of its block; only a confirmed `sat` reports. A violation over parameters alone becomes a precondition of the function,
-which is then asked of its callers, round by round: a round re-encodes only the callers of functions whose preconditions are new.
+is satisfiable together with the guard of its block; only a confirmed `sat` reports, with the way that the model takes and its values of parameters. A
+violation over parameters alone becomes a precondition of the function, which is then asked of its callers. What is proven of a pointer result at every return (it is
+never nil, or not where the error result is nil) becomes a postcondition, which callers assume. Annotated clauses stand beside the inferred ones: preconditions are
+asked of callers, postconditions assumed by them and checked against the body. Callees come before callers, recursive components go round by round: a round
+re-encodes only the callers of functions whose clauses are new.
 
 Values: integers are bit vectors of their type's width, a pointer is (nil, address), a sequence (length, capacity). What can't be modelled
 has no term, and a violation that would need one is never raised.
@@ -26,11 +29,17 @@ MOST_ASSERTS, DEPTH = 50_000, 16
 MIRROR = {"Lt": ("lt", False), "Leq": ("le", False), "Gt": ("lt", True), "Geq": ("le", True)}
 ARITH = {"Add": "bvadd", "Sub": "bvsub", "Mul": "bvmul", "And": "bvand", "Or": "bvor", "Xor": "bvxor", "Shl": "bvshl"}
 TEXT = {"bounds": "index/slice out of bounds in ", "div-zero": "division by zero in ", "overflow": "integer overflow in ", "nil-deref": "nil dereference in "}
-RESULT = "func string, kind string, checker string, tag string, message string, term string, file string, line int, col int"
+RESULT = "func string, kind string, checker string, tag string, message string, term string, file string, line int, col int, trace array<int>, model array<struct<name: string, value: string>>"
+FINDING = ["checker", "tag", "func", "message", "file", "line", "col", "severity", "trace", "model"]
+#: Calls of these never give nil.
+NEVER_NIL = {"flag.NewFlagSet"}
+CONTRACT, UNVERIFIED = "contract", "unverified-annotation"
+MOST_RESULTS = 64
 
 
 def sorts(types: DataFrame, part: str = "import_path") -> DataFrame:
-    """(part, type_id, sort): s<bits>, u<bits>, bool, ptr, seq, array:<n> (also of a pointer to one), or null. Names are followed, cycles end."""
+    """(part, type_id, sort): s<bits>, u<bits>, bool, ptr, ptrerror (the interface `error`), seq, array:<n> (also of a pointer to one), or null. Names are
+    followed, cycles end."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -59,7 +68,7 @@ def sorts(types: DataFrame, part: str = "import_path") -> DataFrame:
                     elif e is not None and e["kind"] == "Array":
                         s = f"ptr:{e['array_len']}"
                     else:
-                        s = {"Pointer": "ptr", "Interface": "opaque", "Slice": "seq"}.get(t["kind"])
+                        s = {"Pointer": "ptr", "Interface": "ptrerror" if by[i]["kind"] == "Named" and by[i]["name"] == "error" else "ptr", "Slice": "seq"}.get(t["kind"])
                     out.append((p, i, s))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], k_) for k, k_ in enumerate((pa.string(), pa.int32(), pa.string()))], [part, "type_id", "sort"])
 
@@ -68,9 +77,9 @@ def sorts(types: DataFrame, part: str = "import_path") -> DataFrame:
 
 
 class Encoded(Body):
-    """asserts: what holds in the function; guard(b): whether block b is reached."""
+    """asserts: what holds in the function; guard(b): whether block b is reached. ensures: callees' postconditions (tag, term)."""
 
-    def __init__(self, x: dict) -> None:
+    def __init__(self, x: dict, ensures: dict[str, list[tuple]] | None = None) -> None:
         super().__init__(x)
         self.asserts: list[tuple] = []
         self.dag, self.seen = self.graph.cut()
@@ -87,6 +96,13 @@ class Encoded(Body):
         for i in self.instrs:
             self._defined(i)
         self._forwarded()
+        for i in self.instrs:
+            if i["op"] == "Call" and i["callee_kind"] == "Static":
+                for _, t in (ensures or {}).get(i["callee"], []):
+                    t = self.bound(t, i["operands"], self.results(i["dst"]))
+                    if t is not None:
+                        self._add(T.disj(T.negation(self.guard(i["b"])), t))
+        self.sites = self.derefs()
         if len(self.asserts) > MOST_ASSERTS:
             raise OverflowError
 
@@ -160,7 +176,7 @@ class Encoded(Body):
         op, d, a, b = i["op"], i["dst"], i["a0"], i["a1"]
         if op == "Assign":
             self._add(self.equal(d, a))
-        elif op in ("Alloc", "FieldAddr", "IndexAddr") and self.nil(d):
+        elif (op in ("Alloc", "FieldAddr", "IndexAddr", "MakeInterface") or op == "Call" and i["callee_kind"] == "Static" and i["callee"] in NEVER_NIL) and self.nil(d):
             self._add(T.negation(self.nil(d)))
         elif op == "BinOp":
             self._binop(i["sub"], d, a, b)
@@ -244,8 +260,48 @@ class Encoded(Body):
                 first.setdefault(key, i["dst"])
 
     def address(self, v: int, depth: int = 64) -> tuple:
+        """A key that equal addresses share: copies are followed, fields and elements name their base and what they pick."""
+        v = self.canonical(v)
+        d = self.defs.get(v)
+        if d is None or not depth or d["op"] not in ("FieldAddr", "IndexAddr"):
+            return (v,)
+        return d["op"], d["field"] if d["op"] == "FieldAddr" else self.canonical(d["a1"]), self.address(d["a0"], depth - 1)
+
+    def results(self, dst: int | None) -> list[int | None]:
+        """The values that hold a call's results: its own, or those that are extracted from it."""
+        if not dst:
+            return []
+        if self.sort(dst):
+            return [dst]
+        out: list[int | None] = []
+        for i in self.instrs:
+            if i["op"] == "Extract" and i["a0"] == dst and i["field"] <= MOST_RESULTS:
+                out += [None] * (i["field"] + 1 - len(out))
+                out[i["field"]] = out[i["field"]] or i["dst"]
+        return out
+
+    def origin(self, v: int) -> tuple[str, int] | None:
+        """(callee, number) where v is a result of a static call."""
+        v, k = self.canonical(v), 0
         d = self.defs.get(v)
-        return ("field", d["field"], self.address(d["a0"], depth - 1)) if d and depth and d["op"] == "FieldAddr" else (v,)
+        if d and d["op"] == "Extract":
+            k, d = d["field"], self.defs.get(self.canonical(d["a0"]))
+        return (d["callee"], k) if d and d["op"] == "Call" and d["callee_kind"] == "Static" else None
+
+    def way(self, model: dict, block: int) -> list[int]:
+        """Blocks from the entry to `block` that the model's guards take: the shortest way."""
+        before = {0: None}
+        todo = [0]
+        for b in todo:
+            for s in self.dag[b]:
+                if s not in before and model.get(f"g{s}", True):
+                    before[s] = b
+                    todo.append(s)
+        out, b = [], block if block in before else None
+        while b is not None:
+            out.append(b)
+            b = before[b]
+        return out[::-1]
 
     # -- violations
 
@@ -263,16 +319,21 @@ class Encoded(Body):
             return (":" in (self.sort(d["a0"]) or "") or self.ground(d["a0"], depth - 1)) and all(flat(d[c]) for c in ("a1", "a2", "a3"))
         return False
 
+    def derefs(self) -> list[tuple]:
+        """(instruction, subject) of everything that goes through a pointer."""
+        return [(i, v) for i in self.instrs if i["op"] in ("Load", "Store", "FieldAddr", "Field") and self.nil(v := self.canonical(i["a0"]))]
+
+    def known(self, b: int, k: int) -> list[tuple]:
+        """What went through before place k of block b, on every way there, wasn't nil."""
+        return [T.disj(T.negation(self.guard(x["b"])), T.negation(self.nil(u))) for x, u in self.sites if (x["b"] == b and x["i"] < k) or strictly_dominates(self.idom, x["b"], b)]
+
     def violations(self) -> Iterator[tuple]:
         """(instruction, checker, tag, violation, values it is made of, assumptions)."""
-        derefs = []
         for i in self.instrs:
             op, a, b = i["op"], i["a0"], i["a1"]
             if op in ("Load", "Store", "FieldAddr", "Field") and self.nil(self.canonical(a)):
                 v = self.canonical(a)
-                known = [T.disj(T.negation(self.guard(x["b"])), T.negation(self.nil(u))) for x, u in derefs if x["b"] == i["b"] or strictly_dominates(self.idom, x["b"], i["b"])]
-                derefs.append((i, v))
-                yield i, "nil", "nil-deref", self.nil(v), [v], known
+                yield i, "nil", "nil-deref", self.nil(v), [v], self.known(i["b"], i["i"])
             if op in ("Index", "IndexAddr"):
                 n = self.length(a)
                 if n is not None and self.sort(b) in ("s64", "u64"):
@@ -304,12 +365,13 @@ class Encoded(Body):
         low = T.binary("bvslt", x, T.lit(ws, -(1 << (wd - 1)) if sd else 0))
         return low if wd == ws else T.disj(low, T.binary("bvslt", T.lit(ws, most), x))
 
-    def bound(self, term: tuple, args: list[int]) -> tuple | None:
-        """A callee's precondition over this function's values; None where an argument has no term of its sort."""
+    def bound(self, term: tuple, args: list[int], results: list[int | None] = ()) -> tuple | None:
+        """A callee's clause over this function's values; None where an argument or result has no term of its sort."""
         to = {}
         for n, s in T.free_vars(term).items():
             k, _, part = n[1:].partition(".")
-            v = args[int(k)] if int(k) < len(args) else None
+            own = args if n[0] == "p" else results
+            v = own[int(k)] if int(k) < len(own) else None
             t = None if v is None else self.nil(v) if part == "nil" else self.length(v, part) if part in ("len", "cap") else self.boolean(v) if s == "Bool" else self.num(v)
             if t is None or T.sort_of(t) != s:
                 return None
@@ -322,87 +384,187 @@ def over_params(t: tuple) -> bool:
     return bool(names) and all(n[0] == "p" for n in names)
 
 
-def checked(func: str, x: dict, clauses: dict[str, list[tuple]], own: list[tuple], budget: int) -> Iterator[tuple]:
-    """RESULT rows of one function: its preconditions (kind requires) and findings. clauses: callees' preconditions (tag, term)."""
+def postconditions(e: Encoded, unsat) -> Iterator[tuple]:
+    """Terms over r<i> that hold at every return: r<i> is never nil; or else, not where the error result r<e> is. A return that names no literal nil as its
+    error is taken to name an error."""
+    returns = [i for i in e.instrs if i["op"] == "Return"]
+    if not returns or len({len(i["operands"]) for i in returns}) > 1:
+        return
+    literal = lambda v: (e.values.get(e.canonical(v)) or {}).get("const_kind") == "Nil"
+    solid = lambda i, k: e.nil(i["operands"][k]) is not None and unsat(i["b"], e.nil(i["operands"][k]))
+    n = len(returns[0]["operands"])
+    sorts = [[e.sort(i["operands"][k]) or "" for i in returns] for k in range(n)]
+    errors = [k for k in range(n) if any(s == "ptrerror" for s in sorts[k])]
+    for k in range(n):
+        if not any(s.startswith("ptr") for s in sorts[k]):
+            continue
+        if all(solid(i, k) for i in returns):
+            yield T.negation(T.var(f"r{k}.nil", "Bool"))
+            continue
+        for x in errors:
+            if x != k and all(not literal(i["operands"][x]) or solid(i, k) for i in returns):
+                yield T.disj(T.negation(T.var(f"r{x}.nil", "Bool")), T.negation(T.var(f"r{k}.nil", "Bool")))
+
+
+def checked(func: str, x: dict, clauses: dict[str, list[dict]], own: list[dict], budget: int, rules: tuple[str, ...] = ("nil", "bounds", "contract")) -> Iterator[tuple]:
+    """RESULT rows of one function: its preconditions (kind requires), postconditions (ensures) and findings, or one row (unencoded) where it has no
+    formula. clauses: callees' clauses (side, tag, term, annotated, shown); own: its own. rules: the checkers that are asked."""
+    post = {c: [(r["tag"], r["t"]) for r in rs if r["side"] == "ensures"] for c, rs in clauses.items()}
     try:
-        e = Encoded(x)
-    except (OverflowError, RecursionError, T.SortError):
+        e = Encoded(x, post)
+    except (OverflowError, RecursionError, T.SortError) as why:
+        yield func, "unencoded", None, None, type(why).__name__, None, None, None, None, None, None
+        for c in own:
+            if c["annotated"] and c["side"] == "ensures":
+                yield func, "finding", UNVERIFIED, UNVERIFIED, unproven(c), None, None, None, None, None, None
         return
-    sat = lambda b, *more: T.check([*e.asserts, e.guard(b), *more], budget)[0] == T.SAT
-    pre = [t for _, t in own]
-    held = set()
-    for i, checker, tag, bad, values, known in e.violations():
-        if over_params(bad) and T.text(bad) not in held and sat(i["b"], *known, bad):
+
+    def ask(b: int, *more: tuple) -> tuple[str, dict]:
+        return T.check([*e.asserts, e.guard(b), *more], budget)
+
+    def found(i: dict, checker: str, tag: str, message: str, *more: tuple) -> Iterator[tuple]:
+        verdict, model = ask(i["b"], *more)
+        if verdict == T.SAT:
+            values = [{"name": k, "value": str(v).lower() if isinstance(v, bool) else str(v)} for k, v in sorted(model.items()) if k[0] == "p"]
+            yield func, "finding", checker, tag, message, None, i["file"], i["line"], i["col"], e.way(model, i["b"]), values
+
+    def required(i: dict, checker: str, tag: str, good: tuple, *more: tuple) -> Iterator[tuple]:
+        bad = T.negation(good)
+        if over_params(bad) and T.text(bad) not in held and ask(i["b"], *more, bad)[0] == T.SAT:
             held.add(T.text(bad))
-            yield func, "requires", checker, tag, None, T.canonical([T.negation(bad)]), None, None, None
+            yield func, "requires", checker, tag, None, T.canonical([good]), None, None, None, None, None
+
+    inferred = [c["t"] for c in own if c["side"] == "requires"]
+    held: set[str] = set()
+    for i, checker, tag, bad, values, known in e.violations():
+        if checker not in rules:
+            continue
+        yield from required(i, checker, tag, T.negation(bad), *known)
+        message = TEXT[tag] + func
         ok = e.ground(values[0]) if checker == "nil" else all(map(e.ground, values))
-        if ok and sat(i["b"], *pre, *known, bad):
-            yield func, "finding", checker, tag, TEXT[tag] + func, None, i["file"], i["line"], i["col"]
+        if not ok and checker == "nil" and (at := e.origin(i["a0"])):  # a result that its callee's postcondition speaks of
+            ok = any(f"r{at[1]}.nil" in T.free_vars(c["t"]) for c in clauses.get(at[0], []) if c["side"] == "ensures" and c["tag"] == "nil-deref" and not c["annotated"])
+            message = f"possibly-nil result of {at[0]} dereferenced in {func}"
+        if ok:
+            yield from found(i, checker, tag, message, *inferred, *known, bad)
     for i in e.instrs:
-        if i["op"] not in ("Call", "Defer", "Go") or i["callee_kind"] != "Static":
+        if i["op"] != "Call" or i["callee_kind"] != "Static":
             continue
-        for tag, t in clauses.get(i["callee"], []):
-            want = e.bound(t, i["operands"])
+        theirs = [c for c in clauses.get(i["callee"], []) if c["side"] == "requires"]
+        known = e.known(i["b"], i["i"])
+        stated = {T.text(c["t"]) for c in theirs if not c["annotated"]}
+        for c in theirs:
+            want = e.bound(c["t"], i["operands"])
             if want is None:
                 continue
-            bad, checker = T.negation(want), "nil" if tag == "nil-deref" else "bounds"
-            if over_params(bad) and T.text(bad) not in held and sat(i["b"], bad):
-                held.add(T.text(bad))
-                yield func, "requires", checker, tag, None, T.canonical([want]), None, None, None
-            if sat(i["b"], *pre, bad):
-                yield func, "finding", checker, tag, f"call to {i['callee']} violates its {tag} requirement", None, i["file"], i["line"], i["col"]
+            if not c["annotated"]:
+                checker = "nil" if c["tag"] == "nil-deref" else "bounds"
+                if checker in rules:
+                    yield from required(i, checker, c["tag"], want, *known)
+                    yield from found(i, checker, c["tag"], f"call to {i['callee']} violates its {c['tag']} requirement", *inferred, *known, T.negation(want))
+            elif "contract" in rules and T.text(c["t"]) not in stated:
+                yield from found(i, CONTRACT, CONTRACT, f"call to {i['callee']} violates annotated requires `{c['shown']}`", *inferred, T.negation(want))
+    if "nil" in rules:
+        for t in postconditions(e, lambda b, bad: ask(b, bad)[0] == T.UNSAT):
+            yield func, "ensures", "nil", "nil-deref", None, T.canonical([t]), None, None, None, None, None
+    if "contract" in rules:
+        returns = [i for i in e.instrs if i["op"] == "Return"]
+        for c in own:
+            if c["annotated"] and c["side"] == "ensures":
+                wants = [e.bound(c["t"], e.params, i["operands"]) for i in returns]
+                if not wants or None in wants or any(ask(i["b"], *inferred, T.negation(w))[0] != T.UNSAT for i, w in zip(returns, wants)):
+                    yield func, "finding", UNVERIFIED, UNVERIFIED, unproven(c), None, None, None, None, None, None
+
+
+def unproven(c: dict) -> str:
+    return f"annotated ensures `{c['shown']}` not proven against the body; callers still assume it"
+
 
+CLAUSE = "side string, tag string, term string, annotated boolean, shown string"
 
-def _rows(budget: int, schema: pa.Schema):
+
+def _rows(budget: int, schema: pa.Schema, rules: tuple[str, ...]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
             for x in b.to_pylist():
-                read = lambda cs: [(c["tag"], T.parse_query(c["term"])[0]) for c in cs or []]
+                read = lambda c: c | {"t": T.parse_query(c["term"])[0]}
                 by: dict[str, list] = {}
                 for c in x["callees"] or []:
-                    by.setdefault(c["func"], []).append(c)
-                out += checked(x["func"], x["body"], {k: read(v) for k, v in by.items()}, read(x["own"]), budget)
+                    by.setdefault(c["func"], []).append(read(c))
+                out += checked(x["func"], x["body"], by, [read(c) for c in x["own"] or []], budget, rules)
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
 
     return run
 
 
-def findings(df: DataFrame, budget: int = 2000, rounds: int = 8) -> DataFrame:
-    """checker, tag, func, message, file, line, col of all confirmed violations. df: (func, body) of bodies.bodies, values with their sort. Preconditions
-    travel up the whole call graph, callees before callers; only within a recursive component, where they may grow for ever, are there `rounds` rounds at most."""
+def analysed(df: DataFrame, budget: int = 2000, rounds: int = 8, annotated: DataFrame | None = None, rules: tuple[str, ...] = ("nil", "bounds", "contract")) -> tuple[DataFrame, DataFrame]:
+    """(RESULT rows of kinds finding and unencoded, clauses). df: (func, body) of bodies.bodies, values with their sort; annotated: (func, side, tag, term, shown).
+    clauses: (func, side, tag, term, annotated, shown), the annotated among them, and a row of side `widened` for each member of a component given up on.
+
+    Clauses travel up the whole call graph, callees before callers; only within a recursive component, where they may grow for ever, are there `rounds` rounds:
+    one that still changes then is widened: it keeps no inferred clause."""
     from . import graph
     from .bodies import _schema
 
-    run = _rows(budget, _schema(RESULT))
+    run = _rows(budget, _schema(RESULT), rules)
+    columns = ["func", "side", "tag", "term", "annotated", "shown"]
     calls = saved(df.select("func", F.explode("body.instr").alias("x")).where("x.callee_kind = 'Static'").select("func", F.col("x.callee").alias("callee")).distinct(), "calls")
     body = saved(df.select("func", "body"), "bodies")
-    clause = None
+    clause = body.sparkSession.createDataFrame([], f"func string, {CLAUSE}")
+    if annotated is not None:
+        clause = saved(clause.unionByName(annotated.select("func", "side", "tag", "term", F.lit(True).alias("annotated"), "shown").distinct()), "annotated")
 
-    def asked(these: DataFrame, known: DataFrame | None) -> DataFrame:
-        own = these.select("func", "body")
-        if known is None:
-            return own.selectExpr("*", "cast(null as array<struct<func: string, tag: string, term: string>>) as callees", "cast(null as array<struct<tag: string, term: string>>) as own")
-        below = calls.join(known.withColumnRenamed("func", "callee"), "callee").groupBy("func").agg(F.sort_array(F.collect_list(F.struct(F.col("callee").alias("func"), "tag", "term"))).alias("callees"))
-        mine = known.groupBy("func").agg(F.sort_array(F.collect_list(F.struct("tag", "term"))).alias("own"))
-        return own.join(below, "func", "left").join(mine, "func", "left").select("func", "body", "callees", "own")
+    def asked(these: DataFrame, known: DataFrame) -> DataFrame:
+        c = F.struct(*columns[1:])
+        known = known.where("side <> 'widened'")
+        below = calls.join(known.withColumnRenamed("func", "callee"), "callee").groupBy("func").agg(F.sort_array(F.collect_list(F.struct(F.col("callee").alias("func"), *columns[1:]))).alias("callees"))
+        mine = known.groupBy("func").agg(F.sort_array(F.collect_list(c)).alias("own"))
+        return these.select("func", "body").join(below, "func", "left").join(mine, "func", "left").select("func", "body", "callees", "own")
+
+    def inferred(these: DataFrame, known: DataFrame) -> DataFrame:
+        got = asked(these, known).mapInArrow(run, RESULT).where("kind in ('requires', 'ensures')")
+        return saved(got.select("func", F.col("kind").alias("side"), "tag", "term", F.lit(False).alias("annotated"), F.lit(None).cast("string").alias("shown")).distinct(), "clauses")
 
     edges = calls.select(F.col("func").alias("src"), F.col("callee").alias("dst"))
-    comp = saved(graph.scc(body.select(F.col("func").alias("node")), edges), "components")
+    comp = saved(graph.condensed(body.select(F.col("func").alias("node")), edges), "components")
     depth = graph.wave_depth(comp, graph.scc_edges(comp, edges))
-    level = saved(comp.join(depth, "scc").join(graph.scc_sizes(comp, edges), "scc").select(F.col("node").alias("func"), "depth", "recursive"), "levels")
+    level = saved(comp.join(depth, "scc").join(graph.scc_sizes(comp, edges), "scc").select(F.col("node").alias("func"), "scc", "depth", "recursive").join(body.select("func"), "func", "left_semi"), "levels")
     waves = level.groupBy("depth").agg(F.bool_or("recursive")).orderBy("depth").collect()
     for wave, (d, recursive) in enumerate(waves):
         here = level.where(F.col("depth") == d)
         these = body.join(here, "func", "left_semi")
-        for _ in range(rounds if recursive else 1):
-            got = saved(asked(these, clause).mapInArrow(run, RESULT).where("kind = 'requires'").select("func", "tag", "term").distinct(), "requires")
-            new = got if clause is None else saved(got.join(clause, ["func", "tag", "term"], "left_anti"), "requires")
-            clause = got if clause is None else clause.unionByName(new)
-            if not recursive or new.isEmpty():
+        before = clause
+        for k in range(rounds + 1 if recursive else 1):
+            got = inferred(these, clause)
+            new = saved(got.join(clause, ["func", "side", "tag", "term", "annotated"], "left_anti"), "new-clauses") if recursive else got
+            if not recursive:
+                clause = clause.unionByName(new.select(*columns))
+                break
+            if new.isEmpty():
                 break
+            if k == rounds:  # widen what still changes
+                stuck = saved(level.join(new.select("func").distinct(), "func", "left_semi").where("recursive").select("scc").distinct().join(level, "scc").select("func"), "widened")
+                kept = clause.join(stuck, "func", "left_anti").unionByName(before.join(stuck, "func", "left_semi"))
+                clause = saved(kept.unionByName(stuck.selectExpr("func", "'widened' as side", "'' as tag", "'true' as term", "false as annotated", "cast(null as string) as shown")), "clauses")
+                break
+            clause = clause.unionByName(new.select(*columns))
             again = calls.join(new.select(F.col("func").alias("callee")).distinct(), "callee").select("func").distinct()
             these = body.join(again.join(here.where("recursive"), "func", "left_semi"), "func", "left_semi")
         if wave % 8 == 7:  # else the plan grows with the depth
             clause = saved(clause, "clauses")
-    return asked(body, clause).mapInArrow(run, RESULT).where("kind = 'finding'").select("checker", "tag", "func", "message", "file", "line", "col")
+    return asked(body, clause).mapInArrow(run, RESULT).where("kind in ('finding', 'unencoded')"), clause
+
+
+def severity(tag: str = "tag") -> F.Column:
+    return F.when(F.col(tag) == UNVERIFIED, "warning").otherwise("error").alias("severity")
+
+
+def findings(df: DataFrame, budget: int = 2000, rounds: int = 8, **kw) -> DataFrame:
+    """FINDING columns of all confirmed violations; see analysed."""
+    return analysed(df, budget, rounds, **kw)[0].where("kind = 'finding'").withColumn("severity", severity()).select(*FINDING)
+
+
+def diagnostics(rows: DataFrame, clauses: DataFrame) -> DataFrame:
+    """func, what: functions that have no formula (about which nothing is said), and members of components that were widened."""
+    return rows.where("kind = 'unencoded'").select("func", F.concat(F.lit("not encoded: "), "message").alias("what")).unionByName(clauses.where("side = 'widened'").select("func", F.lit("widened").alias("what")))
