@@ -84,8 +84,8 @@ def normal_words(text):
     return out
 
 
-def contaminated(text, items, least, most, coverage):
-    """Byte ranges to remove: maximal matches by quadratic comparison."""
+def contaminated(text, items, least, most, coverage, short=4):
+    """Byte ranges to remove: maximal matches by quadratic comparison; of items of `short` words to `least` the whole counts."""
     ws = normal_words(text)
     own = [w for w, _, _ in ws]
     items = {i: [w for w, _, _ in normal_words(t)] for i, t in items}
@@ -102,6 +102,8 @@ def contaminated(text, items, least, most, coverage):
             if (a + n) not in matches or matches[a + n][0] > a:
                 matches[a + n] = (a, i, k)
     spans = sorted((a, b, i, k) for b, (a, i, k) in matches.items())
+    spans += [(a, a + len(v), i, 0) for i, v in items.items() if short <= len(v) < least for a in range(len(own)) if own[a : a + len(v)] == v]
+    spans.sort()
     spans = [s for s in spans if not any(o[0] <= s[0] and s[1] <= o[1] and o[:2] != s[:2] for o in spans)]
     covered = {}
     for a, b, i, k in spans:

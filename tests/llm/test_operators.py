@@ -142,13 +142,15 @@ def test_repeats_odd(spark, odd, f):
     assert f(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 1 << 16])
 @pytest.mark.parametrize("alphabet", [1, 2, 5])
-def test_columnwise_construction(tmp_path, alphabet):
+def test_columnwise_construction(tmp_path, alphabet, block, monkeypatch):
     rng = np.random.default_rng(alphabet)
     n = rng.integers(1, 12, 30)
     symbols = rng.integers(1, alphabet + 1, n.sum())
     base = np.concatenate([[0], np.cumsum(n)[:-1]])
-    got = suffix_dedup.construct(symbols, n, f"file://{tmp_path}")
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    got = np.concatenate(list(suffix_dedup.construct(symbols, n, f"file://{tmp_path}")))
     texts = [symbols[b : b + k].tolist() for b, k in zip(base, n)]
     order = sorted(((t[len(t) - k :], w, k) for w, t in enumerate(texts) for k in range(len(t) + 1)), key=lambda s: (s[0], s[1]))
     # at equal suffixes the documents' end marks decide, in the order of the documents
@@ -203,6 +205,7 @@ def test_risk_is_non_negative_corrected():
     start = np.concatenate([[0], np.cumsum([len(f) for f in feats])])
     m = toxicity.train(start, np.concatenate(feats), pos, 0.2)
     assert (m.weights[1000:1003] > 0).all()
+    assert m.climbed == 0 < toxicity.train(start, np.concatenate(feats), pos, 0.6).climbed  # with too large a prior the negative part falls below zero
     hit = np.array([m.bias + m.weights[f].sum() > m.threshold for f in feats])
     toxic = pos | (np.arange(800) % 5 == 0)  # a fifth of the unlabelled rows are toxic as well
     assert hit[toxic].mean() > 0.9 and hit[~toxic].mean() < 0.1
@@ -250,8 +253,8 @@ def test_bpe(spark, odd):
     got = bpe.encoded(table(spark, odd), BPE).collect()
     b = bpe.bpe(BPE)
     assert sorted((repr((r.doc_id, r.tokens, r.decoded)) for r in got)) == sorted(repr((i, None if t is None else b.leaf(t), t)) for i, t in odd)
-    ids = spark.createDataFrame([([64, 65],), ([],), (None,), ([255],)], "t array<int>").select(bpe.decoder(BPE)("t")).collect()
-    assert ids[1][0] == "" and ids[2][0] is None
+    ids = spark.createDataFrame([([64, 65],), ([],), (None,), ([255],), ([64, -1, 10**9, None, 65],)], "t array<int>").select(bpe.decoder(BPE)("t")).collect()
+    assert ids[1][0] == "" and ids[2][0] is None and ids[4][0] == ids[0][0][:1] + "\ufffd" * 3 + ids[0][0][1:]
 
 
 # 8
@@ -269,9 +272,10 @@ def test_contaminated(spark):
     bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, found int")
     df = table(spark, docs)
     want = {i: brute.contaminated(t, [x for x in items if x[0] is not None and x[1]], 8, 13, 0.5) for i, t in docs if t}
+    assert want[5]
     got = {r.doc_id: r for r in decontaminate.contaminated(df, bench).collect()}
     assert {i: [(s.s, s.e) for s in r.spans] for i, r in got.items()} == {i: v for i, v in want.items() if v}
-    assert set(got) == {1, 3, 4, 6, 9}
+    assert set(got) == {1, 3, 4, 5, 6, 9}
     clean = {r.doc_id: r for r in decontaminate.decontaminated(df, bench).collect()}
     for i, t in docs:
         assert clean[i].text == (brute.without(t, want[i]) if t else t) and (t is None or clean[i].n_chars == len(clean[i].text))
@@ -298,16 +302,65 @@ def near():
 
 def test_near_recall(spark, near):
     prints = simhash_dedup.fingerprints(*vec.buffers(vec.lower(pa.array([t for _, t in near]))))
-    _, want = brute.near_groups(prints, simhash_dedup.MAX_BITS)
+    roots, want = brute.near_groups(prints, simhash_dedup.MAX_BITS)
     points = simhash_dedup.fingerprinted(table(spark, near))
     of = {r.node: r.doc_id for r in points.collect()}
-    got = {tuple(sorted((of[r.a], of[r.b]))) for r in simhash_dedup.near_pairs(points).collect()}
-    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 100
+    for how in (simhash_dedup.SHORT, simhash_dedup.LONG):
+        got = {tuple(sorted((of[r.a], of[r.b]))) for r in simhash_dedup.near_pairs(points, how=how).collect()}
+        assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 100
+    groups = {r.doc_id: r.group_id for r in simhash_dedup.near_duplicates(table(spark, near)).collect()}
+    assert sum(groups.get(i, i) == r for i, r in enumerate(roots)) >= 0.98 * len(roots)
+
+
+@pytest.mark.parametrize("how, bits, least", [(simhash_dedup.SHORT, 21, 1), (simhash_dedup.SHORT, 36, 0.99), (simhash_dedup.SHORT, 42, 0.98), (simhash_dedup.LONG, 42, 0.99)])
+def test_points_at_the_limit_meet(how, bits, least):
+    rng = np.random.default_rng(bits)
+    f = rng.integers(0, 256, (1500, 32), dtype=np.uint8)
+    g = np.unpackbits(f, axis=1)
+    for row in g:
+        row[rng.permutation(256)[:bits]] ^= 1
+    both = np.concatenate([f, np.packbits(g, axis=1)]).view(np.uint64)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), *[pa.array(both[:, k].view(np.int64)) for k in range(4)]], ["node", *simhash_dedup._LONGS])
+    spread = pa.Table.from_batches(simhash_dedup.replicas(how)(iter([rows]))).sort_by("anchor")
+    got = set()
+    for b in simhash_dedup.met(how, bits)(iter(spread.to_batches(5000))):
+        got |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+    assert got <= {(i, i + 1500) for i in range(1500)} and len(got) >= least * 1500
+
+
+def test_hot_key_is_linked_without_all_pairs():
+    rng = np.random.default_rng(4)
+    center = rng.integers(0, 256, (1, 32), dtype=np.uint8)
+    bits = np.repeat(np.unpackbits(center, axis=1), 600, 0)
+    for i, row in enumerate(bits):  # one key; two clusters, some points between them
+        row[(30 + rng.permutation(100)[:12]) if i < 300 else 130 + rng.permutation(100)[:12]] ^= 1
+        if i >= 300:
+            row[30:60] ^= 1
+    f = np.packbits(bits, axis=1).view(np.uint64)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(600)), *[pa.array(f[:, k].view(np.int64)) for k in range(4)]], ["node", *simhash_dedup._LONGS])
+    how = simhash_dedup.Design((15, 7), 1)
+    spread = pa.Table.from_batches(simhash_dedup.replicas(how)(iter([rows]))).sort_by("anchor")
+    pairs = {(a, b) for x in simhash_dedup.met(how, 42)(iter(spread.to_batches())) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
+    roots, want = brute.near_groups(f, 42)
+    assert pairs <= want and len(pairs) < 10_000 < len(want)
+    root = list(range(600))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert [find(i) for i in range(600)] == roots
 
 
 def test_near_odd(spark, odd):
     got = {(r.doc_id, r.group_id, r.group_size) for r in simhash_dedup.near_duplicates(table(spark, odd)).collect()}
-    assert got == {(2, 2, 2), (3, 2, 2), (5, 5, 2), (6, 5, 2), (7, 7, 2), (8, 7, 2), (9, 9, 2)} or got == {(2, 2, 2), (3, 2, 2), (5, 5, 2), (6, 5, 2), (9, 9, 2)}
+    prints = simhash_dedup.fingerprints(*vec.buffers(vec.lower(pa.array([dict(odd)[i] for i in (7, 8)]))))
+    near = np.bitwise_count(prints[0] ^ prints[1]).sum() <= simhash_dedup.MAX_BITS
+    assert got == {(2, 2, 2), (3, 2, 2), (5, 5, 2), (6, 5, 2), (9, 9, 2)} | ({(7, 7, 2), (8, 7, 2)} if near else set())
     df = table(spark, odd)
     kept = simhash_dedup.without_near_duplicates(df)
     ids = sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null and text is not null").collect())
@@ -318,7 +371,7 @@ def test_near_odd(spark, odd):
 
 def test_covering():
     for n, r in ((15, 4), (7, 3)):
-        t = simhash_dedup._near(n, r)
+        t = simhash_dedup.near(n)
         assert len(set(t[:, 0].tolist())) == 2 ** (n - r) and t.shape[1] == (n + 1) // 2
         for x in range(0, 1 << n, 37):  # a point one bit off has its home among the anchors reached
             assert np.bitwise_count(x ^ t[x, 0]) <= 1

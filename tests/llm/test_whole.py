@@ -1,13 +1,17 @@
 """Cases in which an operator did less than the whole job."""
 
+import html.parser
 import random
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarry.llm import decontaminate, html_text, substring_dedup, suffix_dedup, toxicity, vec, warc
+from quarry.llm import common, decontaminate, exact_dedup, html_text, line_dedup, substring_dedup, suffix_dedup, toxicity, vec, warc
+from quarry.llm.common import saved
+from tests.conftest import SMALL, rows
 
 from . import brute
 from .test_operators import table, words
@@ -108,6 +112,9 @@ def test_every_item_is_credited_whatever_the_parts(spark, monkeypatch):
         ("<noscript>no</noscript><template><p>no</p></template><p>one", ["one"]),
         ("<p>one</p><script>var s = '</p><svg>'; <p>no</p>", ["one"]),
         ("<p>one</p><textarea>no <p>no</p>", ["one"]),
+        ("<p title='" + "a>b" * 50_000 + "'>one</p><p data-x=\"" + "<p>" * 60_000 + "\">two", ["one", "two"]),
+        ("<p>one <b title=\"x>two</b><p>three</p>" + "<i a='>" * 20_000 + "<p>four", ["one two", "three", "four"]),
+        ("<p>one <b", ["one <b"]),
     ],
 )
 def test_unclosed_elements(page, want):
@@ -116,7 +123,7 @@ def test_unclosed_elements(page, want):
 
 def test_threshold_covers_all_documents(spark, monkeypatch):
     model = toxicity.Model(np.full(toxicity.DIM, 0.001, np.float32), -1.0, -0.9, 0.3)
-    monkeypatch.setattr(toxicity, "train", lambda *a: model)  # its threshold is the sample's
+    monkeypatch.setattr(toxicity, "train", lambda *a, **kw: model)  # its threshold is the sample's
     docs = [(i, " ".join(f"w{k}" for k in range(i))) for i in range(1, 200)]
     labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
     at = toxicity.fit(table(spark, docs), labels, prior=0.3, n_unl=20).threshold
@@ -137,3 +144,131 @@ def test_walked_archives_keep_what_comes_before_a_bad_record(tmp_path):
         begin = got[0][2]
         at = [begin + sum(map(len, parts[:k])) for k in range(good + bad)]
         assert [(r[2], r[3], r[4]) for r in got] == [(a, len(p), "ok") for a, p in zip(at, parts[:good])] + [(a, None, "bad record") for a in at[good:]]
+
+
+class Flat(html.parser.HTMLParser):
+    """Blocks of well-formed pages by the library's own parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.parts, self.links, self.skip, self.link = [], [], [], 0, False
+
+    def flush(self):
+        ws = "".join(self.parts).split()
+        if ws:
+            self.out.append((" ".join(ws), len(ws), min(len(ws), len("".join(self.links).split()))))
+        self.parts, self.links = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in RAW:
+            self.skip += 1
+        if self.skip:
+            return
+        if tag == "a":
+            self.link = True
+            self.links.append(" ")
+        elif tag == "br":
+            self.parts.append(" ")
+            self.links.append(" ")
+        elif tag not in html_text.INLINE:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag in RAW:
+            self.skip -= 1
+            if tag not in ("script", "style", "noscript", "template", "svg", "math"):
+                self.flush()
+        elif not self.skip and tag == "a":
+            self.link = False
+        elif not self.skip and tag not in html_text.INLINE | {"br"}:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.parts.append(data)
+            if self.link:
+                self.links.append(data)
+
+
+RAW = {"script", "style", "iframe", "textarea", "title", *html_text.HIDDEN}
+
+
+def test_html_equals_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    tree = html_text.trained()
+
+    def content(node, x):
+        while node.feature >= 0:
+            node = node.left if x[node.feature] <= node.at else node.right
+        return node.content
+
+    got = {r.page_id: r for r in html_text.extracted(pages).collect()}
+    for r in pages.collect():
+        p = Flat()
+        p.feed(r.html)
+        p.close()
+        p.flush()
+        n, d = [0, *[w for _, w, _ in p.out], 0], [0, *[k / w for _, w, k in p.out], 0]
+        keep = [t for i, (t, _, _) in enumerate(p.out) if content(tree, [*n[i : i + 3], *d[i : i + 3]])]
+        assert (got[r.page_id].blocks, got[r.page_id].content_blocks, got[r.page_id].text) == (len(p.out), len(keep), "\n".join(keep)), r.page_id
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Counts, choice and scores over all documents, word by word."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [(10**6, None), (None, "x y")]
+    confirmed = {i for i, _ in docs[::7] if i is not None}
+    name = {}
+
+    def features(text):
+        out = set()
+        for w, _, _ in brute.normal_words(text or ""):
+            raw = w.encode()
+            for k, x in enumerate((raw, raw[:5], raw[:7])):
+                if k == 0 or len(raw) > len(x):
+                    if (k, x) not in name:
+                        h = vec.word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))
+                        name[k, x] = int(vec.mix(h + np.uint64(k))[0] >> np.uint64(64 - toxicity.BITS))
+                    out.add(name[k, x])
+        return out
+
+    own = [(i, features(t)) for i, t in docs if t is not None]
+    toxic = spark.createDataFrame([(i, True) for i in confirmed], "doc_id long, pos boolean")
+    n1, n0, c1, c0 = toxicity.counted(table(spark, docs), saved(toxic))
+    assert n0 == len(own) and n1 == sum(i in confirmed for i, _ in own)
+    for c, use in ((c1, lambda i: i in confirmed), (c0, lambda i: True)):
+        want = Counter(f for i, fs in own if use(i) for f in fs)
+        assert {int(f): int(c[f]) for f in np.flatnonzero(c)} == want
+    labels = spark.createDataFrame([(i, 0, 1) for i in confirmed], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(table(spark, docs), labels, prior=0.2)
+    got = [r.score for r in toxicity.toxic_documents(table(spark, docs), labels, prior=0.2).collect()]
+    want = [model.bias + sum(float(model.weights[f]) for f in features(t)) for _, t in docs]
+    assert np.allclose(sorted(got), sorted(want), atol=1e-6)
+
+
+@pytest.mark.parametrize("f", [suffix_dedup.suffix_dedup, substring_dedup.substring_dedup])
+def test_repeats_survive_equal_hashes(spark, f):
+    """Windows whose first hash is the same, whatever their words, are told apart."""
+    rng = random.Random(17)
+    p, q = words(rng, 90), words(rng, 90)
+    docs = [(i, " ".join(words(rng, 20) + (p, q)[i % 2] + words(rng, 30))) for i in range(6)] + [(10, " ".join(words(rng, 200)))]
+
+    def weak(data, s, e):
+        return np.full(len(s), 7, np.uint64)
+
+    got = {r.doc_id: (tuple(map(tuple, r.repeated)), tuple(map(tuple, r.removed))) for r in f(table(spark, docs), word_hash=weak).collect()}
+    assert got == brute.repeats(docs, 50)
+
+
+def test_exact_and_lines_with_shuffles_instead_of_broadcasts(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for f in (exact_dedup.exact_duplicates, lambda d: line_dedup.line_dedup(d, count="n").select("doc_id", "text", "n")):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 16 << 20)
+        want = rows(f(docs))
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+        assert rows(f(docs)) == want
+
+
+def test_measured_sizes(spark):
+    rows = [(1, "x" * 1000, [1] * 100, [(1, "y" * 50)] * 10), (2, None, None, None)]
+    n = common.measured(saved(spark.createDataFrame(rows, "a long, b string, c array<int>, d array<struct<e: int, f: string>>")))
+    assert 2300 < n < 3500
