@@ -23,7 +23,7 @@ HOPS, BRIDGES, CANONICAL = 32, 64, 64
 UNKNOWN = ("Unknown", "", ())
 OWN = "func string, domain string, root_kind string, root_id string, path array<int>, op string"
 SITES = "caller string, callee string, args array<struct<root_kind: string, root_id: string, path: array<int>>>, bindings array<struct<root_kind: string, root_id: string, path: array<int>>>"
-CANDIDATES = "spawner string, callee string, helper string, kind string, op_block int, op_instr int, go_block int, alloc int, loc_path array<int>, arms array<struct<kind: string, root_kind: string, root_id: string, path: array<int>>>, escapes boolean, capacity string, cap long, file string, line int, col int"
+CANDIDATES = "spawner string, callee string, helper string, kind string, op_block int, op_instr int, go_block int, call_block int, alloc int, loc_path array<int>, arms array<struct<kind: string, root_kind: string, root_id: string, path: array<int>>>, escapes boolean, capacity string, cap long, file string, line int, col int"
 
 
 def bodies(facts: dict[str, DataFrame]) -> DataFrame:
@@ -232,12 +232,12 @@ def candidates(func: str, f: Body, known: dict[str, Body]) -> Iterator[tuple]:
             continue
         c, args = go["callee"], go["operands"]
         g = known[c]
-        out = [(None, g, x) for x in g.blocking(lambda at: f.mapped(at, c, args))]
+        out = [(None, g, None, x) for x in g.blocking(lambda at: f.mapped(at, c, args))]
         for hop in g.instrs:
             h = hop["callee"]
             if hop["op"] in ("Call", "Defer") and hop["callee_kind"] == "Static" and h != c and h in known:
-                out += [(h, known[h], x) for x in known[h].blocking(lambda at: f.mapped(g.mapped(at, h, hop["operands"], True), c, args))]
-        for helper, host, (i, kind, arms) in out:
+                out += [(h, known[h], hop["b"], x) for x in known[h].blocking(lambda at: f.mapped(g.mapped(at, h, hop["operands"], True), c, args))]
+        for helper, host, through, (i, kind, arms) in out:
             v = int(arms[0][1][1])
             caps = [f.capacity(int(at[1])) for _, at in arms]
             if kind == "Select":
@@ -248,7 +248,7 @@ def candidates(func: str, f: Body, known: dict[str, Body]) -> Iterator[tuple]:
                 cap = "Buffered" if kind == "Send" and caps[0] > 0 else "Unbuffered"
             let_out = any(f.escapes(int(at[1])) for _, at in arms)
             places = [{"kind": k, "root_kind": at[0], "root_id": at[1], "path": list(at[2])} for k, at in arms]
-            yield func, c, helper, kind, i["b"], i["i"], go["b"], v, list(arms[0][1][2]), places, let_out, cap, caps[0] if cap == "Buffered" else None, go["file"], go["line"], go["col"]
+            yield func, c, helper, kind, i["b"], i["i"], go["b"], through, v, list(arms[0][1][2]), places, let_out, cap, caps[0] if cap == "Buffered" else None, go["file"], go["line"], go["col"]
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -317,7 +317,7 @@ def leak_candidates(df: DataFrame) -> DataFrame:
 
 def leaks(df: DataFrame, summary: DataFrame) -> DataFrame:
     """Candidates that don't escape, have no counterpart in their spawner's effects and no capacity that can't be judged."""
-    key = ["spawner", "callee", "helper", "op_block", "op_instr", "go_block"]
+    key = ["spawner", "callee", "helper", "op_block", "op_instr", "go_block", "call_block"]
     c = leak_candidates(df).where("not escapes and capacity <> 'Silent'").withColumn("id", F.xxhash64(*key))
     loc = F.struct("root_kind", "root_id", "path").alias("loc")
     env = summary.where("domain = 'chan'").select("func", loc, "op", "root_kind")

@@ -152,9 +152,9 @@ def violating_path(dag: list[list[int]], guards: dict[int, bool], entry: int = 0
     return out
 
 
-def analysed(blocks: DataFrame, edges: DataFrame, key: str = "func") -> DataFrame:
+def analysed(blocks: DataFrame, edges: DataFrame, key: str = "func", only: tuple[str, ...] = ("cyclic", "idom", "topo", "dominators", "ancestors")) -> DataFrame:
     """Per (key, b): reachable, cyclic, idom, topo (place in topological order), dominators (b's chain) and ancestors
-    after back edges are cut. blocks: (key, b), the least b being the entry; edges: (key, src, dst, succ_pos)."""
+    after back edges are cut. blocks: (key, b), the least b being the entry; edges: (key, src, dst, succ_pos). Columns that `only` leaves out are null and cost nothing."""
     kind = dict(blocks.dtypes)[key]
     es = edges.groupBy(key).agg(F.sort_array(F.collect_set(F.struct(F.col("src").cast("long").alias("src"), F.col("succ_pos").cast("long").alias("pos"), F.col("dst").cast("long").alias("dst")))).alias("es"))
     one = blocks.groupBy(key).agg(F.sort_array(F.collect_set(F.col("b").cast("long"))).alias("bs")).join(es, key, "left").select(key, "bs", "es")
@@ -166,11 +166,13 @@ def analysed(blocks: DataFrame, edges: DataFrame, key: str = "func") -> DataFram
                 at = {b: i for i, b in enumerate(bs)}
                 g = Graph(len(bs), [(at.get(e["src"], -1), at.get(e["dst"], -1)) for e in es_ or []])
                 dag, seen = g.cut()
-                cyclic, idom, anc = g.cyclic(), immediate_dominators(dag), strict_ancestors(dag)
-                place = {b: i for i, b in enumerate(topological(dag))}
+                cyclic = g.cyclic() if "cyclic" in only else [None] * len(bs)
+                idom = immediate_dominators(dag) if {"idom", "dominators"} & set(only) else [None] * len(bs)
+                anc = strict_ancestors(dag) if "ancestors" in only else None
+                place = {b: i for i, b in enumerate(topological(dag))} if "topo" in only else {}
                 for i, b in enumerate(bs):
-                    doms = sorted(bs[x] for x in chain(idom, i))
-                    row = (k, b, seen[i], cyclic[i], None if idom[i] is None else bs[idom[i]], place.get(i), doms, sorted(bs[x] for x in anc[i]))
+                    doms = sorted(bs[x] for x in chain(idom, i)) if "dominators" in only else None
+                    row = (k, b, seen[i], cyclic[i], None if idom[i] is None else bs[idom[i]], place.get(i), doms, anc and sorted(bs[x] for x in anc[i]))
                     for c, v in zip(cols, row):
                         c.append(v)
             ints = pa.list_(pa.int64())
@@ -188,3 +190,8 @@ def dominance(shape: DataFrame, key: str = "func") -> DataFrame:
 def ancestry(shape: DataFrame, key: str = "func") -> DataFrame:
     """(key, a, b): a reaches b in the acyclic graph."""
     return shape.select(key, F.explode("ancestors").alias("a"), "b")
+
+
+def ordered(shape: DataFrame, key: str = "func") -> DataFrame:
+    """(key, b, place): reachable blocks in topological order."""
+    return shape.where("topo is not null").select(key, "b", F.col("topo").cast("long").alias("place"))

@@ -62,7 +62,7 @@ def sorts(types: DataFrame, part: str = "import_path") -> DataFrame:
                         s = None
                     elif t["kind"] == "Basic":
                         family, bits = NUMERIC.get(t["name"], (None, 0))
-                        s = {"signed": f"s{bits}", "unsigned": f"u{bits}"}.get(family) or {"bool": "bool", "string": "seq"}.get(t["name"])
+                        s = {"signed": f"s{bits}", "unsigned": f"u{bits}", "float": f"f{bits}"}.get(family) or {"bool": "bool", "string": "seq"}.get(t["name"])
                     elif t["kind"] == "Array":
                         s = f"array:{t['array_len']}"
                     elif e is not None and e["kind"] == "Array":
@@ -481,6 +481,28 @@ def unproven(c: dict) -> str:
 
 
 CLAUSE = "side string, tag string, term string, annotated boolean, shown string"
+CLAUSES = ["side", "tag", "term", "annotated", "shown"]
+
+
+def static_calls(df: DataFrame) -> DataFrame:
+    return df.select("func", F.explode("body.instr").alias("x")).where("x.callee_kind = 'Static'").select("func", F.col("x.callee").alias("callee")).distinct()
+
+
+def informed(df: DataFrame, calls: DataFrame, clauses: DataFrame) -> DataFrame:
+    """func, body, callees (their clauses), own (its own)."""
+    known = clauses.where("side <> 'widened'")
+    below = calls.join(known.withColumnRenamed("func", "callee"), "callee").groupBy("func").agg(F.sort_array(F.collect_list(F.struct(F.col("callee").alias("func"), *CLAUSES))).alias("callees"))
+    mine = known.groupBy("func").agg(F.sort_array(F.collect_list(F.struct(*CLAUSES))).alias("own"))
+    return df.select("func", "body").join(below, "func", "left").join(mine, "func", "left").select("func", "body", "callees", "own")
+
+
+def _read(x: dict) -> tuple[dict[str, list[dict]], list[dict]]:
+    """(callees' clauses, its own) of a row of `informed`, with their terms."""
+    read = lambda c: c | {"t": T.parse_query(c["term"])[0]}
+    by: dict[str, list] = {}
+    for c in x["callees"] or []:
+        by.setdefault(c["func"], []).append(read(c))
+    return by, [read(c) for c in x["own"] or []]
 
 
 def _rows(budget: int, schema: pa.Schema, rules: tuple[str, ...]):
@@ -488,11 +510,8 @@ def _rows(budget: int, schema: pa.Schema, rules: tuple[str, ...]):
         for b in it:
             out = []
             for x in b.to_pylist():
-                read = lambda c: c | {"t": T.parse_query(c["term"])[0]}
-                by: dict[str, list] = {}
-                for c in x["callees"] or []:
-                    by.setdefault(c["func"], []).append(read(c))
-                out += checked(x["func"], x["body"], by, [read(c) for c in x["own"] or []], budget, rules)
+                by, own = _read(x)
+                out += checked(x["func"], x["body"], by, own, budget, rules)
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
 
     return run
@@ -508,19 +527,15 @@ def analysed(df: DataFrame, budget: int = 2000, rounds: int = 8, annotated: Data
     from .bodies import _schema
 
     run = _rows(budget, _schema(RESULT), rules)
-    columns = ["func", "side", "tag", "term", "annotated", "shown"]
-    calls = saved(df.select("func", F.explode("body.instr").alias("x")).where("x.callee_kind = 'Static'").select("func", F.col("x.callee").alias("callee")).distinct(), "calls")
+    columns = ["func", *CLAUSES]
+    calls = saved(static_calls(df), "calls")
     body = saved(df.select("func", "body"), "bodies")
     clause = body.sparkSession.createDataFrame([], f"func string, {CLAUSE}")
     if annotated is not None:
         clause = saved(clause.unionByName(annotated.select("func", "side", "tag", "term", F.lit(True).alias("annotated"), "shown").distinct()), "annotated")
 
     def asked(these: DataFrame, known: DataFrame) -> DataFrame:
-        c = F.struct(*columns[1:])
-        known = known.where("side <> 'widened'")
-        below = calls.join(known.withColumnRenamed("func", "callee"), "callee").groupBy("func").agg(F.sort_array(F.collect_list(F.struct(F.col("callee").alias("func"), *columns[1:]))).alias("callees"))
-        mine = known.groupBy("func").agg(F.sort_array(F.collect_list(c)).alias("own"))
-        return these.select("func", "body").join(below, "func", "left").join(mine, "func", "left").select("func", "body", "callees", "own")
+        return informed(these, calls, known)
 
     def inferred(these: DataFrame, known: DataFrame) -> DataFrame:
         got = asked(these, known).mapInArrow(run, RESULT).where("kind in ('requires', 'ensures')")
@@ -568,3 +583,72 @@ def findings(df: DataFrame, budget: int = 2000, rounds: int = 8, **kw) -> DataFr
 def diagnostics(rows: DataFrame, clauses: DataFrame) -> DataFrame:
     """func, what: functions that have no formula (about which nothing is said), and members of components that were widened."""
     return rows.where("kind = 'unencoded'").select("func", F.concat(F.lit("not encoded: "), "message").alias("what")).unionByName(clauses.where("side = 'widened'").select("func", F.lit("widened").alias("what")))
+
+
+# -- leaks, confirmed
+
+LEAK_TAG = {"Send": "chan-send-leak", "Recv": "chan-recv-leak", "Select": "chan-select-leak"}
+
+
+def full(e: Encoded, block: int, at: int, cap: int) -> tuple:
+    """Before instruction `at` of a block, `cap` sends at least have gone to the same place: what its block and those on the way sent."""
+    loc = next(e.loc(i["a0"]) for i in e.instrs if (i["b"], i["i"]) == (block, at))
+    sends = lambda b, till=None: sum(i["op"] == "Send" and i["b"] == b and (till is None or i["i"] < till) and e.loc(i["a0"]) == loc for i in e.instrs)
+    up, todo = {block}, [block]
+    while todo:
+        b = todo.pop()
+        for p in range(e.graph.n):
+            if b in e.dag[p] and p not in up:
+                up.add(p)
+                todo.append(p)
+    pending = T.lit(32, sends(block, at))
+    for b in sorted(up - {block}):
+        if n := sends(b):
+            pending = T.binary("bvadd", pending, T.ite(e.guard(b), T.lit(32, n), T.lit(32, 0)))
+    return T.negation(T.binary("bvult", pending, T.lit(32, cap)))
+
+
+def blocks_for_ever(c: dict, budget: int) -> bool:
+    """Whether a candidate's spawner can reach its go while what is spawned can reach the operation (through the helper's call), a buffer being full by then.
+    Each function is a frame with names of its own, under its own preconditions."""
+    asserts: list[tuple] = []
+    last = "callee" if c["helper"] is None else "helper"
+    for frame, prefix, block in (("spawner", "", c["go_block"]), ("callee", "s_", c["op_block"] if last == "callee" else c["call_block"]), ("helper", "t_", c["op_block"])):
+        x = c[f"{frame}_body"]
+        if x is None:
+            continue
+        by, own = _read(x)
+        e = Encoded(x["body"], {f: [(r["tag"], r["t"]) for r in rs if r["side"] == "ensures"] for f, rs in by.items()})
+        more = [r["t"] for r in own if r["side"] == "requires"]
+        if frame == last and c["cap"] is not None:
+            more.append(full(e, block, c["op_instr"], c["cap"]))
+        asserts += [T.prefixed(t, prefix) if prefix else t for t in (*e.asserts, e.guard(block), *more)]
+    return T.check(asserts, budget)[0] == T.SAT
+
+
+def leak_findings(df: DataFrame, candidates: DataFrame, clauses: DataFrame, budget: int = 2000) -> DataFrame:
+    """FINDING rows of the candidates (bodies.leaks) that a query over their two or three functions confirms. clauses: of analysed."""
+    from .bodies import _schema, leak_message
+
+    rows = informed(df, static_calls(df), clauses).select("func", F.struct("body", "callees", "own").alias("x"))
+    c = candidates.withColumn("message", leak_message())
+    for frame in ("spawner", "callee", "helper"):
+        c = c.join(rows.select(F.col("func").alias(frame), F.col("x").alias(f"{frame}_body")), frame, "left" if frame == "helper" else "inner")
+    ddl = "func string, kind string, message string, file string, line int, col int, trace array<int>"
+    schema = _schema(ddl)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for x in b.to_pylist():
+                try:
+                    if not blocks_for_ever(x, budget):
+                        continue
+                except (OverflowError, RecursionError, T.SortError):  # what can't be encoded is never reported
+                    continue
+                out.append({"func": x["spawner"], "kind": x["kind"], "message": x["message"], "file": x["file"], "line": x["line"], "col": x["col"], "trace": [x["go_block"]]})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    kinds = F.create_map(*[F.lit(v) for kv in LEAK_TAG.items() for v in kv])
+    none = F.expr("cast(array() as array<struct<name: string, value: string>>)").alias("model")
+    return c.mapInArrow(run, ddl).select(F.lit("goroutine-leak").alias("checker"), kinds[F.col("kind")].alias("tag"), "func", "message", "file", "line", "col", F.lit("error").alias("severity"), "trace", none)

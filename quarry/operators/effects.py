@@ -130,6 +130,20 @@ def value_clean(dirty: DataFrame, funcs: DataFrame) -> DataFrame:
     return funcs.join(per, "func", "left").select("func", (F.col("has_body") & ~F.coalesce("any_dirty", F.lit(False))).alias("value_clean"))
 
 
+def dirty(instr: DataFrame, value: DataFrame) -> DataFrame:
+    """func, dirty, an instruction each: whether it may fail by a value. Memory other than the function's own allocations, elements, division, and
+    conversions that change the kind of number or narrow it. value: (func, vid, sort)."""
+    made = instr.where("op = 'Alloc'").select("func", F.col("dst").alias("a0"), F.lit(True).alias("local"))
+    sort = lambda v, name: value.select("func", F.col("vid").alias(v), F.col("sort").alias(name))
+    x = instr.select("func", "op", "sub", "a0", "dst").join(made, ["func", "a0"], "left").join(sort("a0", "from"), ["func", "a0"], "left").join(sort("dst", "to"), ["func", "dst"], "left")
+    number = "^[suf][0-9]+$"
+    bits = lambda c: F.substring(c, 2, 9).try_cast("int")
+    keeps = F.col("from").rlike(number) & F.col("to").rlike(number) & (F.substring("from", 1, 1) == F.substring("to", 1, 1)) & (bits("from") <= bits("to"))
+    rule = F.when(F.col("op").isin("Load", "Store", "FieldAddr"), F.col("local").isNull()).when(F.col("op").isin("IndexAddr", "Index", "Lookup", "Slice"), True)
+    rule = rule.when(F.col("op") == "BinOp", F.col("sub").isin("Div", "Rem")).when(F.col("op") == "Convert", ~F.coalesce(keeps, F.lit(False)))
+    return x.select("func", F.coalesce(rule, F.lit(False)).alias("dirty"))
+
+
 def text(effects: DataFrame) -> DataFrame:
     """line: one per function, in the fixed form of a summary: spawns, then locations with their operations in declared order."""
     prefix = F.when(F.col("root_kind") == "Param", F.concat(F.lit("p"), "root_id")).when(F.col("root_kind") == "Global", F.concat(F.lit("g:"), "root_id"))

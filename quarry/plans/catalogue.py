@@ -14,7 +14,7 @@ from ..functions import annotations, render
 from ..operators import bounds, cfg, clauses, effects, graph, report
 from ..storage import saved
 from . import adapters as a
-from . import cache, verdicts
+from . import cache, program_queries, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,8 +70,8 @@ def wave_depth(spark: SparkSession, d: str) -> DataFrame:
     return graph.wave_depth(c, graph.scc_edges(c, a.edges(spark, d)))
 
 
-def shape(spark: SparkSession, d: str) -> DataFrame:
-    return cfg.analysed(*a.cfg(spark, d))
+def shape(spark: SparkSession, d: str, *only: str) -> DataFrame:
+    return cfg.analysed(*a.cfg(spark, d), only=only)
 
 
 def effect_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -203,9 +203,9 @@ QUERIES: dict[str, Query] = {
     "scc_edges": lambda s, d: graph.scc_edges(components(s, d), a.edges(s, d)),
     "wave_depth": wave_depth,
     "callgraph_dump": lambda s, d: graph.dump(a.edges(s, d)),
-    "cyclic_blocks": lambda s, d: shape(s, d).select("func", "b", "cyclic", "reachable"),
-    "dominators": lambda s, d: cfg.dominance(shape(s, d)),
-    "ancestors": lambda s, d: cfg.ancestry(shape(s, d)),
+    "cyclic_blocks": lambda s, d: shape(s, d, "cyclic").select("func", "b", "cyclic", "reachable"),
+    "dominators": lambda s, d: cfg.dominance(shape(s, d, "dominators")),
+    "ancestors": lambda s, d: cfg.ancestry(shape(s, d, "ancestors")),
     "paths": lambda s, d: graph.closure(a.cfg(s, d)[1], "func"),
     "effects_join": effects_join,
     "effects_rebase": effects_rebase,
@@ -378,3 +378,6 @@ ORACLES: dict[str, str] = {
     "solver_verdicts": """WITH q AS (SELECT DISTINCT l_linenumber AS a, CAST(l_quantity AS INT) AS b FROM lineitem JOIN part ON p_partkey = l_partkey),
         hit AS (SELECT a, b, bool_or((x * a) % 256 = b AND x < 16 + a * 8) AS s FROM q, range(256) r(x) GROUP BY ALL) SELECT a, b, CASE WHEN s THEN 'sat' ELSE 'unsat' END AS verdict FROM hit""",
 }
+
+QUERIES |= program_queries.QUERIES
+ORACLES |= program_queries.ORACLES
