@@ -1,9 +1,11 @@
 r"""Line dedup by content-defined chunks of lines.
 
-Lines (split at \n) are hashed; a hash rolling over two line hashes decides after which lines a
-chunk ends, so a passage of lines is cut alike wherever it stands. Chunks of at least two non-blank lines
+Lines (split at \n) are hashed; a chunk ends after a non-blank line where a hash that rolls over two line hashes is less than at the
+non-blank line before and not greater than at the one after. So a passage of lines is cut alike wherever it stands, and since two
+neighbours can't both be least, each chunk has two non-blank lines at least, three on average; at the ends of a text, where a neighbour is
+missing or a single line would be left, there is no cut. Chunks
 that occur more than once in the corpus are compared byte by byte, and all occurrences but the first (by
-doc_id, then line) are removed. Single lines are left alone, whatever their number.
+doc_id, then line) are removed. A single line is never removed by itself, whatever its number.
 
 Everything is JVM-side. Content never moves in the search for repeats (only 64-bit keys do); for the byte
 comparison one smallest and one largest content per key leave a task.
@@ -20,11 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import hidden, joined, saved
 
-#: A chunk ends on average after every MODULUS-th line.
-MODULUS = 3
-
-HASHES = "transform(lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 8), 16, 10) as bigint))"
-ENDS = f"filter(transform(h, (x, i) -> if((x + 31 * if(i > 0, h[i - 1], 0)) % {MODULUS} = 0 or i = size(h) - 1, i, -1)), i -> i >= 0)"
+#: Places of the non-blank lines, their hashes, the rolling hash, and the last lines of all chunks.
+PLACES = "filter(transform(lines, (x, i) -> if(length(trim(x)) > 0, i, -1)), i -> i >= 0)"
+HASHES = "transform(at, i -> cast(conv(substring(md5(cast(lines[i] as binary)), 1, 8), 16, 10) as bigint))"
+ROLLING = "transform(h, (x, j) -> (x + 31 * if(j > 0, get(h, j - 1), 0)) % 4294967296)"
+ENDS = "concat(filter(transform(at, (i, j) -> if(j > 0 and j < size(at) - 2 and r[j] < get(r, j - 1) and r[j] <= get(r, j + 1), i, -1)), i -> i >= 0), array(size(lines) - 1))"
 CHUNKS = "transform(ends, (e, k) -> named_struct('start', if(k > 0, ends[k - 1] + 1, 0), 'n', e - if(k > 0, ends[k - 1], -1)))"
 CONTENT = "array_join(slice(lines, c.start + 1, c.n), '\\n')"
 
@@ -36,7 +38,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """doc_id, th, c (first line, lines), content: the multi-line chunks of every document."""
-    df = keyed(docs).withColumn("h", F.expr(HASHES)).withColumn("ends", F.expr(ENDS))
+    df = keyed(docs)
+    for name, rule in (("at", PLACES), ("h", HASHES), ("r", ROLLING), ("ends", ENDS)):
+        df = df.withColumn(name, F.expr(rule))
     multi = f"filter({CHUNKS}, c -> c.n > 1 and size(filter(slice(lines, c.start + 1, c.n), x -> length(trim(x)) > 0)) > 1)"
     df = df.select("doc_id", "th", F.explode(F.expr(f"transform({multi}, c -> named_struct('c', c, 'content', {CONTENT}))")).alias("x"))
     return df.select("doc_id", "th", "x.c", "x.content")
@@ -86,19 +90,22 @@ def line_dedup(docs: DataFrame, count: str | None = None, **kw) -> DataFrame:
     return df.select(*[c.alias(k) for k, c in out.items()], *more)
 
 
-ORACLE = f"""
+ORACLE = """
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND contains(text, chr(10))),
 l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM d),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
-b AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % {MODULUS} = 0 AS cut FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+h AS (SELECT doc_id, text, i, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY doc_id, text) AS n
+      FROM l WHERE trim(line) <> '' WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+r AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 4294967296 AS r FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+m AS (SELECT doc_id, text, i, j > 0 AND j < n - 2 AND r < lag(r) OVER w AND r <= lead(r) OVER w AS cut FROM r WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+b AS (SELECT l.*, coalesce(m.cut, FALSE) AS cut FROM l LEFT JOIN m USING (doc_id, text, i)),
 c AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
 k AS (SELECT doc_id, text, chunk, min(i) AS start, string_agg(line, chr(10) ORDER BY i) AS content FROM c GROUP BY ALL
       HAVING count(*) FILTER (trim(line) <> '') > 1),
 g AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, start) > 1 AS gone FROM k),
-r AS (SELECT c.doc_id, c.text, string_agg(c.line, chr(10) ORDER BY c.i) FILTER (NOT coalesce(g.gone, FALSE)) AS new,
+z AS (SELECT c.doc_id, c.text, string_agg(c.line, chr(10) ORDER BY c.i) FILTER (NOT coalesce(g.gone, FALSE)) AS new,
              count(*) FILTER (g.gone) AS removed
       FROM c LEFT JOIN g USING (doc_id, text, chunk) GROUP BY ALL)
-SELECT t.doc_id, CASE WHEN r.removed > 0 THEN coalesce(r.new, '') ELSE t.text END AS text,
-       coalesce(r.removed, 0) AS removed_lines
-FROM documents t LEFT JOIN r ON r.doc_id = t.doc_id AND r.text = t.text
+SELECT t.doc_id, CASE WHEN z.removed > 0 THEN coalesce(z.new, '') ELSE t.text END AS text,
+       coalesce(z.removed, 0) AS removed_lines
+FROM documents t LEFT JOIN z ON z.doc_id = t.doc_id AND z.text = t.text
 """

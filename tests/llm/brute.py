@@ -44,29 +44,31 @@ def exact(docs):
     return [sorted(g, key=lambda i: (i is None, i or 0)) for g in groups.values()]
 
 
-def line_chunks(text, modulus):
+def line_chunks(text):
     lines = text.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    at = [i for i, x in enumerate(lines) if x.strip(" ")]
+    h = [int(hashlib.md5(lines[i].encode()).hexdigest()[:8], 16) for i in at]
+    r = [(x + 31 * (h[j - 1] if j else 0)) % 2**32 for j, x in enumerate(h)]
     out, start = [], 0
-    for i in range(len(lines)):
-        if (h[i] + 31 * (h[i - 1] if i else 0)) % modulus == 0 or i == len(lines) - 1:
-            out.append((start, lines[start : i + 1]))
-            start = i + 1
-    return out
+    for j in range(1, len(at) - 2):
+        if r[j] < r[j - 1] and r[j] <= r[j + 1]:
+            out.append((start, lines[start : at[j] + 1]))
+            start = at[j] + 1
+    return [*out, (start, lines[start:])]
 
 
-def line_dedup(docs, modulus):
+def line_dedup(docs):
     """New texts of (doc_id, text) rows with distinct ids, in order."""
     first = {}
     for i, t in sorted((x for x in docs if x[0] is not None and x[1] is not None), key=lambda x: x[0]):
-        for s, c in line_chunks(t, modulus):
+        for s, c in line_chunks(t):
             first.setdefault("\n".join(c), (i, s))
     out = []
     for i, t in docs:
         if i is None or t is None or "\n" not in t:
             out.append((i, t))
             continue
-        kept = [x for s, c in line_chunks(t, modulus) for x in (c if sum(bool(x.strip(" ")) for x in c) < 2 or first["\n".join(c)] == (i, s) else [])]
+        kept = [x for s, c in line_chunks(t) for x in (c if sum(bool(x.strip(" ")) for x in c) < 2 or first["\n".join(c)] == (i, s) else [])]
         out.append((i, "\n".join(kept)))
     return out
 

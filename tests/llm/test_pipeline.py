@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from quarry.llm import bpe, decontaminate, line_dedup, simhash_dedup, toxicity, vec
+from quarry.llm import bpe, decontaminate, simhash_dedup, toxicity, vec
 from tests.conftest import SMALL
 
 from . import brute
@@ -15,7 +15,7 @@ def test_run_equals_brute_force(spark):
     score = {i: model.scores(*vec.buffers(vec.lower(pa.array([t]))))[0] for i, t in docs.items()}
     left = [(i, t) for i, t in sorted(docs.items()) if score[i] <= model.threshold]
     assert 0 < len(left) < len(docs)
-    left = brute.line_dedup(left, line_dedup.MODULUS)
+    left = brute.line_dedup(left)
     prints = np.concatenate([simhash_dedup.fingerprints(*vec.buffers(vec.lower(pa.array([t])))) for _, t in left])
     root, _ = brute.near_groups(prints, simhash_dedup.MAX_BITS)
     left = [x for k, x in enumerate(left) if root[k] == k]
