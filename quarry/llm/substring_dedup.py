@@ -4,8 +4,8 @@ The reference is cut into shards of bounded size; each shard's suffix automaton
 streamed through it for matching statistics: at every word the length of the longest string ending there that the shard has. Maximal
 spans of `LENGTH` words or more are removed.
 
-`against_reference` takes a separate reference. Its automata are broadcast, one shard of at most `SHARD_WORDS` words after
-the other, and whole documents are streamed; a document meets every shard, which suits references that are
+`against_reference` takes a separate reference. Its automata are broadcast, one shard of about `SHARD_WORDS` words after
+the other, a job each whose finds are written, and whole documents are streamed; a document meets every shard, which suits references that are
 small beside the corpus.
 
 `substring_dedup` cleans a corpus against itself: a span goes where a document with a smaller doc_id has it. Here the
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .automaton import SuffixAutomaton
-from .common import docs_only, text_udf
-from .repeats import K, LENGTH, MARKS, joined_ranges, once, placed, repeated_windows, sharded, without_spans
+from .common import docs_only, saved, text_udf
+from .repeats import FOLD, K, LENGTH, MARKS, RANGES, joined_ranges, once, placed, repeated_windows, sharded, without_spans
 
 SHARD_WORDS = 150_000
 
@@ -101,40 +101,42 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, **kw) ->
 _built: dict[str, SuffixAutomaton] = {}
 
 
+def built(name: str, broadcast) -> SuffixAutomaton:
+    """The automaton of a shard; a worker builds it once and holds one at a time."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = SuffixAutomaton()
+        for text in broadcast.value:
+            _built[name].add(text.split())
+    return _built[name]
+
+
 def _matcher(broadcast, length: int):
     name = uuid.uuid4().hex
 
     def f(v: pa.Array) -> pa.Array:
-        if name not in _built:
-            _built.clear()
-            _built[name] = SuffixAutomaton()
-            for text in broadcast.value:
-                _built[name].add(text.split())
-        data, off = vec.buffers(v)
-        out = []
-        for text in v.to_pylist():
-            words = (text or "").split()
-            out.append([{"lo": a, "hi": b} for a, b, _ in maximal(_built[name], words, length)])
+        automaton = built(name, broadcast)
+        out = [[{"lo": a, "hi": b} for a, b, _ in maximal(automaton, (text or "").split(), length)] for text in v.to_pylist()]
         return pa.array(out, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
 
-    return text_udf(f, "array<struct<lo: int, hi: int>>")
+    return text_udf(f, RANGES)
 
 
 def against_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, removed for each row of docs that has a passage of the reference (a table with text)."""
+    """doc_id, removed for each distinct row (doc_id, text) that has a passage of the reference (a table with text)."""
     spark = docs.sparkSession
-    texts = reference.where("text is not null").select("text", F.size(F.split("text", r"\s+")).alias("n")).where(F.col("n") >= length)
+    texts = saved(reference.where("text is not null").select("text", F.size(F.split("text", r"\s+")).alias("n")).where(F.col("n") >= length).distinct(), "reference")
     total = texts.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // SHARD_WORDS))
-    df = docs_only(docs, "doc_id", "text")
-    found = []
+    df = docs_only(docs, "doc_id", "text").where("text is not null")
+    found = None
     for p in range(parts):
-        rows = [r[0] for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).select("text").distinct().collect()]
+        rows = [r[0] for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).select("text").collect()]
         if rows:
-            found.append(F.coalesce(_matcher(spark.sparkContext.broadcast(rows), length)("text"), F.expr("cast(array() as array<struct<lo: int, hi: int>>)")))
-    if not found:
-        return df.where(F.lit(False)).selectExpr("doc_id", "cast(array() as array<struct<lo: int, hi: int>>) as removed")
-    from .repeats import FOLD
-
-    df = df.select("doc_id", F.sort_array(F.array_distinct(F.concat(*found))).alias("rs"))
-    return df.where("size(rs) > 0").select("doc_id", F.expr(FOLD.format(rs="rs")).alias("removed"))
+            own = df.select("doc_id", F.md5("text").alias("th"), _matcher(spark.sparkContext.broadcast(rows), length)("text").alias("rs")).where("size(rs) > 0")
+            own = saved(own.dropDuplicates(["doc_id", "th"]), "matches")
+            found = own if found is None else found.unionByName(own)
+    if found is None:
+        return df.where("false").selectExpr("doc_id", f"cast(array() as {RANGES}) as removed")
+    per = found.groupBy("doc_id", "th").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("rs")))).alias("rs"))
+    return per.select("doc_id", F.expr(FOLD.format(rs="rs")).alias("removed"))

@@ -11,8 +11,9 @@ where in an archive each record lies. Nothing is extracted:
 3. `records`: each task range-reads its records in offset order, neighbours in one read, and parses them.
 
 A member that isn't stored can't be range-read: it is reported with status `compressed` and no record. A file that is no
-ZIP has status `not a zip`, an index line that can't be parsed or that points outside its archive `bad index`, a record that can't be parsed
-`bad record`; nothing raises.
+ZIP has status `not a zip`, one that can't be opened `unreadable`, an index line that can't be parsed, that points outside its archive or names one that
+isn't there or isn't the only one of that name `bad index`, a record that can't be parsed `bad record`; what an index leaves out of its archive is one row
+`not in index`, from its first byte on, with its bytes in all. Nothing raises.
 
 `packed` writes such packages from a table of pages, one per task and PACKAGE_BYTES, in the shared folder.
 
@@ -171,47 +172,67 @@ def _walked(f, begin: int, stored: int, zipped: bool) -> Iterator[tuple[int, int
 
 
 def locate(path: str) -> list[tuple[str, str, int, int, str]]:
-    out = []
-    with opened(path) as f:
+    try:
+        f = opened(path)
+    except (OSError, pa.ArrowInvalid):
+        return [(path, None, None, None, "unreadable")]
+    with f:
         try:
             members = directory(f, f.size())
         except (ValueError, struct.error):
             return [(path, None, None, None, "not a zip")]
-        archives = {n.rpartition("/")[2]: (n, m, s, b) for n, m, s, b in members if n.startswith("archive/") and n.endswith((".warc", ".warc.gz"))}
-        indexed = set()
-        for name, method, stored, begin in members:
-            if not name.startswith("indexes/") or not name.rstrip(".gz").endswith((".cdx", ".cdxj")) and not name.endswith((".cdx.gz", ".cdxj.gz")):
+        return list(_located(f, path, members))
+
+
+def _located(f, path: str, members: list[tuple[str, int, int, int]]) -> Iterator[tuple]:
+    archives = {n: (m, s, b) for n, m, s, b in members if n.startswith("archive/") and n.endswith((".warc", ".warc.gz"))}
+    bases: dict[str, list[str]] = {}
+    for n in archives:
+        bases.setdefault(n.rpartition("/")[2], []).append(n)
+    indexed: dict[str, list[tuple[int, int]]] = {}
+    for name, method, stored, begin in members:
+        if not name.startswith("indexes/") or not name.removesuffix(".gz").endswith((".cdx", ".cdxj")):
+            continue
+        try:
+            lines = list(_index_lines(f, method, stored, begin, name))
+        except (OSError, zlib.error, EOFError):
+            yield path, name, None, None, "bad index"
+            continue
+        for line in lines:
+            if not line.strip() or line.startswith("!"):
                 continue
             try:
-                lines = list(_index_lines(f, method, stored, begin, name))
-            except (OSError, zlib.error, EOFError):
-                out.append((path, name, None, None, "bad index"))
+                x = json.loads(line[line.index("{") :])
+                member = f"archive/{x['filename'].removeprefix('archive/')}"
+                if member not in archives:
+                    (member,) = bases[x["filename"].rpartition("/")[2]]
+                kind, size, at = archives[member]
+                offset, length = int(x["offset"]), int(x["length"])
+                if offset < 0 or length <= 0 or (kind == zipfile.ZIP_STORED and offset + length > size):
+                    raise ValueError(line)
+            except (ValueError, KeyError, TypeError, AttributeError):
+                yield path, name, None, None, "bad index"
                 continue
-            for line in lines:
-                if not line.strip() or line.startswith("!"):
-                    continue
-                try:
-                    x = json.loads(line[line.index("{") :])
-                    member, method_, size, at = archives[x["filename"].rpartition("/")[2]]
-                    offset, length = int(x["offset"]), int(x["length"])
-                    if offset < 0 or length <= 0 or (method_ == zipfile.ZIP_STORED and offset + length > size):
-                        raise ValueError(line)
-                except (ValueError, KeyError, TypeError):
-                    out.append((path, name, None, None, "bad index"))
-                    continue
-                indexed.add(member)
-                if method_ == zipfile.ZIP_STORED:
-                    out.append((path, member, at + offset, length, "ok"))
-        for member, method, size, at in archives.values():
-            if method != zipfile.ZIP_STORED:
-                out.append((path, member, None, None, "compressed"))
-            elif member not in indexed:
-                try:
-                    for a, n in _walked(f, at, size, member.endswith(".gz")):
-                        out.append((path, member, at + a, n, "ok"))
-                except BadRecord as bad:
-                    out.append((path, member, at + bad.args[0], None, "bad record"))
-    return out
+            indexed.setdefault(member, []).append((offset, length))
+            if kind == zipfile.ZIP_STORED:
+                yield path, member, at + offset, length, "ok"
+    for member, (kind, size, at) in archives.items():
+        if kind != zipfile.ZIP_STORED:
+            yield path, member, None, None, "compressed"
+        elif member not in indexed:
+            try:
+                for a, n in _walked(f, at, size, member.endswith(".gz")):
+                    yield path, member, at + a, n, "ok"
+            except BadRecord as bad:
+                yield path, member, at + bad.args[0], None, "bad record"
+        else:
+            first, missing, end = None, 0, 0
+            for a, n in [*sorted(indexed[member]), (size, 0)]:
+                if a > end:
+                    first, missing = end if first is None else first, missing + a - end
+                end = max(end, a + n)
+            if missing:
+                yield path, member, at + first, missing, "not in index"
 
 
 def located(paths: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def test_warc_packages(spark, tmp_path, monkeypatch):
     per = {n: sorted((r.page_id, r.url, r.html) for r in warc.pages_of(got.where(F.col("path").endswith(f"/{n}.wacz"))).collect()) for n in names}
     assert per["plain"] == per["walked"] == per["big"] == sorted(pages)
     status = {(r.path.split("/")[-1], r.status) for r in got.where("status <> 'ok'").collect()}
-    assert status == {("packed.wacz", "compressed"), ("no.wacz", "not a zip"), ("empty.wacz", "not a zip"), ("bad.wacz", "bad index"), ("bad.wacz", "bad record")}
+    assert status == {("packed.wacz", "compressed"), ("no.wacz", "not a zip"), ("empty.wacz", "not a zip"), ("bad.wacz", "bad index"), ("bad.wacz", "bad record"), ("bad.wacz", "not in index")}
     assert not per["packed"] and gzip.decompress(warc.record(1, "u", "h")).startswith(b"WARC/1.1")
     with zipfile.ZipFile(tmp_path / "big.wacz") as z, open(tmp_path / "big.wacz", "rb") as f:
         assert {m[0] for m in warc.directory(f, (tmp_path / "big.wacz").stat().st_size)} == set(z.namelist())
@@ -164,13 +164,16 @@ def test_columnwise_construction(tmp_path, alphabet, block, monkeypatch):
     assert not list(tmp_path.iterdir())
 
 
-def test_against_reference(spark):
+def test_against_reference(spark, monkeypatch):
     rng = random.Random(2)
     ref = [words(rng, 90) for _ in range(4)]
     docs = [(1, " ".join(words(rng, 20) + ref[0][10:70] + words(rng, 9))), (2, " ".join(ref[1][:49])), (3, None), (4, " ".join(ref[2] + ref[3]))]
     reference = spark.createDataFrame([(" ".join(r),) for r in ref] + [(None,)], "text string")
     got = {r.doc_id: [tuple(x) for x in r.removed] for r in substring_dedup.against_reference(table(spark, docs), reference).collect()}
     assert got == {1: [(20, 80)], 4: [(0, 180)]}
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 60)  # six shards for four texts
+    cut = {r.doc_id: [tuple(x) for x in r.removed] for r in substring_dedup.against_reference(table(spark, docs + docs[:1]), reference).collect()}
+    assert cut == got
     assert substring_dedup.against_reference(table(spark, docs), reference.limit(0)).count() == 0
 
 
@@ -393,7 +396,7 @@ def test_lines(spark, odd):
     parts = [[f"line {rng.randrange(10**6)}" for _ in range(rng.randrange(2, 30))] for _ in range(12)]
     docs = [(i, "\n".join(x for p in rng.sample(parts, 3) for x in [f"own {i} {rng.random()}"] + p)) for i in range(30)]
     docs += [(i + 100, t) for i, t in odd if i not in (None, 9)] + [(None, docs[0][1])]
-    want = sorted(map(repr, brute.line_dedup(docs, line_dedup.MODULUS)))
+    want = sorted(map(repr, brute.line_dedup(docs)))
     got = line_dedup.line_dedup(table(spark, docs))
     assert sorted(repr((r.doc_id, r.text)) for r in got.collect()) == want
     assert got.columns == CLASH.replace(",", "").split()[::2] and got.where("n_chars <> length(text)").count() == 0

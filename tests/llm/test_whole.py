@@ -272,3 +272,22 @@ def test_measured_sizes(spark):
     rows = [(1, "x" * 1000, [1] * 100, [(1, "y" * 50)] * 10), (2, None, None, None)]
     n = common.measured(saved(spark.createDataFrame(rows, "a long, b string, c array<int>, d array<struct<e: int, f: string>>")))
     assert 2300 < n < 3500
+
+
+def test_indexes_that_leave_records_out(tmp_path):
+    parts = [warc.record(i, "u", "h" * i) for i in range(3)]
+    at = np.cumsum([0, *map(len, parts)]).tolist()
+    line = lambda k, name: f'x {{"offset": "{at[k]}", "length": "{len(parts[k])}", "filename": "{name}"}}\n'
+    with zipfile.ZipFile(tmp_path / "p.wacz", "w") as z:
+        z.writestr("archive/a.warc.gz", b"".join(parts))
+        z.writestr("archive/x/b.warc.gz", b"".join(parts))
+        z.writestr("archive/y/b.warc.gz", b"".join(parts))
+        z.writestr("indexes/i.cdxj", line(1, "a.warc.gz") + line(0, "x/b.warc.gz") + line(0, "b.warc.gz") + line(0, "none.warc.gz"))
+        z.writestr("indexes/j.zg", "no index")
+    got = warc.locate(f"file://{tmp_path}/p.wacz")
+    assert [(r[1], r[4]) for r in got].count(("indexes/i.cdxj", "bad index")) == 2
+    begin = {r[1]: r[2] for r in got if r[4] == "not in index"}
+    assert [(r[2] - begin["archive/a.warc.gz"], r[3], r[4]) for r in got if r[1] == "archive/a.warc.gz"] == [(at[1], len(parts[1]), "ok"), (0, at[1] + len(parts[2]), "not in index")]
+    assert [(r[3], r[4]) for r in got if r[1] == "archive/x/b.warc.gz"] == [(len(parts[0]), "ok"), (at[3] - at[1], "not in index")]
+    assert [r[4] for r in got if r[1] == "archive/y/b.warc.gz"] == ["ok"] * 3  # no index names it alone: walked
+    assert warc.locate(f"file://{tmp_path}/missing.wacz") == [(f"file://{tmp_path}/missing.wacz", None, None, None, "unreadable")]
