@@ -74,6 +74,23 @@ def json_report(findings: DataFrame, totals) -> str:
     return json.dumps({"schema_version": REPORT_VERSION, "findings": rows, "summary": tail}, indent=2, ensure_ascii=False) + "\n"
 
 
+def json_rows(findings: DataFrame) -> DataFrame:
+    """line: each fingerprinted finding as one JSON object, for reports that no driver could hold; the same fields as in json_report, without steps."""
+    pos = F.when(F.col("line").isNotNull(), F.struct("file", "line", "col"))
+    return findings.select(F.to_json(F.struct("fingerprint", "checker", "tag", "severity", "func", pos.alias("pos"), "message")).alias("line"))
+
+
+def sarif_rows(flagged: DataFrame) -> DataFrame:
+    """line: each row of a flagged report as one SARIF result."""
+    at = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation"))
+    how = F.when(F.col("status") == "ignored", "inSource").when(F.col("status") == "baseline", "external")
+    cols = [
+        F.col("tag").alias("ruleId"), F.when(F.col("severity") == "warning", "warning").otherwise("error").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.struct(F.col("fingerprint").alias("quarry/v1")).alias("partialFingerprints"),
+        F.when(F.col("line").isNotNull(), F.array(at)).alias("locations"), F.when(how.isNotNull(), F.array(F.struct(how.alias("kind")))).alias("suppressions"),
+    ]
+    return flagged.select(F.to_json(F.struct(*cols)).alias("line"))
+
+
 def sarif_report(flagged: DataFrame, tool: str = "quarry") -> str:
     """flagged: report.flagged_report's rows; kept ones first, then those ignored in source, then those of the baseline."""
     group = F.when(F.col("status") == "kept", 0).when(F.col("status") == "ignored", 1).otherwise(2)

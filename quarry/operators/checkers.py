@@ -517,12 +517,13 @@ def _rows(budget: int, schema: pa.Schema, rules: tuple[str, ...]):
     return run
 
 
-def analysed(df: DataFrame, budget: int = 2000, rounds: int = 8, annotated: DataFrame | None = None, rules: tuple[str, ...] = ("nil", "bounds", "contract")) -> tuple[DataFrame, DataFrame]:
+def analysed(df: DataFrame, budget: int = 2000, rounds: int = 8, annotated: DataFrame | None = None, rules: tuple[str, ...] = ("nil", "bounds", "contract"), known: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(RESULT rows of kinds finding and unencoded, clauses). df: (func, body) of bodies.bodies, values with their sort; annotated: (func, side, tag, term, shown).
     clauses: (func, side, tag, term, annotated, shown), the annotated among them, and a row of side `widened` for each member of a component given up on.
 
     Clauses travel up the whole call graph, callees before callers; only within a recursive component, where they may grow for ever, are there `rounds` rounds:
-    one that still changes then is widened: it keeps no inferred clause."""
+    one that still changes then is widened: it keeps no inferred clause. known: (func, their inferred clauses) of functions that needn't be analysed again; of these
+    no rows are given."""
     from . import graph
     from .bodies import _schema
 
@@ -534,17 +535,23 @@ def analysed(df: DataFrame, budget: int = 2000, rounds: int = 8, annotated: Data
     if annotated is not None:
         clause = saved(clause.unionByName(annotated.select("func", "side", "tag", "term", F.lit(True).alias("annotated"), "shown").distinct()), "annotated")
 
-    def asked(these: DataFrame, known: DataFrame) -> DataFrame:
-        return informed(these, calls, known)
+    if known is not None:
+        clause = saved(clause.unionByName(known[1].select("func", *CLAUSES)), "known-clauses")
 
-    def inferred(these: DataFrame, known: DataFrame) -> DataFrame:
-        got = asked(these, known).mapInArrow(run, RESULT).where("kind in ('requires', 'ensures')")
+    def asked(these: DataFrame, clauses: DataFrame) -> DataFrame:
+        return informed(these, calls, clauses)
+
+    def inferred(these: DataFrame, clauses: DataFrame) -> DataFrame:
+        got = asked(these, clauses).mapInArrow(run, RESULT).where("kind in ('requires', 'ensures')")
         return saved(got.select("func", F.col("kind").alias("side"), "tag", "term", F.lit(False).alias("annotated"), F.lit(None).cast("string").alias("shown")).distinct(), "clauses")
 
     edges = calls.select(F.col("func").alias("src"), F.col("callee").alias("dst"))
     comp = saved(graph.condensed(body.select(F.col("func").alias("node")), edges), "components")
     depth = graph.wave_depth(comp, graph.scc_edges(comp, edges))
     level = saved(comp.join(depth, "scc").join(graph.scc_sizes(comp, edges), "scc").select(F.col("node").alias("func"), "scc", "depth", "recursive").join(body.select("func"), "func", "left_semi"), "levels")
+    if known is not None:
+        body = saved(body.join(known[0].select("func"), "func", "left_anti"), "bodies")
+        level = level.join(body.select("func"), "func", "left_semi")
     waves = level.groupBy("depth").agg(F.bool_or("recursive")).orderBy("depth").collect()
     for wave, (d, recursive) in enumerate(waves):
         here = level.where(F.col("depth") == d)
@@ -571,6 +578,62 @@ def analysed(df: DataFrame, budget: int = 2000, rounds: int = 8, annotated: Data
     return asked(body, clause).mapInArrow(run, RESULT).where("kind in ('finding', 'unencoded')"), clause
 
 
+STORED = "key string, func string, kind string, row string"
+
+
+def replayed(df: DataFrame, hashes: DataFrame, store, layer: str = "scc", **kw) -> DataFrame:
+    """findings(df), where what a store has for a component with the same key - its members' bodies and those of all that they call are unchanged - is
+    taken from there, and what it lacks is added. hashes: (func, hash) of bodies and their own annotations."""
+    from ..plans import cache
+    from . import graph
+
+    calls = saved(static_calls(df), "calls")
+    edges = calls.select(F.col("func").alias("src"), F.col("callee").alias("dst"))
+    comp = saved(graph.condensed(df.select(F.col("func").alias("node")), edges), "components")
+    keys = cache.scc_keys(comp, graph.scc_edges(comp, edges), hashes.withColumnRenamed("func", "node"))
+    member = saved(comp.join(keys, "scc").select(F.col("node").alias("func"), "key").join(df.select("func"), "func", "left_semi"), "scc-members")
+    have = store.rows(layer)
+    listed = have.where("kind = 'member'").select("key", "func").distinct()
+    whole = listed.groupBy("key").agg(F.sort_array(F.collect_set("func")).alias("a")).join(member.groupBy("key").agg(F.sort_array(F.collect_set("func")).alias("b")), "key").where("a = b").select("key")
+    hit = saved(member.join(whole, "key", "left_semi"), "scc-hits")
+    old = saved(have.join(hit.select("key").distinct(), "key", "left_semi").distinct(), "scc-stored")
+    clause = old.where("kind = 'clause'").select("func", F.from_json("row", CLAUSE).alias("r")).select("func", "r.*")
+    rows, clauses = analysed(df, known=(hit, clause), **kw)
+    rows, clauses = saved(rows, "findings"), saved(clauses.where("not annotated").join(hit.select("func"), "func", "left_anti"), "clauses")
+    fresh = member.join(hit.select("func"), "func", "left_anti")
+    packed = lambda t, kind: t.join(fresh, "func").select("key", "func", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in t.columns if c != "func"])).alias("row"))
+    new = fresh.select("key", "func", F.lit("member").alias("kind"), F.lit("").alias("row")).unionByName(packed(clauses, "clause")).unionByName(packed(rows, "finding"))
+    store.add(new, layer)
+    again = old.where("kind = 'finding'").select("func", F.from_json("row", RESULT.replace("func string, ", "")).alias("r")).select("func", "r.*")
+    every = rows.unionByName(again.select(*rows.columns))
+    return every.where("kind = 'finding'").withColumn("severity", severity()).select(*FINDING)
+
+
+def questions(df: DataFrame, clauses: DataFrame) -> DataFrame:
+    """func, checker, tag, line, query: what the nil and bounds checkers ask about bodies, as solver text, whatever the answer. clauses: of analysed."""
+    from .bodies import _schema
+
+    ddl = "func string, checker string, tag string, line int, query string"
+    schema = _schema(ddl)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for x in b.to_pylist():
+                by, own = _read(x)
+                try:
+                    e = Encoded(x["body"], {f: [(r["tag"], r["t"]) for r in rs if r["side"] == "ensures"] for f, rs in by.items()})
+                except (OverflowError, RecursionError, T.SortError):
+                    continue
+                pre = [c["t"] for c in own if c["side"] == "requires"]
+                for i, checker, tag, bad, values, known in e.violations():
+                    if all(map(e.ground, values)):
+                        out.append({"func": x["func"], "checker": checker, "tag": tag, "line": i["line"], "query": T.canonical([*e.asserts, e.guard(i["b"]), *pre, *known, bad])})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return informed(df, static_calls(df), clauses).mapInArrow(run, ddl)
+
+
 def severity(tag: str = "tag") -> F.Column:
     return F.when(F.col(tag) == UNVERIFIED, "warning").otherwise("error").alias("severity")
 

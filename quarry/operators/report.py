@@ -79,16 +79,14 @@ def promoted(findings: DataFrame, deny: bool = True) -> DataFrame:
     return findings.withColumn("severity", F.when(F.col("severity") == "warning", F.lit("error")).otherwise(F.col("severity"))) if deny else findings
 
 
-def summary(kept: DataFrame, ignored: DataFrame, suppressed: DataFrame, scoped: bool = False) -> DataFrame:
-    """One row: total, suppressed_pragma, suppressed_by_baseline, errors, exit_code, diff_base_scoped. One pass over each input."""
-    one = lambda df, c: df.select(F.lit(c).alias("part"), F.col("severity"))
-    every = one(kept, "kept").unionByName(one(ignored, "ignored")).unionByName(one(suppressed, "baseline"))
+def summary(flagged: DataFrame, scoped: bool = False) -> DataFrame:
+    """One row: total, suppressed_pragma, suppressed_by_baseline, errors, exit_code, diff_base_scoped. One pass over a flagged report (severity, status)."""
     count = lambda cond: F.count(F.when(cond, 1))
-    errors = count((F.col("part") == "kept") & (F.col("severity") == "error"))
-    return every.agg(
-        count(F.col("part") == "kept").alias("total"),
-        count(F.col("part") == "ignored").alias("suppressed_pragma"),
-        count(F.col("part") == "baseline").alias("suppressed_by_baseline"),
+    errors = count((F.col("status") == "kept") & (F.col("severity") == "error"))
+    return flagged.agg(
+        count(F.col("status") == "kept").alias("total"),
+        count(F.col("status") == "ignored").alias("suppressed_pragma"),
+        count(F.col("status") == "baseline").alias("suppressed_by_baseline"),
         errors.alias("errors"),
         F.when(errors > 0, 1).otherwise(0).cast("long").alias("exit_code"),
         F.lit(scoped).alias("diff_base_scoped"),

@@ -66,12 +66,9 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def findings(spark: SparkSession, d: str, shipped_before: str | None = None) -> DataFrame:
-    """One row per violated check of a line item: all checks in a single pass."""
-    s = sites(spark, d)
-    if shipped_before:
-        s = s.where(F.col("l_shipdate") < F.lit(shipped_before).cast("timestamp_ntz"))
-    s = s.join(order_funcs(spark, d).withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+def findings(spark: SparkSession, d: str, old: str | None = None) -> DataFrame:
+    """One row per violated check of a line item: all checks in a single pass. old: the name of a further column, whether the earlier version had it."""
+    s = sites(spark, d).join(order_funcs(spark, d).withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
     rule = lambda bad, checker, tag, text, severity: F.when(bad, F.struct(F.lit(checker).alias("checker"), F.lit(tag).alias("tag"), F.lit(text).alias("text"), F.lit(severity).alias("severity")))
     rules = F.array(
         rule(bounds.div_zero(F.col("divisor")), "bounds", "div-zero", "division by zero in ", "error"),
@@ -79,8 +76,8 @@ def findings(spark: SparkSession, d: str, shipped_before: str | None = None) ->
         rule(bounds.index_violation(F.col("l_linenumber"), F.col("p_size")), "bounds", "bounds", "index/slice out of bounds in ", "error"),
         rule(F.col("tax") == 0, "nil", "nil-deref", "nil dereference in ", "warning"),
     )
-    x = s.select("func", F.col("p_brand").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").cast("int").alias("col"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r"))
-    return x.select("r.checker", "r.tag", "func", "file", "line", "col", F.concat("r.text", "func").alias("message"), "r.severity")
+    x = s.select("func", F.col("p_brand").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").cast("int").alias("col"), (F.col("l_shipdate") < F.lit(BASE_DAY).cast("timestamp_ntz")).alias("was"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r"))
+    return x.select("r.checker", "r.tag", "func", "file", "line", "col", F.concat("r.text", "func").alias("message"), "r.severity", *([F.col("was").alias(old)] if old else []))
 
 
 def ignores(spark: SparkSession, d: str) -> DataFrame:

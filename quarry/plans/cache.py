@@ -6,6 +6,8 @@ absent; new rows are written beside the old ones in one atomic job.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,26 +31,68 @@ def query_key(text: Column, solver: str, limit: int) -> Column:
     return key(F.lit(solver), F.lit(str(limit)), text)
 
 
-def scc_keys(components: DataFrame, dag: DataFrame, hashes: DataFrame, salt: str = SALT) -> DataFrame:
+def scc_keys(components: DataFrame, dag: DataFrame, hashes: DataFrame, salt: str = SALT, limit: int | None = None) -> DataFrame:
     """scc, key: hash of the members' hashes and of the keys of all components called, so a change reaches exactly its component and
-    those above. components (node, scc), dag (src calls dst), hashes (node, hash). Bottom up, a round per level."""
+    those above. components (node, scc[, part]), dag (src calls dst), hashes (node, hash). Components of a small part are keyed where they lie; those of a part
+    with more than `limit` calls bottom up, a round per level."""
+    from ..operators import graph
+
     own = saved(components.join(hashes, "node", "left").groupBy("scc").agg(F.sort_array(F.collect_list(F.coalesce("hash", F.lit("-")))).alias("hs")), "scc-own")
-    e = saved(dag.select("src", "dst"), "scc-dag")
+    e = saved(dag.select("src", "dst").distinct(), "scc-dag")
+    parts = components.select(F.col("scc").alias("node"), "part").distinct() if "part" in components.columns else graph.weak(e)
+    small, big, any_big = graph.divided(e, parts, graph.FUSED if limit is None else limit)
+    flat = own.join(parts.withColumnRenamed("node", "scc"), "scc", "left").select(F.coalesce("part", "scc").alias("part"), "scc", F.array_join("hs", ",").alias("hs"))
+    kind = dict(own.dtypes)["scc"]
+    rows = small.select("part", F.col("src").alias("scc"), F.col("dst"), F.lit(None).cast("string").alias("hs"))
+    if any_big:
+        at = saved(big.select("part").distinct(), "big-parts")
+        left = own.join(parts.withColumnRenamed("node", "scc"), "scc").join(at, "part", "left_semi").select("scc", "hs")
+        far = _keys_by_rounds(saved(left, "scc-own"), saved(big.select("src", "dst"), "scc-dag"), salt)
+        flat = flat.join(at, "part", "left_anti")
+    rows = rows.unionByName(flat.select("part", "scc", F.lit(None).cast(kind).alias("dst"), "hs"))
+    near = graph.fused(rows, lambda rs: _keyed(rs, salt), f"scc {kind}, key string")
+    return near.unionByName(far) if any_big else near
+
+
+def _keyed(rows: list[tuple], salt: str) -> list[tuple]:
+    """(scc, key) of whole parts; rows: (scc, callee, null) and (scc, null, hashes). What is circular has no key."""
+    calls, hashes = {}, {}
+    for s, dst, hs in rows:
+        if dst is None:
+            hashes[s] = hs
+        else:
+            calls.setdefault(s, set()).add(dst)
+    done: dict = {}
+    text = lambda s: f"{len(s.encode())}:{s}"
+    todo = [(s, False) for s in hashes]
+    entered: set = set()
+    while todo:
+        s, after = todo.pop()
+        if after:
+            ks = [done.get(c) for c in calls.get(s, ())]
+            if None not in ks:
+                done[s] = hashlib.sha256("".join(map(text, (salt, hashes[s], ",".join(sorted(ks))))).encode()).hexdigest()
+        elif s not in entered:
+            entered.add(s)
+            todo.append((s, True))
+            todo += [(c, False) for c in calls.get(s, ()) if c not in entered]
+    return list(done.items())
+
+
+def _keys_by_rounds(own: DataFrame, e: DataFrame, salt: str) -> DataFrame:
     need = e.groupBy("src").agg(F.count(F.lit(1)).alias("need"))
     left = saved(own.join(need.withColumnRenamed("src", "scc"), "scc", "left").select("scc", "hs", F.coalesce("need", F.lit(0)).alias("need")), "scc-left")
     made = lambda hs, ks: key(F.lit(salt), F.array_join(hs, ","), F.array_join(ks, ","))
-    done = saved(left.where("need = 0").select("scc", made(F.col("hs"), F.expr("cast(array() as array<string>)")).alias("key")), "scc-keys")
-    new, parts, got = done, [done], None
-    left = left.where("need > 0")
+    new = out = saved(left.where("need = 0").select("scc", made(F.col("hs"), F.expr("cast(array() as array<string>)")).alias("key")), "scc-keys")
+    got, left, rounds = None, left.where("need > 0"), 0
     while not new.isEmpty():
         fresh = e.join(new.withColumnRenamed("scc", "dst"), "dst").select(F.col("src").alias("scc"), "key")
-        got = saved(fresh if got is None else got.join(parts[-1].select("scc"), "scc", "left_anti").unionByName(fresh), "scc-got")
+        got = saved(fresh if got is None else got.join(new.select("scc"), "scc", "left_anti").unionByName(fresh), "scc-got")
         ready = got.groupBy("scc").agg(F.sort_array(F.collect_list("key")).alias("ks")).join(left, "scc").where("size(ks) = need")
         new = saved(ready.select("scc", made(F.col("hs"), F.col("ks")).alias("key")), "scc-keys")
-        parts.append(new)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out, rounds = out.unionByName(new), rounds + 1
+        if rounds % 8 == 0:
+            out = saved(out, "scc-keys")
     return out
 
 

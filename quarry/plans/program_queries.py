@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import annotations
-from ..operators import bodies, cfg, checkers, effects, graph, lowering
+from ..functions import annotations, render
+from ..operators import bodies, cfg, checkers, effects, graph, lowering, report
+from ..sources import types
 from ..storage import saved
 from . import adapters as a
-from . import cache, programs
+from . import cache, programs, verdicts
 
 # -- lowering
 
@@ -149,7 +150,71 @@ def package_keys(spark: SparkSession, d: str) -> DataFrame:
     return cache.package_keys(packages, files, deps, "tool-1")
 
 
+def program_dump(spark: SparkSession, d: str) -> DataFrame:
+    f = programs.facts(spark, d)
+    return lowering.dumped(f["func"], f["param"], f["value"], f["cfg_edge"], f["block"], f["instr"], f["select_arm"])
+
+
+def package_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types of packages, one for each part: a list that points to itself, a function over it, an array as long as the size, and a pointer to nothing."""
+    t = "struct<type_id: int, repr: string, kind: string, elem: int, key: int, array_len: bigint, chan_dir: string, fields: array<struct<name: string, type: int, embedded: boolean>>, params: array<int>, results: array<int>, variadic: boolean, name: string>"
+    row = lambda i, repr_, kind, elem="null", n="null", fields="null", params="null", results="null", name="null": f"named_struct('type_id', {i}, 'repr', {repr_}, 'kind', '{kind}', 'elem', {elem}, 'key', null, 'array_len', {n}, 'chan_dir', null, 'fields', {fields}, 'params', {params}, 'results', {results}, 'variadic', false, 'name', {name})"
+    node = "concat('shop.T', size % 5)"
+    rows = [
+        row(1, "'int'", "Basic", name="'int'"), row(2, node, "Named", 3, name=node), row(3, f"concat('struct of ', {node})", "Struct", fields="array(named_struct('name', 'next', 'type', 4, 'embedded', true), named_struct('name', 'n', 'type', 1, 'embedded', false))"),
+        row(4, f"concat('*', {node})", "Pointer", 2), row(5, f"concat('func of ', {node})", "Signature", params="array(4, 1)", results="array(2)"), row(6, "concat('[', size, ']int')", "Array", 1, "size"), row(7, "'*none'", "Pointer", 99),
+    ]
+    cast = ", ".join(f"cast({x} as {t})" for x in rows)
+    return a.t(spark, d, "part").selectExpr("concat('p', p_partkey) as import_path", "p_size as size").select("import_path", F.explode(F.expr(f"array({cast})")).alias("r")).select("import_path", "r.*")
+
+
+def global_types(spark: SparkSession, d: str) -> DataFrame:
+    x = types.imported(package_types(spark, d))
+    return x.select("repr", "kind", "elem", "array_len", F.array_join("params", ",").alias("params"), F.array_join(F.transform("fields", lambda f: f["type"]), ",").alias("fields"))
+
+
+def smt_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """What the bounds checker asks of the groups with constants, solved from its text."""
+    df = programs.bodied(spark, d, (0, 3))
+    _, clauses = checkers.analysed(df, rules=("bounds",))
+    return verdicts.discharged(checkers.questions(df, clauses)).select("func", "tag", "verdict")
+
+
+def json_findings(spark: SparkSession, d: str) -> DataFrame:
+    return render.json_rows(report.fingerprinted(a.findings(spark, d)))
+
+
+def sarif_findings(spark: SparkSession, d: str) -> DataFrame:
+    f = report.fingerprinted(a.findings(spark, d))
+    return render.sarif_rows(f.withColumn("status", F.when(F.col("severity") == "warning", "ignored").otherwise("kept")))
+
+
+def text_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Header lines of a report."""
+    return a.findings(spark, d).select(render.header().alias("line"))
+
+
+def triage_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of other tools' reports read into their fields; documents' first lines are none."""
+    lines = a.findings(spark, d).select(F.concat("file", F.lit(":"), "line", F.lit(":"), "col", F.lit(": "), "severity", F.lit(": "), "message", F.lit(" ["), "checker", F.lit("/"), "tag", F.lit("]")).alias("value"))
+    return report.triage_lines(lines.unionByName(a.t(spark, d, "documents").select(F.split("text", "\n")[0].alias("value"))))
+
+
+def named_functions(spark: SparkSession, d: str) -> DataFrame:
+    return report.named(a.order_funcs(spark, d), "Get1").select("func")
+
+
 QUERIES = {
+    "program_dump": program_dump,
+    "global_types": global_types,
+    "structural_keys": lambda s, d: types.structural_keys(package_types(s, d)),
+    "smt_verdicts": smt_verdicts,
+    "solver_sums": lambda s, d: verdicts.sums(a.t(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))),
+    "json_findings": json_findings,
+    "sarif_findings": sarif_findings,
+    "text_findings": text_findings,
+    "triage_lines": triage_lines,
+    "named_functions": named_functions,
     "lowered_ops": lowered_ops,
     "lowered_text": lowered_text,
     "program_call_graph": call_graph,
@@ -299,7 +364,53 @@ _CLAUSES = [
     (4, "By", "requires", "div-zero", _asserted("'(not (= p1 (_ bv0 8)))'", "p1 (_ BitVec 8)")), (5, "New", "ensures", "nil-deref", _NOT_R0), (5, "Find", "ensures", "nil-deref", _EITHER),
 ]
 
+def _dumped(g: programs.Group, row: dict) -> str:
+    """The text of a template's function, in SQL."""
+    own = lambda t: [r for r in g.t[t] if r["func"] == row["func"]]
+    out = f"func shop/{row['name']}' || k || ' ({', '.join(f'v{r["vid"]}' for r in own('param'))})\n"
+    for v in sorted(own("value"), key=lambda r: r["vid"]):
+        if v["kind"] == "Const":
+            x = v.get("const_int")
+            what = "const Nil" if v["const_kind"] == "Nil" else f"const Bool({str(v['const_bool']).lower()})" if v["const_kind"] == "Bool" else f"const Int(' || ({x}) || ')"
+        elif v["kind"] in ("Global", "Function"):
+            what = f"{'global' if v['kind'] == 'Global' else 'func'} " + (v["ref_name"].split("'")[1] + "' || k || '" if isinstance(v["ref_name"], programs.Sql) else v["ref_name"])
+        else:
+            continue
+        out += f"  aux v{v['vid']} = {what}\n"
+    for b in own("block"):
+        out += f"  b{b['b']} -> [{', '.join(str(e['dst']) for e in own('cfg_edge') if e['src'] == b['b'])}]\n" + "".join(f"    {_text(x)}\n" for x in own("wire") if x["b"] == b["b"])
+    return "'" + out.replace("\n", "' || chr(10) || '") + "'"
+
+
+_NODE = "'shop.T' || size % 5"
+_JSON = """'{"fingerprint":"' || fingerprint || '","checker":"' || checker || '","tag":"' || tag || '","severity":"' || severity || '","func":"' || func || '","pos":{"file":"' || file || '","line":' || line || ',"col":' || col || '},"message":"' || message || '"}'"""
+_SARIF = """'{"ruleId":"' || tag || '","level":"' || severity || '","message":{"text":"' || message || '"},"partialFingerprints":{"quarry/v1":"' || fingerprint || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || file || '"},"region":{"startLine":' || line || ',"startColumn":' || col || '}}}]'
+    || CASE WHEN severity = 'warning' THEN ',"suppressions":[{"kind":"inSource"}]' ELSE '' END || '}'"""
+
+
+def report_oracles(findings: str, prints, funcs: str) -> dict[str, str]:
+    """SQL of the queries on reports, from the catalogue's parts."""
+    return {
+        "json_findings": f"WITH {findings} SELECT {_JSON} AS line FROM {prints('findings')}",
+        "sarif_findings": f"WITH {findings} SELECT {_SARIF} AS line FROM {prints('findings')}",
+        "text_findings": f"WITH {findings} SELECT file || ':' || line || ':' || col || ': ' || CASE severity WHEN 'warning' THEN 'warning: ' ELSE '' END || tag || ': ' || message || ' [' || func || ']' AS line FROM findings",
+        "triage_lines": f"WITH {findings} SELECT file, line, col, severity, message, checker, tag, TRUE AS ok FROM findings UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN text IS NOT NULL THEN FALSE END FROM documents",
+        "named_functions": f"WITH {funcs} SELECT func FROM funcs WHERE contains(func, 'Get1')",
+    }
+
+
 ORACLES = {
+    "program_dump": f"WITH {_P} " + _per_func([(i, f"'shop/{r['name']}' || k AS func, {_dumped(g, r)} AS text") for i, g in enumerate(programs.groups()) for r in g.t["func"]]),
+    "global_types": f"""WITH {_P} SELECT DISTINCT {_NODE} AS repr, 'Named' AS kind, 'struct of ' || {_NODE} AS elem, NULL::BIGINT AS array_len, NULL AS params, NULL AS fields FROM p
+        UNION SELECT 'struct of ' || {_NODE}, 'Struct', NULL, NULL, NULL, '*' || {_NODE} || ',int' FROM p UNION SELECT '*' || {_NODE}, 'Pointer', {_NODE}, NULL, NULL, NULL FROM p
+        UNION SELECT 'func of ' || {_NODE}, 'Signature', NULL, NULL, '*' || {_NODE} || ',int', NULL FROM p UNION SELECT '[' || size || ']int', 'Array', 'int', size, NULL, NULL FROM p
+        UNION SELECT 'int', 'Basic', NULL, NULL, NULL, NULL FROM p UNION SELECT '*none', 'Pointer', '?', NULL, NULL, NULL FROM p""",
+    "structural_keys": f"""WITH {_P}, n AS (SELECT 'p' || k AS import_path, size, {_NODE} || '=struct{{+next:*(~),n:int}}' AS node FROM p)
+        SELECT import_path, 1::INT AS type_id, 'int' AS skey FROM n UNION ALL SELECT import_path, 2, node FROM n UNION ALL SELECT import_path, 3, 'struct{{+next:*(~),n:int}}' FROM n UNION ALL SELECT import_path, 4, '*(~)' FROM n
+        UNION ALL SELECT import_path, 5, 'func(*(~),int)(' || node || ')' FROM n UNION ALL SELECT import_path, 6, '[' || size || '](int)' FROM n UNION ALL SELECT import_path, 7, '*(?)' FROM n""",
+    "smt_verdicts": f"""WITH {_P}, q(g, role, tag) AS (VALUES (0, 'Index', 'bounds'), (0, 'Divide', 'div-zero'), (0, 'Divide', 'overflow'), (0, 'Narrow', 'overflow'), (3, 'Made', 'bounds'), (3, 'Sliced', 'bounds'))
+        SELECT 'shop/' || role || k AS func, tag, CASE WHEN CASE role WHEN 'Index' THEN size >= 16 WHEN 'Divide' THEN tag = 'div-zero' AND size % 5 = 0 WHEN 'Narrow' THEN size * 7 > 127 WHEN 'Made' THEN size % 9 >= size % 7 ELSE size % 9 < size % 7 END THEN 'sat' ELSE 'unsat' END AS verdict FROM p JOIN q USING (g)""",
+    "solver_sums": "SELECT p_partkey AS k, CASE WHEN (p_partkey % 65536 - p_size + 65536) % 65536 < 1000 THEN 'sat' ELSE 'unsat' END AS verdict FROM part",
     "lowered_ops": _LOWERED,
     "lowered_text": f"WITH {_P} " + _per_func([(g, f"'shop/{role}' || k AS func, {x['b']} AS b, {x['i']} AS i, '{_text(x)}' AS line") for g, role, xs in _FUNCS for x in xs]),
     "program_call_graph": f"WITH {_P}, s(g, a, b) AS (VALUES {_values(_STATIC)}) SELECT 'shop/' || a || k AS caller, 'shop/' || b || k AS callee FROM p JOIN s USING (g) UNION ALL SELECT 'shop/Lock' || k, '(*sync.Mutex).Unlock' FROM p WHERE g = 9",

@@ -64,3 +64,10 @@ def products(sites: DataFrame) -> DataFrame:
     limit = F.pmod(F.lit(16) + F.col("a") * 8, F.lit(256)).cast("string")
     query = F.concat(F.lit("(declare-const x (_ BitVec 8))\n"), F.format_string("(assert " + x + ")\n", F.col("a").cast("string"), F.col("b").cast("string")), F.format_string("(assert (bvult x (_ bv%s 8)))\n(check-sat)\n", limit))
     return discharged(pairs.withColumn("query", query)).select("a", "b", "verdict")
+
+
+def sums(parts: DataFrame) -> DataFrame:
+    """k, verdict: is there a 16-bit x below 1000 with x + size = k? A question for each part, so there are ever more of them."""
+    bv = lambda c: F.concat(F.lit("(_ bv"), F.pmod(F.col(c), F.lit(1 << 16)).cast("string"), F.lit(" 16)"))
+    query = F.concat(F.lit("(declare-const x (_ BitVec 16))\n(assert (= (bvadd x "), bv("size"), F.lit(") "), bv("k"), F.lit("))\n(assert (bvult x (_ bv1000 16)))\n(check-sat)\n"))
+    return discharged(parts.withColumn("query", query)).select("k", "verdict")
