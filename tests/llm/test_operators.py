@@ -331,6 +331,22 @@ def test_points_at_the_limit_meet(how, bits, least):
     assert got <= {(i, i + 1500) for i in range(1500)} and len(got) >= least * 1500
 
 
+@pytest.mark.parametrize("step, rows", [(1, 1), (5, 3), (50, 7), (10**6, 10**6)])
+def test_anchors_are_whole_however_they_are_streamed(monkeypatch, step, rows):
+    rng = np.random.default_rng(3)
+    bits = np.repeat(rng.integers(0, 2, (12, 256), dtype=np.uint8), 12, 0)
+    for row in bits:
+        row[rng.permutation(256)[:9]] ^= 1
+    f = np.packbits(bits, axis=1).view(np.uint64)
+    points = pa.RecordBatch.from_arrays([pa.array(np.arange(len(f))), *[pa.array(f[:, k].view(np.int64)) for k in range(4)]], ["node", *simhash_dedup._LONGS])
+    how = simhash_dedup.Design((15, 7), 3)
+    spread = pa.Table.from_batches(simhash_dedup.replicas(how)(iter([points]))).sort_by("anchor").combine_chunks()
+    run = lambda n: {(a, b) for x in simhash_dedup.met(how, 42)(iter(spread.to_batches(n))) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
+    want = run(10**6)
+    monkeypatch.setattr(simhash_dedup, "STEP", step)
+    assert run(rows) == want and len(want) > 100
+
+
 def test_hot_key_is_linked_without_all_pairs():
     rng = np.random.default_rng(4)
     center = rng.integers(0, 256, (1, 32), dtype=np.uint8)
