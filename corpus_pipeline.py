@@ -2,7 +2,11 @@
 each group of near copies stays, benchmark passages go, and what is left is tokenized.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written as
-Parquet and read again. All but the last return the columns of `documents`."""
+Parquet and read again. All but the last return the columns of `documents`.
+
+Edge cases: rows with a null text or doc_id stay through all stages, null texts get null tokens; empty texts are one group of near copies, of which one
+stays; of rows that repeat doc_id and text one stays, several texts of one doc_id are documents of their own; a document may end empty, and stays; very long
+texts are worked off whole; an empty table gives no rows; n_chars is kept true."""
 
 from __future__ import annotations
 

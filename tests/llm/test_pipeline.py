@@ -3,6 +3,7 @@ import pyarrow as pa
 
 import corpus_pipeline
 from quarry.llm import bpe, decontaminate, simhash_dedup, toxicity, vec
+from quarry.llm.common import saved
 from tests.conftest import SMALL
 
 from . import brute
@@ -34,3 +35,22 @@ def test_stages_keep_columns(spark):
         out = stage(spark, docs, SMALL)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_stages_with_odd_rows(spark):
+    long = " ".join(f"w{k % 4999}" for k in range(30_000))
+    texts = [None, "", "", " \n\n ", "one", "same line\nsecond line\nthird line\nfourth", "same line\nsecond line\nthird line\nfourth", long, long + " more", "é日本語 ünï—cödé", "x" * 70_000]
+    rows = [(i, t, None if i % 2 else "de", None, None if t is None else len(t)) for i, t in enumerate(texts)] + [(4, "one", "en", "s", 3), (4, "another text of four", "en", "s", 20), (None, "no id", None, None, 5), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = len(rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = saved(stage(spark, docs, SMALL))
+        n = out.count()
+        assert out.columns == docs.columns and n <= kept and out.where("n_chars <> length(text)").isEmpty()
+        assert out.where("doc_id is null").count() == 2 and out.where("doc_id = 0 and text is null").count() == 1  # nothing is known about them: they stay
+        docs, kept = out, n
+    assert {(4, "another text of four"), (9, texts[9])} <= {(r.doc_id, r.text) for r in docs.collect()}
+    want = sorted((repr(r.doc_id), repr(r.text)) for r in docs.collect())
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert sorted((repr(r.doc_id), repr(r.decoded)) for r in got) == want
+    assert all((r.tokens is None) == (r.decoded is None) == (r.n_tokens is None) for r in got)
