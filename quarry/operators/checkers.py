@@ -14,6 +14,7 @@ has no term, and a violation that would need one is never raised.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +34,7 @@ RESULT = "func string, kind string, checker string, tag string, message string,
 FINDING = ["checker", "tag", "func", "message", "file", "line", "col", "severity", "trace", "model"]
 #: Calls of these never give nil.
 NEVER_NIL = {"flag.NewFlagSet"}
+ALL_RULES = ("nil", "bounds", "contract")
 CONTRACT, UNVERIFIED = "contract", "unverified-annotation"
 MOST_RESULTS = 64
 
@@ -406,9 +408,10 @@ def postconditions(e: Encoded, unsat) -> Iterator[tuple]:
                 yield T.disj(T.negation(T.var(f"r{x}.nil", "Bool")), T.negation(T.var(f"r{k}.nil", "Bool")))
 
 
-def checked(func: str, x: dict, clauses: dict[str, list[dict]], own: list[dict], budget: int, rules: tuple[str, ...] = ("nil", "bounds", "contract")) -> Iterator[tuple]:
+def checked(func: str, x: dict, clauses: dict[str, list[dict]], own: list[dict], budget: int, rules: tuple = ALL_RULES) -> Iterator[tuple]:
     """RESULT rows of one function: its preconditions (kind requires), postconditions (ensures) and findings, or one row (unencoded) where it has no
-    formula. clauses: callees' clauses (side, tag, term, annotated, shown); own: its own. rules: the checkers that are asked."""
+    formula. clauses: callees' clauses (side, tag, term, annotated, shown); own: its own. rules: the checkers that are asked, by name; a checker of one's own is a
+    function that gives the violations of an Encoded, as Encoded.violations does."""
     post = {c: [(r["tag"], r["t"]) for r in rs if r["side"] == "ensures"] for c, rs in clauses.items()}
     try:
         e = Encoded(x, post)
@@ -436,11 +439,10 @@ def checked(func: str, x: dict, clauses: dict[str, list[dict]], own: list[dict],
 
     inferred = [c["t"] for c in own if c["side"] == "requires"]
     held: set[str] = set()
-    for i, checker, tag, bad, values, known in e.violations():
-        if checker not in rules:
-            continue
+    own_rules = [r for r in rules if callable(r)]
+    for i, checker, tag, bad, values, known in chain((v for v in e.violations() if v[1] in rules), *[r(e) for r in own_rules]):
         yield from required(i, checker, tag, T.negation(bad), *known)
-        message = TEXT[tag] + func
+        message = TEXT.get(tag, f"{tag} in ") + func
         ok = e.ground(values[0]) if checker == "nil" else all(map(e.ground, values))
         if not ok and checker == "nil" and (at := e.origin(i["a0"])):  # a result that its callee's postcondition speaks of
             ok = any(f"r{at[1]}.nil" in T.free_vars(c["t"]) for c in clauses.get(at[0], []) if c["side"] == "ensures" and c["tag"] == "nil-deref" and not c["annotated"])
@@ -458,8 +460,8 @@ def checked(func: str, x: dict, clauses: dict[str, list[dict]], own: list[dict],
             if want is None:
                 continue
             if not c["annotated"]:
-                checker = "nil" if c["tag"] == "nil-deref" else "bounds"
-                if checker in rules:
+                checker = {"nil-deref": "nil", "bounds": "bounds", "div-zero": "bounds", "overflow": "bounds"}.get(c["tag"], c["tag"])
+                if checker in rules or (own_rules and checker == c["tag"]):
                     yield from required(i, checker, c["tag"], want, *known)
                     yield from found(i, checker, c["tag"], f"call to {i['callee']} violates its {c['tag']} requirement", *inferred, *known, T.negation(want))
             elif "contract" in rules and T.text(c["t"]) not in stated:
@@ -505,7 +507,7 @@ def _read(x: dict) -> tuple[dict[str, list[dict]], list[dict]]:
     return by, [read(c) for c in x["own"] or []]
 
 
-def _rows(budget: int, schema: pa.Schema, rules: tuple[str, ...]):
+def _rows(budget: int, schema: pa.Schema, rules: tuple):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
@@ -517,7 +519,7 @@ def _rows(budget: int, schema: pa.Schema, rules: tuple[str, ...]):
     return run
 
 
-def analysed(df: DataFrame, budget: int = 2000, rounds: int = 8, annotated: DataFrame | None = None, rules: tuple[str, ...] = ("nil", "bounds", "contract"), known: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def analysed(df: DataFrame, budget: int = 2000, rounds: int = 8, annotated: DataFrame | None = None, rules: tuple = ALL_RULES, known: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(RESULT rows of kinds finding and unencoded, clauses). df: (func, body) of bodies.bodies, values with their sort; annotated: (func, side, tag, term, shown).
     clauses: (func, side, tag, term, annotated, shown), the annotated among them, and a row of side `widened` for each member of a component given up on.
 
@@ -590,7 +592,8 @@ def replayed(df: DataFrame, hashes: DataFrame, store, layer: str = "scc", **kw)
     calls = saved(static_calls(df), "calls")
     edges = calls.select(F.col("func").alias("src"), F.col("callee").alias("dst"))
     comp = saved(graph.condensed(df.select(F.col("func").alias("node")), edges), "components")
-    keys = cache.scc_keys(comp, graph.scc_edges(comp, edges), hashes.withColumnRenamed("func", "node"))
+    own = hashes.select(F.col("func").alias("node"), cache.key(F.col("func"), F.col("hash")).alias("hash"))  # equal bodies are entries of their own
+    keys = cache.scc_keys(comp, graph.scc_edges(comp, edges), own)
     member = saved(comp.join(keys, "scc").select(F.col("node").alias("func"), "key").join(df.select("func"), "func", "left_semi"), "scc-members")
     have = store.rows(layer)
     listed = have.where("kind = 'member'").select("key", "func").distinct()

@@ -49,12 +49,14 @@ def dynamic_targets(calls: DataFrame, taken: DataFrame) -> DataFrame:
 
 def implementers(required: DataFrame, provided: DataFrame) -> DataFrame:
     """iface, impl: relational division. required has (iface, m), provided (impl, m), m being a method's name and signature.
-    Counted instead of compared as arrays: one equi-join and one aggregation, partial on the map side. An interface
-    without methods is not in the result: everything implements it."""
-    req = required.select("iface", "m").distinct()
-    need = req.groupBy("iface").agg(F.count(F.lit(1)).alias("need"))
-    have = req.join(provided.select("impl", "m").distinct(), "m").groupBy("iface", "impl").agg(F.count(F.lit(1)).alias("have"))
-    return have.join(need, "iface").where("have = need").select("iface", "impl")
+    Candidates of an interface are the types that have its rarest method, so one that nearly every type has is never joined on alone; then the rest is
+    counted. An interface without methods is not in the result: everything implements it."""
+    req, have = required.select("iface", "m").distinct(), provided.select("impl", "m").distinct()
+    often = have.groupBy("m").agg(F.count(F.lit(1)).alias("often"))
+    rarest = req.join(often, "m", "left").groupBy("iface").agg(F.min_by("m", F.struct(F.coalesce("often", F.lit(0)), "m")).alias("m"), F.count(F.lit(1)).alias("need"))
+    some = rarest.join(have, "m").select("iface", "impl", "need")
+    found = some.join(req, "iface").join(have, ["impl", "m"]).groupBy("iface", "impl", "need").agg(F.count(F.lit(1)).alias("have"))
+    return found.where("have = need").select("iface", "impl")
 
 
 def resolve_invokes(calls: DataFrame, methods: DataFrame, required: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "?"
@@ -24,8 +24,8 @@ def imported(types: DataFrame) -> DataFrame:
     ref = lambda c: F.when(F.coalesce(c, F.lit(0)) != 0, F.coalesce(F.try_element_at("_m", c), F.lit(UNKNOWN)))
     many = lambda c: F.transform(c, lambda x: F.coalesce(ref(x), F.lit(UNKNOWN))).alias(c)
     fields = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), F.coalesce(ref(f["type"]), F.lit(UNKNOWN)).alias("type"), f["embedded"].alias("embedded"))).alias("fields")
-    first = Window.partitionBy("repr").orderBy("import_path", "type_id")
-    one = types.join(ids, "import_path").withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    one = types.groupBy("repr").agg(F.min(F.struct("import_path", "type_id")).alias("_f")).select("_f.*")  # merged before they move: every package has an int
+    one = types.join(one, ["import_path", "type_id"], "left_semi").join(ids, "import_path")
     return one.select("repr", "kind", "name", ref(F.col("elem")).alias("elem"), ref(F.col("key")).alias("key"), "array_len", "chan_dir", fields, many("params"), many("results"), "variadic")
 
 
