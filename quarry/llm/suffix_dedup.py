@@ -5,8 +5,8 @@ Rosone's method (and its extension to common prefixes): there is one round per s
 in each round every document still running gives one symbol, its new suffix's place is found from the place of its
 previous suffix (symbols smaller, then equal symbols further up), and the columns are rewritten in
 sequential passes: the old file is read front to back once to find the places and once more to write the new one with the new rows in
-them, `BLOCK` rows at a time; the common prefixes of new rows with their neighbours are set on the way. Memory holds a block and a few numbers for each
-document, never the columns. The files live in the folder all executors share and are
+them, `BLOCK` rows at a time; the common prefixes of new rows with their neighbours are set on the way. Memory holds a block, four bytes for each row (how far
+it moves) and a few numbers for each document, never the columns. The files live in the folder all executors share and are
 removed as soon as the next round's is written.
 
 "Documents" of a construction are the windows of repeats.py (at most 2 * LENGTH words, so a bounded number of
@@ -35,35 +35,56 @@ from . import vec
 from .common import shared
 from .repeats import K, LENGTH, MARKS, once, placed, ranges, repeated_windows, sharded, without_spans
 
-#: A row of the external file: parent key, window, suffix length, common prefix, preceding symbol.
-ROW = np.dtype([("key", np.uint64), ("win", np.int32), ("len", np.int32), ("lcp", np.int32), ("bwt", np.int32)])
+#: Columns of the external file: parent key, window, suffix length, common prefix, preceding symbol.
+COLUMNS = (("key", np.uint64), ("win", np.int32), ("len", np.int32), ("lcp", np.int32), ("bwt", np.int32))
 #: Rows read or written at a time.
 BLOCK = 1 << 16
 
 
 class ExternalRows:
-    """The rows of a round in one file, read and written from front to back."""
+    """The rows of a round in one file, block after block, a block column after column; read and written from front to back."""
 
     def __init__(self, folder: str) -> None:
         self.fs, base = pa.fs.FileSystem.from_uri(folder)
         self.base = f"{base}/bwt-{uuid.uuid4().hex}"
         self.fs.create_dir(self.base)
-        self.round, self.rows = -1, 0
+        self.round, self.sizes = -1, []
+
+    @property
+    def rows(self) -> int:
+        return sum(self.sizes)
+
+    def write(self, blocks: Iterator[dict[str, np.ndarray]]) -> None:
+        sizes: list[int] = []
+
+        def put(f, b: dict[str, np.ndarray], i: int, j: int) -> None:
+            for name, kind in COLUMNS:
+                f.write(np.ascontiguousarray(b[name][i:j], kind))
+            sizes.append(j - i)
 
-    def write(self, blocks: Iterator[np.ndarray]) -> None:
-        rows = 0
         with self.fs.open_output_stream(f"{self.base}/{self.round + 1}") as f:
+            held = None  # what doesn't fill a block yet
             for b in blocks:
-                f.write(b.tobytes())
-                rows += len(b)
+                b = b if held is None else {name: np.concatenate([held[name], b[name]]) for name, _ in COLUMNS}
+                n = len(b["key"])
+                for i in range(0, n - n % BLOCK, BLOCK):
+                    put(f, b, i, i + BLOCK)
+                held = {name: b[name][n - n % BLOCK :] for name, _ in COLUMNS} if n % BLOCK else None
+            if held is not None:
+                put(f, held, 0, len(held["key"]))
         if self.round >= 0:
             self.fs.delete_file(f"{self.base}/{self.round}")
-        self.round, self.rows = self.round + 1, rows
+        self.round, self.sizes = self.round + 1, sizes
 
-    def blocks(self) -> Iterator[np.ndarray]:
+    def blocks(self) -> Iterator[dict[str, np.ndarray]]:
+        width = sum(np.dtype(kind).itemsize for _, kind in COLUMNS)
         with self.fs.open_input_stream(f"{self.base}/{self.round}") as f:
-            for i in range(0, self.rows, BLOCK):
-                yield np.frombuffer(f.read(min(BLOCK, self.rows - i) * ROW.itemsize), ROW)
+            for n in self.sizes:
+                raw, at, out = f.read(n * width), 0, {}
+                for name, kind in COLUMNS:
+                    out[name] = np.frombuffer(raw, kind, n, at)
+                    at += n * np.dtype(kind).itemsize
+                yield out
 
     def close(self) -> None:
         self.fs.delete_dir(self.base)
@@ -82,7 +103,7 @@ def common_prefix(code: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarr
     return lo
 
 
-def construct(symbols: np.ndarray, n: np.ndarray, folder: str) -> Iterator[np.ndarray]:
+def construct(symbols: np.ndarray, n: np.ndarray, folder: str) -> Iterator[dict[str, np.ndarray]]:
     """symbols: those of all documents, joined, from 1 up; n: their lengths. Gives the rows in suffix order, block by block:
     win and len name the suffix, lcp its common prefix with the row before, bwt the symbol before it (0: none)."""
     m = len(n)
@@ -91,34 +112,36 @@ def construct(symbols: np.ndarray, n: np.ndarray, folder: str) -> Iterator[np.nd
     np.cumsum(vec.mix(symbols.astype(np.uint64)) * vec.powers(vec._Q, len(symbols)), out=code[1:])
     low = np.uint64(0xFFFFFFFF)
 
-    def empty() -> Iterator[np.ndarray]:  # round 0: the empty suffix of each document, in the order of the documents
-        for i in range(0, m, BLOCK):
-            d = np.arange(i, min(m, i + BLOCK))
-            b = np.zeros(len(d), ROW)
-            b["key"], b["win"], b["bwt"] = d, d, symbols[base[d] + n[d] - 1]
-            yield b
+    def empty() -> Iterator[dict[str, np.ndarray]]:  # round 0: the empty suffix of each document, in the order of the documents
+        if m:
+            d = np.arange(m)
+            yield {"key": d, "win": d, "len": np.zeros(m), "lcp": np.zeros(m), "bwt": symbols[base + n - 1]}
 
-    def inserted(new: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    def inserted(new: dict[str, np.ndarray], at: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
         """The old rows with new[i] before row at[i]; at is ascending."""
-        done, before, last = 0, 0, np.zeros(1, ROW)
+        moved = np.cumsum(np.bincount(at, minlength=files.rows + 1)).astype(np.uint32)  # by how many places each row moves
+        done = before = 0
+        last = {c: np.zeros(1, k) for c, k in COLUMNS}
         was_new = False
-        olds = files.blocks()
-        while before < files.rows or done < len(new):
-            old = next(olds, np.zeros(0, ROW))
-            end = int(np.searchsorted(at, before + len(old), "left")) if before + len(old) < files.rows else len(new)
+        for old in files.blocks():
+            end = int(np.searchsorted(at, before + len(old["key"]), "left")) if before + len(old["key"]) < files.rows else len(at)
             put = at[done:end] - before + np.arange(end - done)
-            b, is_new = np.empty(len(old) + end - done, ROW), np.zeros(len(old) + end - done, bool)
+            size = len(old["key"]) + end - done
+            is_new = np.zeros(size, bool)
             is_new[put] = True
-            b[is_new], b[~is_new] = new[done:end], old
-            parent = (b["key"] & low).astype(np.int64)  # moved by as many rows as went in up to it
-            b["key"] += np.where(b["key"] > low, np.searchsorted(at, parent, "right"), 0).astype(np.uint64)
-            prev = np.concatenate([last, b[:-1]])
-            touched = np.flatnonzero(is_new | np.append(was_new, is_new[:-1])[: len(b)])
-            touched = touched[touched + before + done > 0]
-            x, y = prev[touched], b[touched]
-            lx, ly = x["len"].astype(np.int64), y["len"].astype(np.int64)
-            b["lcp"][touched] = common_prefix(code, base[x["win"]] + n[x["win"]] - lx, base[y["win"]] + n[y["win"]] - ly, np.minimum(lx, ly))
-            before, done, last, was_new = before + len(old), end, b[-1:], bool(is_new[-1])
+            keep = np.flatnonzero(~is_new)
+            b = {}
+            for c, kind in COLUMNS:
+                b[c] = np.empty(size, kind)
+                b[c][put], b[c][keep] = new[c][done:end], old[c]
+            b["key"] += np.where(b["key"] > low, moved[(b["key"] & low).astype(np.int64)], 0).astype(np.uint64)
+            touched = np.flatnonzero(is_new | np.append(was_new, is_new[:-1]))
+            if before + done == 0:
+                touched = touched[touched > 0]
+            wx, wy = (np.where(touched > 0, b["win"][touched - 1], last["win"]), b["win"][touched])
+            lx, ly = (np.where(touched > 0, b["len"][touched - 1], last["len"]).astype(np.int64), b["len"][touched].astype(np.int64))
+            b["lcp"][touched] = common_prefix(code, base[wx] + n[wx] - lx, base[wy] + n[wy] - ly, np.minimum(lx, ly))
+            before, done, last, was_new = before + len(old["key"]), end, {c: b[c][-1:] for c in b}, bool(is_new[-1])
             yield b
 
     files = ExternalRows(folder)
@@ -134,9 +157,8 @@ def construct(symbols: np.ndarray, n: np.ndarray, folder: str) -> Iterator[np.nd
             at = np.zeros(len(key), np.int64)
             for b in files.blocks():  # keys are ascending: a key's place is the number of smaller ones
                 at += np.searchsorted(b["key"], key)
-            new = np.zeros(len(key), ROW)
-            new["key"], new["win"], new["len"], new["bwt"] = key, live, r, np.where(n[live] > r, symbols[np.maximum(start - 1, 0)], 0)
-            files.write(inserted(new, at))
+            bwt = np.where(n[live] > r, symbols[np.maximum(start - 1, 0)], 0)
+            files.write(inserted({"key": key, "win": live, "len": np.full(len(key), r), "lcp": np.zeros(len(key)), "bwt": bwt}, at))
             place = place + np.searchsorted(at, place, "right")
             place[live] = at + np.arange(len(at))
         yield from files.blocks()

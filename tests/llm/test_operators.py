@@ -150,7 +150,9 @@ def test_columnwise_construction(tmp_path, alphabet, block, monkeypatch):
     symbols = rng.integers(1, alphabet + 1, n.sum())
     base = np.concatenate([[0], np.cumsum(n)[:-1]])
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-    got = np.concatenate(list(suffix_dedup.construct(symbols, n, f"file://{tmp_path}")))
+    parts = list(suffix_dedup.construct(symbols, n, f"file://{tmp_path}"))
+    got = {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
+    assert all(len(x["key"]) <= block for x in parts)
     texts = [symbols[b : b + k].tolist() for b, k in zip(base, n)]
     order = sorted(((t[len(t) - k :], w, k) for w, t in enumerate(texts) for k in range(len(t) + 1)), key=lambda s: (s[0], s[1]))
     # at equal suffixes the documents' end marks decide, in the order of the documents
