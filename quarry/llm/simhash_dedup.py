@@ -3,19 +3,20 @@
 A document's fingerprint has 256 bits: the majority, over its distinct normalised words, of the bits of
 each word's hash. Two documents are near copies when at most `max_bits` bits differ.
 
-Search. Blocks of the fingerprint's bits are searched each by itself. In a block of 22 bits the anchors are the codewords of
-a product of two perfect codes, Hamming(15,11) x Hamming(7,4): 2**15 anchors, every point lies within radius 1
-of one in each part. Threshold in a block: 1 bit. A fingerprint is its home anchor's point and is
-replicated to every anchor within covering radius plus threshold (the threshold being spent in one part or
-the other: 11 of them at most), so two fingerprints that differ in at most one bit of a block always meet at the home
-of either. Per anchor, homes are compared with replicas over all 256 bits, exactly.
-
-What is certain and what is not: eleven of the sixteen blocks are disjoint, so fingerprints that differ in fewer than 22 bits always meet. An exact
+Search. Blocks of the fingerprint's bits are searched each by itself. A block has a first part, by which fingerprints are brought together, and
+second parts, by which those that share an anchor of the first are looked up. The anchors of a part are the codewords of a perfect code; a fingerprint
+has its home, the anchor whose cell it lies in, and is replicated to anchors within covering radius plus threshold. Per pair of anchors, homes are
+compared with replicas over all 256 bits, exactly.
+
+`DESIGN` is used up to `POINTS` fingerprints. Its code is the trivial one (every point is an anchor, radius and threshold 0): the bits in some order are cut into 23 parts
+of 11, each of them the first part of a block whose second parts are the eleven that follow it, in a circle, so each two of the 23 are an anchor of 22 bits just once.
+That is done for three orders of the bits: 69 rows a fingerprint, 759 lookups that shuffle nothing. `SHORT` and `LONG` have Hamming codes (Hamming(15,11) x
+Hamming(7,4), and Hamming(15,11) twice) with a threshold of 1 bit in either part. They need 121 and 512 rows a fingerprint, and the anchors of `SHORT`, 2**15 a block, grow
+crowded with the input.
+
+What is certain and what is not: fingerprints that differ in fewer than 22 bits leave two of 23 disjoint parts alike, so they always meet. An exact
 covering of 256 bits with radius `max_bits` would need astronomically many anchors; pairs between 22 and `max_bits` bits apart meet with a high
-probability only (tests hold it above 0.98 at the limit itself, where it is least).
-
-The code grows with the points: beyond `POINTS` of them blocks are 30 bits long, Hamming(15,11) twice, and there are more of them, drawn over permuted
-bits, so that an anchor keeps few points and the recall stays.
+probability only (tests hold it above 0.99 at the limit itself, where it is least). Which pairs meet depends on the two fingerprints alone.
 
 An anchor's points are streamed in the order of anchors, so a task holds those of one anchor and some more. Where many homes share a key,
 they are not paired with each other: each is compared with a pivot first, linked to it alone, and only what isn't near the pivot is compared with the
@@ -45,13 +46,13 @@ from .common import docs_only, hidden, joined, saved, text_udf
 
 BITS = 256
 MAX_BITS = 42
-#: Points up to which blocks of 22 bits are used: 64 or so share a key then.
-POINTS = 1 << 28
 #: Homes of a key up to which all pairs are compared.
 HOT = 64
 #: Rows of an anchor's stream worked off at once.
 STEP = 100_000
 _LONGS = ["f0", "f1", "f2", "f3"]
+#: The eight bits of a byte as the eight bytes of a word, which is how they are counted.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -76,11 +77,15 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         ones = np.zeros((len(rows), BITS), np.int32)
         for x in range(lo, hi, step):
             y = min(hi, x + step)
-            bits = np.unpackbits(np.stack([vec.mix(h[x:y] ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(BITS // 64)], 1).view(np.uint8), axis=1)
+            spread = _LANES[np.stack([vec.mix(h[x:y] ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(BITS // 64)], 1).view(np.uint8)]
             begin = np.clip(at[rows], x, y) - x
             end = np.clip(at[rows + 1], x, y) - x
             hit = np.flatnonzero(end > begin)
-            ones[hit] += np.add.reduceat(bits, begin[hit], axis=0, dtype=np.int32)
+            runs = -(-(end[hit] - begin[hit]) // 255)  # so many words at most are counted in a byte
+            own = np.cumsum(runs) - runs
+            first = np.repeat(begin[hit], runs) + 255 * (np.arange(runs.sum()) - np.repeat(own, runs))
+            counts = np.add.reduceat(spread, first, axis=0).view(np.uint8)
+            ones[hit] += np.add.reduceat(counts, own, axis=0, dtype=np.int32)
         out[rows] = np.packbits(2 * ones > n[rows][:, None], axis=1).view(np.uint64)
     none = np.flatnonzero(n == 0)
     if len(none):  # no words: the text itself decides
@@ -122,40 +127,68 @@ def _near(n: int, r: int) -> np.ndarray:
 
 @functools.cache
 def near(n: int) -> np.ndarray:
-    return _near(n, n.bit_length())
+    """Anchors that each n-bit point reaches, its home first: of the Hamming code, or where n bits have none of the trivial one."""
+    return _near(n, n.bit_length()) if not trivial(n) else np.arange(1 << n)[:, None]
+
+
+def trivial(n: int) -> bool:
+    return (n & (n + 1)) != 0
 
 
 @dataclass(frozen=True)
 class Design:
-    """parts: bits of the two codes of a block; blocks: the bits of the fingerprint that make up each."""
+    """parts: bits of a block's first and second parts; count: blocks; seconds: second parts of each block."""
 
     parts: tuple[int, int]
     count: int
+    seconds: int = 1
 
     @functools.cached_property
     def blocks(self) -> list[np.ndarray]:
-        w, out, rng = sum(self.parts), [], np.random.default_rng(256)
+        """The bits of each block, the first part before the second ones."""
+        w, out, rng = self.parts[0] if self.seconds > 1 else sum(self.parts), [], np.random.default_rng(256)
         order = np.arange(BITS)
         while len(out) < self.count:
-            out += [order[k : k + w] for k in range(0, BITS - w + 1, w)]
+            cut = [order[k : k + w] for k in range(0, BITS - w + 1, w)]
+            out += cut if self.seconds == 1 else [np.concatenate([cut[(k + i) % len(cut)] for i in range(self.seconds + 1)]) for k in range(len(cut))]
             order = rng.permutation(BITS)
         return out[: self.count]
 
-    def points(self, f: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """Both parts of a block of each fingerprint, in pieces so that memory stays flat."""
+    @property
+    def exact(self) -> bool:
+        return all(map(trivial, self.parts))
+
+    def points(self, f: np.ndarray, block: int, seconds: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The first part of a block of each fingerprint, and (fingerprints, seconds) of the second ones, in pieces so that memory stays flat."""
         at, (m, n) = self.blocks[block], self.parts
-        p, q = np.empty(len(f), np.int64), np.empty(len(f), np.int64)
+        p, q = np.empty(len(f), np.int64), np.empty((len(f), self.seconds if seconds else 0), np.int16)
         for c in range(0, len(f), 20_000):
-            x = np.unpackbits(np.ascontiguousarray(f[c : c + 20_000]).view(np.uint8), axis=1)[:, at].astype(np.int64)
-            p[c : c + 20_000], q[c : c + 20_000] = x[:, :m] @ (1 << np.arange(m)), x[:, m:] @ (1 << np.arange(n))
+            words = np.ascontiguousarray(f[c : c + 20_000].T)
+            p[c : c + 20_000] = packed(words, at[:m])
+            for t in range(q.shape[1]):
+                q[c : c + 20_000, t] = packed(words, at[m + t * n : m + (t + 1) * n])
         return p, q
 
 
+def packed(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for the bits `at` (counted as numpy unpacks them) of fingerprints, four rows of words; the first one is the lowest."""
+    out = np.zeros(words.shape[1], np.uint64)
+    for j, i in enumerate(at.tolist()):
+        x = words[i >> 6] >> np.uint64((i & 56) + 7 - (i & 7))
+        x &= np.uint64(1)
+        x <<= np.uint64(j)
+        out |= x
+    return out
+
+
 SHORT, LONG = Design((15, 7), 16), Design((15, 15), 64)
+#: The one in use up to POINTS fingerprints.
+DESIGN = Design((11, 11), 69, 11)
+POINTS = 1 << 28
 
 
 def design(points: int) -> Design:
-    return SHORT if points <= POINTS else LONG
+    return DESIGN if points <= POINTS else LONG
 
 
 def replicas(how: Design):
@@ -169,7 +202,7 @@ def replicas(how: Design):
                 f = np.stack([np.asarray(b.column(c)).view(np.uint64) for c in _LONGS], 1)
                 node = np.asarray(b.column("node"))
                 for k in range(how.count):
-                    p, _ = how.points(f, k)
+                    p, _ = how.points(f, k, False)
                     row, col = np.nonzero(first[p] >= 0)
                     key = (k << 15) | first[p][row, col]
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(node[row]), *[pa.array(f[row, c].view(np.int64)) for c in range(4)]], ["anchor", "node", *_LONGS])
@@ -190,8 +223,17 @@ def apart(f: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.nd
 
 def linked(f: np.ndarray, homes: np.ndarray, others: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Links between homes and others (homes among them) that connect what all near pairs between them would."""
-    alive = homes
+    alive, few = homes, 1
     while len(alive):
+        if few > 1:  # the last pivots had hardly a member: some at once, all their pairs
+            p = alive[:few]
+            for c in range(0, len(others), step := max(1, STEP // len(p))):
+                part = others[c : c + step]
+                yield (got := apart(f, np.repeat(p, len(part)), np.tile(part, len(p)), most))
+                few = few if len(got[1]) <= 4 * len(p) else 1
+            alive, others = alive[len(p) :], np.setdiff1d(others, p)
+            few = min(2 * few, 64) if few > 1 else 1
+            continue
         p = np.full(1, alive[0])
         member = apart(f, np.repeat(p, len(alive)), alive, most)[1]
         yield (got := apart(f, np.repeat(p, len(others)), others, most))
@@ -204,42 +246,78 @@ def linked(f: np.ndarray, homes: np.ndarray, others: np.ndarray, most: int) -> I
                 if len(got[1]):
                     yield got
                     rest = np.concatenate([rest[:c], np.setdiff1d(rest[c : c + STEP], got[1]), rest[c + STEP :]]) if len(rest) > STEP else np.setdiff1d(rest, got[1])
-        alive = np.setdiff1d(alive, member)
+        alive, others = np.setdiff1d(alive, member), np.setdiff1d(others, member)  # what is near a member has its link
+        few = 2 if len(member) <= 4 else 1
 
 
 def compared(how: Design, f: np.ndarray, node: np.ndarray, anchor: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(x, y, bits) of near rows, homes with replicas, of whole anchors."""
     n2 = how.parts[1]
     first, second = near(how.parts[0]), near(n2)
-    p, q = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+    p, q = np.zeros(len(node), np.int64), np.zeros((len(node), how.seconds), np.int16)
     for k in np.unique(anchor >> 15):
         at = np.flatnonzero(anchor >> 15 == k)
         p[at], q[at] = how.points(f[at], int(k))
     at_home = first[p, 0] == anchor & 0x7FFF
+    for t in range(how.seconds):
+        for x, y, d in _met(f, node, anchor, at_home, q[:, t], second, n2, most):
+            if how.exact and t and len(x):  # found before, by an earlier second part
+                new = ~(q[x, :t] == q[y, :t]).any(1)
+                x, y, d = x[new], y[new], d[new]
+            yield x, y, d
+
+
+def _met(f: np.ndarray, node: np.ndarray, anchor: np.ndarray, at_home: np.ndarray, q: np.ndarray, second: np.ndarray, n2: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same by one second part."""
     full = (anchor << n2) | second[q, 0]
     x = np.flatnonzero(at_home)
     x = x[np.argsort(full[x], kind="stable")]
     xkey = full[x]
-    ys, ykeys = [np.arange(len(node))], [full]
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(xkey)), bool), xkey[1:] != xkey[:-1]]))
+    if not len(start):
+        return
+    size, keys = np.diff(np.append(start, len(xkey))), xkey[start]
+    away = np.flatnonzero(~at_home)
+    ys, ykeys = [away], [full[away]]
     for c in range(1, second.shape[1]):
         more = np.flatnonzero(at_home & (second[q, c] >= 0))
         ys.append(more)
         ykeys.append((anchor[more] << n2) | second[q[more], c])
     y, ykey = np.concatenate(ys), np.concatenate(ykeys)
-    lo, n = np.searchsorted(xkey, ykey, "left"), np.searchsorted(xkey, ykey, "right")
-    n -= lo
-    hot = np.flatnonzero(n > HOT)
-    for key in np.unique(ykey[hot]):
-        a, b = np.searchsorted(xkey, key, "left"), np.searchsorted(xkey, key, "right")
-        yield from linked(f, x[a:b], np.unique(np.concatenate([x[a:b], y[ykey == key]])), most)
-    cold = np.flatnonzero((n > 0) & (n <= HOT))
-    for c in range(0, len(cold), 1 << 14):
-        part = cold[c : c + (1 << 14)]
-        m = n[part]
-        yi = np.repeat(y[part], m)
-        xi = x[np.repeat(lo[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+    run = np.minimum(np.searchsorted(keys, ykey), len(keys) - 1)
+    has = keys[run] == ykey
+    y, run = y[has], run[has]
+    own = np.repeat(np.arange(len(start)), size)
+    for g in np.flatnonzero(size > HOT):
+        homes = x[start[g] : start[g] + size[g]]
+        yield from linked(f, homes, np.unique(np.concatenate([homes, y[run == g]])) if len(y) else np.sort(homes), most)
+    # homes with those of their key that stand before them, then with replicas
+    m = np.concatenate([np.where(size[own] <= HOT, np.arange(len(x)) - start[own], 0), np.where(size[run] <= HOT, size[run], 0)])
+    y, lo = np.concatenate([x, y]), np.concatenate([start[own], start[run]])
+    some = np.flatnonzero(m)
+    y, lo, m = y[some], lo[some], m[some]
+    end = np.cumsum(m)
+    a = 0
+    while a < len(m):
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + (1 << 18), "right")))
+        n = m[a:b]
+        yi = np.repeat(y[a:b], n)
+        xi = x[np.repeat(lo[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         other = node[xi] != node[yi]
         yield apart(f, xi[other], yi[other], most)
+        a = b
+
+
+def earlier(how: Design, f: np.ndarray, x: np.ndarray, y: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """True where a block before `block` brings x and y together too, so that they are compared there."""
+    same = ~np.unpackbits((f[x] ^ f[y]).view(np.uint8), axis=1).astype(bool)
+    done, (m, n) = np.zeros(len(x), bool), how.parts
+    for k in range(int(block.max(initial=0))):
+        at = how.blocks[k]
+        todo = np.flatnonzero(~done & (block > k))
+        todo = todo[same[np.ix_(todo, at[:m])].all(1)]
+        done[todo] = same[np.ix_(todo, at[m:])].reshape(len(todo), how.seconds, n).all(2).any(1)
+    return done
 
 
 def met(how: Design, most: int):
@@ -256,6 +334,9 @@ def met(how: Design, most: int):
                 return pa.RecordBatch.from_arrays([pa.array(z[:, 0]), pa.array(z[:, 1]), pa.array(z[:, 2].astype(np.int32))], ["a", "b", "bits"])
 
             for x, y, d in compared(how, f, node, anchor, most):
+                if how.exact and len(x):
+                    new = ~earlier(how, f, x, y, anchor[x] >> 15)
+                    x, y, d = x[new], y[new], d[new]
                 if len(x):
                     a, b = node[x], node[y]
                     pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b), d], 1)[a != b])

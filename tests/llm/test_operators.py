@@ -377,6 +377,53 @@ def test_hot_key_is_linked_without_all_pairs():
     assert [find(i) for i in range(600)] == roots
 
 
+def spread_points(f, how):
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(f))), *[pa.array(f[:, k].view(np.int64)) for k in range(4)]], ["node", *simhash_dedup._LONGS])
+    return pa.Table.from_batches(simhash_dedup.replicas(how)(iter([rows]))).sort_by("anchor")
+
+
+def test_few_pairs_are_compared(monkeypatch):
+    """Anchors keep few points: else the work of near_pairs grows with the square of a table."""
+    how = getattr(simhash_dedup, "DESIGN", simhash_dedup.SHORT)
+    f, n, apart = np.random.default_rng(6).integers(0, 2**63, (6000, 4), dtype=np.uint64), [], simhash_dedup.apart
+    monkeypatch.setattr(simhash_dedup, "apart", lambda f, x, y, most: n.append(len(x)) or apart(f, x, y, most))
+    for _ in simhash_dedup.met(how, 42)(iter(spread_points(f, how).to_batches(5000))):
+        pass
+    assert 0 < sum(n) < 0.0005 * 6000**2 / 2
+
+
+@pytest.mark.parametrize("bits, least", [(21, 1), (36, 0.999), (42, 0.99)])
+def test_points_meet_once(bits, least):
+    rng = np.random.default_rng(bits)
+    f = rng.integers(0, 256, (1500, 32), dtype=np.uint8)
+    g = np.unpackbits(f, axis=1)
+    for row in g:
+        row[rng.permutation(256)[:bits]] ^= 1
+    both = np.concatenate([f, np.packbits(g, axis=1)]).view(np.uint64)
+    how = simhash_dedup.DESIGN
+    got = [x for b in simhash_dedup.met(how, bits)(iter(spread_points(both, how).to_batches(5000))) for x in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    assert set(got) <= {(i, i + 1500) for i in range(1500)} and len(set(got)) == len(got) >= least * 1500
+
+
+def test_hot_keys_of_far_points_are_linked():
+    """One key for all, clusters of two to nine: links join what all pairs would."""
+    rng, bits = np.random.default_rng(8), []
+    for k in range(60):
+        center = rng.integers(0, 2, 256, dtype=np.uint8)
+        for _ in range(2 + k % 8):
+            bits.append(center.copy())
+            bits[-1][rng.permutation(256)[:25]] ^= 1
+    f = np.packbits(np.array(bits)[rng.permutation(len(bits))], axis=1).view(np.uint64)
+    roots, want = brute.near_groups(f, 42)
+    root, every = list(range(len(f))), np.arange(len(f))
+    for x, y, _ in simhash_dedup.linked(f, every, every, 42):
+        for a, b in zip(x.tolist(), y.tolist()):
+            assert a == b or (min(a, b), max(a, b)) in want
+            a, b = min(root[a], root[b]), max(root[a], root[b])
+            root = [a if r == b else r for r in root]
+    assert root == roots and len(want) > 50
+
+
 def test_near_odd(spark, odd):
     got = {(r.doc_id, r.group_id, r.group_size) for r in simhash_dedup.near_duplicates(table(spark, odd)).collect()}
     prints = simhash_dedup.fingerprints(*vec.buffers(vec.lower(pa.array([dict(odd)[i] for i in (7, 8)]))))
