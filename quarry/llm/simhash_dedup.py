@@ -8,7 +8,7 @@ second parts, by which those that share an anchor of the first are looked up. Th
 has its home, the anchor whose cell it lies in, and is replicated to anchors within covering radius plus threshold. Per pair of anchors, homes are
 compared with replicas over all 256 bits, exactly.
 
-`DESIGN` is used up to `POINTS` fingerprints. Its code is the trivial one (every point is an anchor, radius and threshold 0): the bits in some order are cut into 23 parts
+`DESIGN` is used for every input, whatever its size. Its code is the trivial one (every point is an anchor, radius and threshold 0): the bits in some order are cut into 23 parts
 of 11, each of them the first part of a block whose second parts are the eleven that follow it, in a circle, so each two of the 23 are an anchor of 22 bits just once.
 That is done for three orders of the bits: 69 rows a fingerprint, 759 lookups that shuffle nothing. `SHORT` and `LONG` have Hamming codes (Hamming(15,11) x
 Hamming(7,4), and Hamming(15,11) twice) with a threshold of 1 bit in either part. They need 121 and 512 rows a fingerprint, and the anchors of `SHORT`, 2**15 a block, grow
@@ -182,13 +182,12 @@ def packed(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 SHORT, LONG = Design((15, 7), 16), Design((15, 15), 64)
-#: The one in use up to POINTS fingerprints.
+#: The one in use, for all inputs.
 DESIGN = Design((11, 11), 69, 11)
-POINTS = 1 << 28
 
 
 def design(points: int) -> Design:
-    return DESIGN if points <= POINTS else LONG
+    return DESIGN
 
 
 def replicas(how: Design):

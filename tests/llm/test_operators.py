@@ -405,6 +405,21 @@ def test_points_meet_once(bits, least):
     assert set(got) <= {(i, i + 1500) for i in range(1500)} and len(set(got)) == len(got) >= least * 1500
 
 
+def test_pairs_do_not_depend_on_the_size(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    f = np.unpackbits(rng.integers(0, 256, (1500, 32), dtype=np.uint8), axis=1)
+    g = f.copy()
+    for row in g:
+        row[rng.permutation(256)[:42]] ^= 1
+    both = np.packbits(np.concatenate([f, g]), axis=1).view(np.int64)
+    points = spark.createDataFrame([(i, *row) for i, row in enumerate(both.tolist())], "node long, f0 long, f1 long, f2 long, f3 long")
+    run = lambda df: {(r.a, r.b) for r in simhash_dedup.near_pairs(df).collect()}
+    want = run(points)
+    monkeypatch.setattr(simhash_dedup, "POINTS", 100, raising=False)  # such a number once chose the search
+    assert run(points) == want and len(want) > 1400
+    assert run(points.where("node % 1500 < 70")) == {(a, b) for a, b in want if a < 70}
+
+
 def test_hot_keys_of_far_points_are_linked():
     """One key for all, clusters of two to nine: links join what all pairs would."""
     rng, bits = np.random.default_rng(8), []
