@@ -186,10 +186,6 @@ SHORT, LONG = Design((15, 7), 16), Design((15, 15), 64)
 DESIGN = Design((11, 11), 69, 11)
 
 
-def design(points: int) -> Design:
-    return DESIGN
-
-
 def replicas(how: Design):
     """A row per (block, anchor of the first part) that a fingerprint reaches."""
 
@@ -365,9 +361,8 @@ def met(how: Design, most: int):
     return run
 
 
-def near_pairs(points: DataFrame, max_bits: int = MAX_BITS, how: Design | None = None) -> DataFrame:
+def near_pairs(points: DataFrame, max_bits: int = MAX_BITS, how: Design = DESIGN) -> DataFrame:
     """a, b, bits for near distinct points (node, f0..f3), a < b: all pairs that meet, but of many that share a key only links that connect them."""
-    how = how or design(points.count())
     spread = points.select("node", *_LONGS).mapInArrow(replicas(how), "anchor int, node long, f0 long, f1 long, f2 long, f3 long")
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(met(how, max_bits), "a long, b long, bits int").distinct()
 

@@ -54,3 +54,17 @@ def test_stages_with_odd_rows(spark):
     got = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     assert sorted((repr(r.doc_id), repr(r.decoded)) for r in got) == want
     assert all((r.tokens is None) == (r.decoded is None) == (r.n_tokens is None) for r in got)
+
+
+def test_near_stage_does_not_count_its_rows(spark, monkeypatch):
+    """What stays is the same for any number of fingerprints that a search might go by, and no search is asked for by number."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(300):
+        ws = rng.integers(0, 30_000, 150)
+        texts += [ws, np.where(rng.random(150) < 0.17, rng.integers(0, 30_000, 150), ws)]
+    docs = spark.createDataFrame([(i, " ".join(f"w{w}" for w in ws)) for i, ws in enumerate(texts)], "doc_id long, text string")
+    asked = []
+    monkeypatch.setattr(simhash_dedup, "design", lambda n: asked.append(n) or simhash_dedup.LONG, raising=False)
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, SMALL).count()
+    assert not asked and 300 <= kept < 600
