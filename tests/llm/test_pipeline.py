@@ -68,3 +68,10 @@ def test_near_stage_does_not_count_its_rows(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "design", lambda n: asked.append(n) or simhash_dedup.LONG, raising=False)
     kept = corpus_pipeline.near_dedup_stage(spark, docs, SMALL).count()
     assert not asked and 300 <= kept < 600
+
+
+def test_near_stage_spreads_a_fingerprint_to_few_rows():
+    how = getattr(simhash_dedup, "DESIGN", simhash_dedup.SHORT)
+    f = np.random.default_rng(13).integers(0, 2**63, (500, 4), dtype=np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(500)), *[pa.array(f[:, k]) for k in range(4)]], ["node", "f0", "f1", "f2", "f3"])
+    assert sum(b.num_rows for b in simhash_dedup.replicas(how)(iter([batch]))) <= 75 * 500
