@@ -548,8 +548,9 @@ def analysed(df: DataFrame, budget: int = 2000, rounds: int = 8, annotated: Data
         return saved(got.select("func", F.col("kind").alias("side"), "tag", "term", F.lit(False).alias("annotated"), F.lit(None).cast("string").alias("shown")).distinct(), "clauses")
 
     edges = calls.select(F.col("func").alias("src"), F.col("callee").alias("dst"))
-    comp = saved(graph.condensed(body.select(F.col("func").alias("node")), edges), "components")
-    depth = graph.wave_depth(comp, graph.scc_edges(comp, edges))
+    comp, dag = graph.condensation(body.select(F.col("func").alias("node")), edges)
+    comp = saved(comp, "components")
+    depth = graph.wave_depth(comp, dag)
     level = saved(comp.join(depth, "scc").join(graph.scc_sizes(comp, edges), "scc").select(F.col("node").alias("func"), "scc", "depth", "recursive").join(body.select("func"), "func", "left_semi"), "levels")
     if known is not None:
         body = saved(body.join(known[0].select("func"), "func", "left_anti"), "bodies")
@@ -591,9 +592,10 @@ def replayed(df: DataFrame, hashes: DataFrame, store, layer: str = "scc", **kw)
 
     calls = saved(static_calls(df), "calls")
     edges = calls.select(F.col("func").alias("src"), F.col("callee").alias("dst"))
-    comp = saved(graph.condensed(df.select(F.col("func").alias("node")), edges), "components")
+    comp, dag = graph.condensation(df.select(F.col("func").alias("node")), edges)
+    comp = saved(comp, "components")
     own = hashes.select(F.col("func").alias("node"), cache.key(F.col("func"), F.col("hash")).alias("hash"))  # equal bodies are entries of their own
-    keys = cache.scc_keys(comp, graph.scc_edges(comp, edges), own)
+    keys = cache.scc_keys(comp, dag, own)
     member = saved(comp.join(keys, "scc").select(F.col("node").alias("func"), "key").join(df.select("func"), "func", "left_semi"), "scc-members")
     have = store.rows(layer)
     listed = have.where("kind = 'member'").select("key", "func").distinct()

@@ -8,6 +8,12 @@ so locations can be joined on.
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +21,10 @@ from ..storage import saved
 
 MAX_DEPTH = 2
 COLUMNS = ["func", "domain", "root_kind", "root_id", "path", "op"]
+EFFECT = "func string, domain string, root_kind string, root_id string, path array<int>, op string"
+_ARROW = pa.schema([("func", pa.string()), ("domain", pa.string()), ("root_kind", pa.string()), ("root_id", pa.string()), ("path", pa.list_(pa.int32())), ("op", pa.string())])
+#: Pairs of a function and an effect that a part may come to and still be worked off in a task, and rows that it gives at a time.
+PAIRS, OUT = 10_000_000, 1 << 15
 LOC = "struct<root_kind: string, root_id: string, path: array<int>>"
 CHAN_OPS = ("Make", "Send", "Recv", "Close", "Select")
 LOCK_OPS = ("Lock", "Unlock", "RLock", "RUnlock", "DeferredUnlock", "DeferredRUnlock")
@@ -77,10 +87,32 @@ def unplaced(call_edges: DataFrame, sites: DataFrame) -> DataFrame:
     return call_edges.select("caller", "callee").distinct().join(sites.select("caller", "callee").distinct(), ["caller", "callee"], "left_anti").select("caller", "callee", none.alias("args"), none.alias("bindings"))
 
 
-def fixpoint(own: DataFrame, sites: DataFrame) -> DataFrame:
-    """The least effects that hold own and the rebased effects of all callees. Semi-naive: a round rebases only what is
-    new. Paths are capped, so it ends on any call graph, recursive ones too; nothing has to be widened."""
-    s = saved(sites.select("caller", "callee", "args", "bindings"), "sites")
+def fixpoint(own: DataFrame, sites: DataFrame, calls: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """The least effects that hold own and the rebased effects of all callees. Paths are capped, so it ends on any call graph, recursive ones too; nothing has to be
+    widened. Weakly connected parts of the call graph are worked off where they lie; one that may hold more than `limit` pairs of function and effect goes by rounds of
+    joins. calls: the (caller, callee) of the sites, where they are to be had in the order of their parts. A site without a caller or callee is none."""
+    from . import graph
+
+    s = sites.select("caller", "callee", "args", "bindings").where("caller is not null and callee is not null")
+    at = graph.ends(graph.parted((s if calls is None else calls).select(F.col("caller").cast("string").alias("src"), F.col("callee").cast("string").alias("dst")))).distinct()
+    o = own.select(*COLUMNS).where("func is not null").join(at.withColumnRenamed("node", "func"), "func", "left")
+    o = o.select(F.coalesce("part", "func").alias("part"), "func", F.lit(None).cast("string").alias("callee"), F.to_json(F.struct(*COLUMNS[1:])).alias("x"))
+    c = s.join(at.withColumnRenamed("node", "caller"), "caller", "left").select(F.coalesce("part", "caller").alias("part"), F.col("caller").alias("func"), "callee", F.to_json(F.struct("args", "bindings")).alias("x"))
+    rows = saved(o.unionByName(c), "effect-parts")
+    pairs = F.sum(F.when(F.col("callee").isNull(), 1).otherwise(0)) * F.sum(F.when(F.col("callee").isNull(), 0).otherwise(1))
+    big = saved(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), pairs.alias("pairs")).where((F.col("pairs") > (PAIRS if limit is None else limit)) | (F.col("n") > graph.FUSED)).select("part"), "big-parts")
+    nameless = own.select(*COLUMNS).where("func is null").distinct()
+    if big.isEmpty():
+        return graph.whole_parts(rows, _closed, EFFECT).unionByName(nameless)
+    near, far = rows.join(big, "part", "left_anti"), rows.join(big, "part", "left_semi")
+    e = far.where("callee is null").select("func", F.from_json("x", EFFECT.split(", ", 1)[1]).alias("r")).select("func", "r.*")
+    t = far.where("callee is not null").select(F.col("func").alias("caller"), "callee", F.from_json("x", f"args array<{LOC}>, bindings array<{LOC}>").alias("r")).select("caller", "callee", "r.*")
+    return graph.whole_parts(near, _closed, EFFECT).unionByName(_by_rounds(e, t)).unionByName(nameless)
+
+
+def _by_rounds(own: DataFrame, sites: DataFrame) -> DataFrame:
+    """fixpoint by joins, semi-naive: a round rebases only what is new."""
+    s = saved(sites, "sites")
     delta = saved(own.select(*COLUMNS).distinct(), "effects")
     seen = delta
     while not delta.isEmpty():
@@ -89,6 +121,106 @@ def fixpoint(own: DataFrame, sites: DataFrame) -> DataFrame:
     return seen
 
 
+class _Moved(dict):
+    """Number of an effect as a caller sees it, by its number in the callee, at call sites of one kind; what is asked for first is worked out, as `rebased` does."""
+
+    def __init__(self, keys: list[tuple], number: dict[tuple, int], site: dict) -> None:
+        self.keys_, self.number, self.site = keys, number, site
+
+    def __missing__(self, k: int) -> int | None:
+        domain, kind, i, path, op = self.keys_[k]
+        loc = ("Unknown", "", ())
+        if kind is None:
+            self[k] = None
+            return None
+        if kind in ("Param", "FreeVar"):
+            args, n = self.site.get("args" if kind == "Param" else "bindings") or [], int(i)
+            a = (args[n] if 0 <= n < len(args) else None) or {}
+            base = a.get("path")
+            if a.get("root_kind") not in (None, "Unknown") and base is not None and path is not None and len(base) + len(path) <= MAX_DEPTH:
+                loc = (a["root_kind"], a.get("root_id"), (*base, *path))
+        elif kind == "Global":
+            loc = (kind, i, path)
+        new = (domain, *loc, op)
+        at = self[k] = self.number.setdefault(new, len(self.keys_))
+        if at == len(self.keys_):
+            self.keys_.append(new)
+        return at
+
+
+def _closed(bs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """EFFECT rows of whole parts (part, func, callee, x): functions' effects as they are, and their call sites. Effects are numbered, each function's new ones go on to its
+    callers, callees before callers as far as there is such an order."""
+    t = pa.Table.from_batches(bs).combine_chunks()
+    func, callee, x = (t.column(c).combine_chunks() for c in ("func", "callee", "x"))
+    names = pa.concat_arrays([func, callee]).dictionary_encode()
+    ids, text = names.indices.fill_null(-1).to_pylist(), x.dictionary_encode()
+    read = [json.loads(v) for v in text.dictionary.to_pylist()]
+    keys: list[tuple] = []
+    number: dict[tuple, int] = {}
+    effect: dict[int, int] = {}
+    moved: dict[int, _Moved] = {}
+    held: list[set] = [set() for _ in range(len(names.dictionary))]
+    callers: dict[int, list] = defaultdict(list)
+    calls: dict[int, list] = defaultdict(list)
+    for f, c, r in zip(ids, ids[len(func) :], text.indices.to_pylist()):
+        if c < 0:
+            if r not in effect:
+                e = read[r]
+                path = e.get("path")
+                key = (e.get("domain"), e.get("root_kind"), e.get("root_id"), None if path is None else tuple(path), e.get("op"))
+                effect[r] = number.setdefault(key, len(keys))
+                if effect[r] == len(keys):
+                    keys.append(key)
+            held[f].add(effect[r])
+        else:
+            if r not in moved:
+                moved[r] = _Moved(keys, number, read[r])
+            callers[c].append((f, moved[r]))
+            calls[f].append(c)
+    place, seen = [0] * len(held), set()
+    n = 0
+    for start in list(calls):
+        todo = [(start, False)]
+        while todo:
+            f, after = todo.pop()
+            if after:
+                place[f], n = n, n + 1
+            elif f not in seen:
+                seen.add(f)
+                todo.append((f, True))
+                todo += [(c, False) for c in calls.get(f, ()) if c not in seen]
+    at = {place[f]: f for f in seen}
+    new = {f: set(held[f]) for f in seen if held[f]}
+    waiting = [place[f] for f in new]
+    heapify(waiting)
+    while waiting:
+        f = at[heappop(waiting)]
+        delta = new.pop(f)
+        for c, m in callers.get(f, ()):
+            more = {m[k] for k in delta}
+            more.discard(None)
+            more -= held[c]
+            if more:
+                held[c] |= more
+                if c in new:
+                    new[c] |= more
+                else:
+                    new[c] = more
+                    heappush(waiting, place[c])
+    cols = [pa.array([k[i] for k in keys], f.type) for i, f in enumerate(list(_ARROW)[1:])] if keys else []
+    fs: list[int] = []
+    ks: list[int] = []
+    for f, h in enumerate(held):
+        fs += [f] * len(h)
+        ks += h
+        if len(fs) >= OUT or f == len(held) - 1 and fs:
+            i, k = pa.array(fs, pa.int32()), pa.array(ks, pa.int32())
+            for j in range(0, len(fs), OUT):
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(i[j : j + OUT]), *[c.take(k[j : j + OUT]) for c in cols]], schema=_ARROW)
+            fs, ks = [], []
+
+
 # -- blocked for ever
 
 

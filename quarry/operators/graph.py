@@ -1,7 +1,7 @@
 """Graph operators over edge tables.
 
-Reachability, components and depths never leave the executors. A graph falls into weakly connected parts, found by alternating
-stars in a number of rounds that is logarithmic in their size. Parts are independent of each other, so one with `FUSED` edges at most is
+Reachability, components and depths never leave the executors. A graph falls into weakly connected parts: edges that lie together are contracted where they
+lie, and what is left to be linked then by alternating stars, in a number of rounds that is logarithmic in its size. Parts are independent of each other, so one with `FUSED` edges at most is
 worked off where it lies, many of them in a task, by the linear algorithm; for a greater one the same rows come
 from loops of joins: each round joins only the rows that are new (the
 frontier) and what a round produced is written to the shared folder, so lineage stays short and a lost
@@ -13,7 +13,9 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +73,88 @@ def resolve_invokes(calls: DataFrame, methods: DataFrame, required: DataFrame) -
     return loose.unionByName(strict).distinct()
 
 
-def weak(edges: DataFrame) -> DataFrame:
-    """node, part (its part's smallest node) for every node of an edge (src, dst). Alternating stars: each node's greater neighbours go to its smallest one,
+def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Of the nodes 0 to n - 1 each one's component's smallest node, by edges (u, v): roots are hung on smaller neighbours, then ways are shortened."""
+    p = np.arange(n)
+    while True:
+        a, b = p[u], p[v]
+        open_ = a != b
+        if not open_.any():
+            return p
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(p, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            q = p[p]
+            if (q == p).all():
+                break
+            p = q
+
+
+def contracted(edges: DataFrame, most: int) -> DataFrame:
+    """src, dst, part: with each edge the smallest node of what the edges that lie beside it connect, `most` or somewhat more of them at a time. Rows stay where
+    they are."""
+    kind = dict(edges.dtypes)["src"]
+
+    def solved(bs: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(bs).combine_chunks()
+        src, dst = (t.column(i).combine_chunks() for i in (0, 1))
+        coded = pa.concat_arrays([src, dst]).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        ids = rank[coded.indices.to_numpy()]
+        u, v = ids[: len(src)], ids[len(src) :]
+        part = coded.dictionary.take(order.take(pa.array(roots(u, v, len(rank))[u])))
+        return pa.RecordBatch.from_arrays([src, dst, part], ["src", "dst", "part"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in it:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= most:
+                yield solved(held)
+                held, n = [], 0
+        if n:
+            yield solved(held)
+
+    return edges.select("src", "dst").where("src is not null and dst is not null").mapInArrow(run, f"src {kind}, dst {kind}, part {kind}")
+
+
+def ends(parted: DataFrame) -> DataFrame:
+    """node, part of both ends of edges (src, dst, part)."""
+    return parted.select(F.explode(F.array("src", "dst")).alias("node"), "part")
+
+
+def parted(edges: DataFrame, near: int | None = None) -> DataFrame:
+    """src, dst, part (the smallest node of their weakly connected part) of edges (src, dst). What lies together is contracted first, without a shuffle, so only nodes that
+    lie in several places are left to be linked: a few where edges come in the order of their parts, nearly all at worst. Links are contracted in one task if there
+    are no more than it holds, by alternating stars otherwise."""
+    near = FUSED if near is None else near
+    e = saved(contracted(edges, near), "near-parts")
+    several = ends(e).groupBy("node").agg(F.min("part").alias("v"), F.max("part").alias("m")).where("v <> m").select("node", "v")
+    links = saved(ends(e).join(saved(several, "in-several"), "node").where("part <> v").select(F.col("part").alias("u"), "v").distinct(), "links")
+    n = links.count()
+    if not n:
+        return e
+    if n <= near:
+        one = contracted(links.select(F.col("u").alias("src"), F.col("v").alias("dst")).repartition(1), near + 1)
+        top = ends(one).distinct()
+    else:
+        top = _starred(links)
+    return saved(e.join(saved(top, "part-roots").select(F.col("node").alias("part"), F.col("part").alias("root")), "part", "left").select("src", "dst", F.coalesce("root", "part").alias("part")), "parts")
+
+
+def weak(edges: DataFrame, near: int | None = None) -> DataFrame:
+    """node, part (its part's smallest node) for every node of an edge (src, dst)."""
+    return ends(parted(edges, near)).distinct()
+
+
+def _starred(links: DataFrame) -> DataFrame:
+    """node, part for every node of links (u, v), u <> v. Alternating stars: each node's greater neighbours go to its smallest one,
     then each node to the smallest of all; the rounds are logarithmic, and equal sums of two rounds end them."""
-    e = saved(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
-    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    e = saved(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -88,19 +167,16 @@ def weak(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    roots = e.select("v").distinct()
-    inner = e.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("part")))
-    return saved(inner.unionByName(loops.distinct().join(inner, "node", "left_anti").select("node", F.col("node").alias("part"))), "parts")
+    tops = e.select("v").distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(tops.select(F.col("v").alias("node"), F.col("v").alias("part")))
 
 
-def divided(edges: DataFrame, parts: DataFrame, fused: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(src, dst, part) of the parts of `fused` edges at most, those of the others, and whether there are such."""
-    e = edges.join(parts.withColumnRenamed("node", "src"), "src").select("src", "dst", "part")
-    big = saved(e.groupBy("part").count().where(F.col("count") > fused).select("part"), "big-parts")
+def divided(edges: DataFrame, fused: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Of edges (src, dst, part) those of the parts with `fused` edges at most, those of the others, and whether there are such."""
+    big = saved(edges.groupBy("part").count().where(F.col("count") > fused).select("part"), "big-parts")
     if big.isEmpty():
-        return e, e.where("false"), False
-    e = saved(e, "part-edges")
-    return e.join(big, "part", "left_anti"), e.join(big, "part", "left_semi"), True
+        return edges, edges.where("false"), False
+    return edges.join(big, "part", "left_anti"), edges.join(big, "part", "left_semi"), True
 
 
 def fused(rows: DataFrame, solve: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
@@ -109,11 +185,17 @@ def fused(rows: DataFrame, solve: Callable[[list[tuple]], Iterable[tuple]], sche
 
     out = _schema(schema)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(bs: list[pa.RecordBatch]) -> pa.RecordBatch:
-            got = list(solve([r for b in bs for r in zip(*[b.column(i).to_pylist() for i in range(1, b.num_columns)])]))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], f.type) for k, f in enumerate(out)], schema=out)
+    def solved(bs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(solve([r for b in bs for r in zip(*[b.column(i).to_pylist() for i in range(1, b.num_columns)])]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], f.type) for k, f in enumerate(out)], schema=out)
+
+    return whole_parts(rows, solved, schema)
+
 
+def whole_parts(rows: DataFrame, solved: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """solved over the batches of some whole parts (the first column) at a time."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in it:
             if not b.num_rows:
@@ -124,10 +206,10 @@ def fused(rows: DataFrame, solve: Callable[[list[tuple]], Iterable[tuple]], sche
                 last = b.column(0)[-1].as_py()
                 cut = next((i + 1 for i in range(b.num_rows - 1, -1, -1) if b.column(0)[i].as_py() != last), 0)
                 if cut or held[0].column(0)[0].as_py() != last and len(held) > 1 and held[-2].column(0)[-1].as_py() != last:
-                    yield solved([*held[:-1], b.slice(0, cut)] if cut else held[:-1])
+                    yield from solved([*held[:-1], b.slice(0, cut)] if cut else held[:-1])
                     held, n = [b.slice(cut)], b.num_rows - cut
         if n:
-            yield solved(held)
+            yield from solved(held)
 
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
 
@@ -151,14 +233,15 @@ def reached(rows: list[tuple]) -> Iterator[tuple]:
 
 def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None, limit: int | None = None) -> DataFrame:
     """node: everything reachable from seeds (node), seeds included."""
-    e = saved(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct(), "reach-edges")
-    s = saved(seeds.select("node").where("node is not null").distinct(), "seeds")
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null")
+    s = seeds.select("node").where("node is not null").distinct()
     if max_rounds is not None:
-        return _rounds(e, s, max_rounds)
-    parts = weak(e)
-    small, big, any_big = divided(e, parts, FUSED if limit is None else limit)
-    own = s.join(parts, "node", "left")
+        return _rounds(e.distinct(), saved(s, "seeds"), max_rounds)
+    e = parted(e)
+    small, big, any_big = divided(e, FUSED if limit is None else limit)
     kind = dict(s.dtypes)["node"]
+    every = ends(e).withColumn("seed", F.lit(False)).unionByName(s.select("node", F.lit(None).cast(kind).alias("part"), F.lit(True).alias("seed")))
+    own = saved(every.groupBy("node").agg(F.min("part").alias("part"), F.max("seed").alias("seed")).where("seed").select("node", "part"), "seeds")
     starts = own.where("part is not null").select("part", F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"))
     if any_big:
         at = saved(big.select("part").distinct(), "big-parts")
@@ -263,17 +346,36 @@ def tarjan(nodes, edges) -> dict:
     return comp
 
 
-def condensed(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """node, scc (its component's smallest node), part (its weakly connected part's)."""
-    e = saved(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "scc-edges")
-    parts = weak(e)
-    kind = dict(parts.dtypes)["node"]
-    small, big, any_big = divided(e, parts, FUSED if limit is None else limit)
-    comp = fused(small.select("part", "src", "dst"), lambda rows: tarjan(sorted({n for r in rows for n in r}), rows).items(), f"node {kind}, scc {kind}")
+def condensation(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, scc (its component's smallest node), part (its weakly connected part's)) of every node, and (src, dst, part) between different components, distinct."""
+    e = parted(edges)
+    kind = dict(e.dtypes)["src"]
+    small, big, any_big = divided(e, FUSED if limit is None else limit)
+    out = fused(small.select("part", "src", "dst", F.col("part").alias("own")), _condensed, f"node {kind}, scc {kind}, dst {kind}, part {kind}")
     if any_big:
-        comp = comp.unionByName(scc_distributed(parts.join(big.select("part").distinct(), "part", "left_semi").select("node"), saved(big.select("src", "dst"), "big-edges")))
-    every = nodes.select("node").where("node is not null").distinct().join(parts, "node", "full").join(comp, "node", "left")
-    return every.select("node", F.coalesce("scc", "node").alias("scc"), F.coalesce("part", "node").alias("part"))
+        at = saved(ends(big).distinct(), "big-nodes")
+        own = saved(scc_distributed(at.select("node"), saved(big.select("src", "dst").distinct(), "big-edges")).join(at, "node"), "big-scc")
+        far = scc_edges(own, big.select("src", "dst")).join(own.select(F.col("node").alias("src"), "part"), "src")
+        out = out.unionByName(own.withColumn("dst", F.lit(None).cast(kind))).unionByName(far.select(F.lit(None).cast(kind).alias("node"), F.col("src").alias("scc"), "dst", "part"))
+    out = saved(out, "condensed")
+    every = nodes.select("node").where("node is not null").distinct().join(out.where("dst is null").select("node", "scc", "part"), "node", "full")
+    return every.select("node", F.coalesce("scc", "node").alias("scc"), F.coalesce("part", "node").alias("part")), out.where("dst is not null").select(F.col("scc").alias("src"), "dst", "part")
+
+
+def _condensed(rows: list[tuple]) -> Iterator[tuple]:
+    """(node, scc, null, part) of nodes, (null, scc, scc called, part) of calls; rows: (src, dst, part)."""
+    part = {n: p for a, b, p in rows for n in (a, b)}
+    comp = tarjan(sorted(part), [r[:2] for r in rows])
+    for n, c in comp.items():
+        yield n, c, None, part[n]
+    for a, b in {(comp[r[0]], comp[r[1]]) for r in rows}:
+        if a != b:
+            yield None, a, b, part[a]
+
+
+def condensed(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """node, scc, part of every node; see condensation."""
+    return condensation(nodes, edges, limit)[0]
 
 
 def scc(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
@@ -330,11 +432,10 @@ def scc_sizes(components: DataFrame, edges: DataFrame) -> DataFrame:
 
 def wave_depth(components: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """scc, depth: 0 where nothing is called, else one more than the deepest component called. `edges` run from
-    caller to callee between components (scc_edges). Components that come with their part aren't parted again."""
-    nodes = saved(components.select("scc").distinct(), "dag-nodes")
-    e = saved(edges.select("src", "dst"), "dag-edges")
-    parts = components.select(F.col("scc").alias("node"), "part").distinct() if "part" in components.columns else weak(e)
-    small, big, any_big = divided(e, parts, FUSED if limit is None else limit)
+    caller to callee between components (scc_edges). Those that come with their part (condensation) aren't parted again."""
+    nodes = components.select("scc").distinct()
+    e = edges if "part" in edges.columns else parted(edges)
+    small, big, any_big = divided(e, FUSED if limit is None else limit)
     kind = dict(nodes.dtypes)["scc"]
     depth = fused(small.select("part", "src", "dst"), depths, f"scc {kind}, depth long")
     if any_big:

@@ -28,16 +28,22 @@ def func_name() -> str:
     return "CASE WHEN o_orderpriority = '2-HIGH' THEN concat('(*shop/', lower(o_orderstatus), '.Order).Get', cast(o_orderkey AS string)) ELSE concat('shop/', lower(o_orderstatus), '.Get', cast(o_orderkey AS string)) END"
 
 
-def call_edges(spark: SparkSession, d: str) -> DataFrame:
-    """caller, callee (order keys), distinct."""
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    """caller, callee (order keys), those of a customer together."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = t(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.lead("o_orderkey").over(w).alias("n"), F.lag("o_orderkey").over(w).alias("p"))
     callees = F.expr("filter(array(n, if(o_orderpriority = '1-URGENT', p, null)), x -> x is not null)")
-    return o.select(F.col("o_orderkey").alias("caller"), F.explode(callees).alias("callee")).distinct()
+    return o.select(F.col("o_orderkey").alias("caller"), F.explode(callees).alias("callee"))
+
+
+def call_edges(spark: SparkSession, d: str) -> DataFrame:
+    """caller, callee (order keys), distinct."""
+    return calls(spark, d).distinct()
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return call_edges(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    """src, dst, those of a customer together."""
+    return calls(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
 
 
 def order_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -92,8 +98,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select(F.col("user_id").alias("func"), loc.cast("long").alias("loc"), op.alias("op"), F.lit("Global").alias("root_kind"), "event_id", "ts").where("op is not null")
 
 
-def order_effects(spark: SparkSession, d: str) -> DataFrame:
-    """Effects of orders: what a line item's flag says, at a place that its line number and supplier name."""
+def line_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Effects of orders: what a line item's flag says, at a place that its line number and supplier name, as often as lines say so."""
     line = t(spark, d, "lineitem")
     return line.selectExpr(
         "cast(l_orderkey as string) as func", "'chan' as domain",
@@ -101,7 +107,11 @@ def order_effects(spark: SparkSession, d: str) -> DataFrame:
         "CASE l_linenumber % 4 WHEN 0 THEN cast(l_suppkey % 2 as string) WHEN 1 THEN cast(l_suppkey % 10 as string) WHEN 2 THEN '0' ELSE cast(l_linenumber as string) END as root_id",
         "CASE WHEN l_linenumber % 4 = 0 THEN array(cast(l_suppkey % 3 as int)) ELSE cast(array() as array<int>) END as path",
         "CASE l_returnflag WHEN 'R' THEN 'Recv' WHEN 'A' THEN 'Send' ELSE 'Close' END as op",
-    ).distinct()
+    )
+
+
+def order_effects(spark: SparkSession, d: str) -> DataFrame:
+    return line_effects(spark, d).distinct()
 
 
 def order_sites(spark: SparkSession, d: str) -> DataFrame:

@@ -37,17 +37,22 @@ def scc_keys(components: DataFrame, dag: DataFrame, hashes: DataFrame, salt: str
     with more than `limit` calls bottom up, a round per level."""
     from ..operators import graph
 
-    own = saved(components.join(hashes, "node", "left").groupBy("scc").agg(F.sort_array(F.collect_list(F.coalesce("hash", F.lit("-")))).alias("hs")), "scc-own")
-    e = saved(dag.select("src", "dst").distinct(), "scc-dag")
-    parts = components.select(F.col("scc").alias("node"), "part").distinct() if "part" in components.columns else graph.weak(e)
-    small, big, any_big = graph.divided(e, parts, graph.FUSED if limit is None else limit)
-    flat = own.join(parts.withColumnRenamed("node", "scc"), "scc", "left").select(F.coalesce("part", "scc").alias("part"), "scc", F.array_join("hs", ",").alias("hs"))
+    whole = "part" in components.columns and "part" in dag.columns
+    e = dag if whole else graph.parted(dag)
+    hs = F.sort_array(F.collect_list(F.coalesce("hash", F.lit("-")))).alias("hs")
+    own = components.join(hashes, "node", "left").groupBy("scc").agg(hs, *([F.min("part").alias("part")] if whole else []))
+    if not whole:
+        own = own.join(graph.ends(e).distinct().withColumnRenamed("node", "scc"), "scc", "left")
+    small, big, any_big = graph.divided(e, graph.FUSED if limit is None else limit)
+    if any_big:
+        own = saved(own, "scc-own")
+    flat = own.select(F.coalesce("part", "scc").alias("part"), "scc", F.array_join("hs", ",").alias("hs"))
     kind = dict(own.dtypes)["scc"]
     rows = small.select("part", F.col("src").alias("scc"), F.col("dst"), F.lit(None).cast("string").alias("hs"))
     if any_big:
         at = saved(big.select("part").distinct(), "big-parts")
-        left = own.join(parts.withColumnRenamed("node", "scc"), "scc").join(at, "part", "left_semi").select("scc", "hs")
-        far = _keys_by_rounds(saved(left, "scc-own"), saved(big.select("src", "dst"), "scc-dag"), salt)
+        left = own.join(at, "part", "left_semi").select("scc", "hs")
+        far = _keys_by_rounds(saved(left, "scc-own"), saved(big.select("src", "dst").distinct(), "scc-dag"), salt)
         flat = flat.join(at, "part", "left_anti")
     rows = rows.unionByName(flat.select("part", "scc", F.lit(None).cast(kind).alias("dst"), "hs"))
     near = graph.fused(rows, lambda rs: _keyed(rs, salt), f"scc {kind}, key string")

@@ -24,7 +24,7 @@ REPORT = ["fingerprint", "checker", "tag", "func", "file", "line", "col", "messa
 def affected(spark: SparkSession, d: str) -> DataFrame:
     """func names of orders changed since the base, and of all that call them."""
     now, base = a.versions(spark, d)
-    keys = graph.callers_closure(a.call_edges(spark, d), report.changed_functions(now, base), now)
+    keys = graph.callers_closure(a.calls(spark, d), report.changed_functions(now, base), now)
     return keys.select(F.col("func").alias("o_orderkey")).join(a.order_funcs(spark, d), "o_orderkey").select("func")
 
 
@@ -63,18 +63,17 @@ def diff_scoped_report(spark: SparkSession, d: str) -> DataFrame:
     return report.diff_scope(a.findings(spark, d), affected(spark, d), a.order_funcs(spark, d))
 
 
-def components(spark: SparkSession, d: str) -> DataFrame:
-    return saved(graph.condensed(a.order_nodes(spark, d), a.edges(spark, d)), "scc")
+def condensation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return graph.condensation(a.order_nodes(spark, d), a.edges(spark, d))
 
 
 def scc(spark: SparkSession, d: str) -> DataFrame:
-    c, e = components(spark, d), a.edges(spark, d)
+    c, e = saved(condensation(spark, d)[0], "scc"), a.edges(spark, d)
     return c.join(graph.scc_sizes(c, e), "scc").select("node", "scc", "size", "recursive")
 
 
 def wave_depth(spark: SparkSession, d: str) -> DataFrame:
-    c = components(spark, d)
-    return graph.wave_depth(c, graph.scc_edges(c, a.edges(spark, d)))
+    return graph.wave_depth(*condensation(spark, d))
 
 
 def shape(spark: SparkSession, d: str, *only: str) -> DataFrame:
@@ -160,11 +159,11 @@ def _flat(e: DataFrame) -> DataFrame:
 
 
 def effects_rebase(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(effects.rebased(a.order_effects(spark, d), a.order_sites(spark, d)))
+    return _flat(effects.rebased(a.line_effects(spark, d), a.order_sites(spark, d)))
 
 
 def effects_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(effects.fixpoint(a.order_effects(spark, d), a.order_sites(spark, d)))
+    return _flat(effects.fixpoint(a.line_effects(spark, d), a.order_sites(spark, d), a.calls(spark, d)))
 
 
 def dynamic_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -186,16 +185,15 @@ def annotation_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scc_cache_keys(spark: SparkSession, d: str) -> DataFrame:
-    c = components(spark, d)
     now, _ = a.versions(spark, d)
-    return cache.scc_keys(c, graph.scc_edges(c, a.edges(spark, d)), now.withColumnRenamed("func", "node"))
+    return cache.scc_keys(*condensation(spark, d), now.withColumnRenamed("func", "node"))
 
 
 QUERIES: dict[str, Query] = {
     "check_report": check_report,
     "scope_findings": scoped,
     "changed_functions": lambda s, d: report.changed_functions(*a.versions(s, d)),
-    "callers_closure": lambda s, d: graph.callers_closure(a.call_edges(s, d), report.changed_functions(*a.versions(s, d)), a.versions(s, d)[0]),
+    "callers_closure": lambda s, d: graph.callers_closure(a.calls(s, d), report.changed_functions(*a.versions(s, d)), a.versions(s, d)[0]),
     "diff_scoped_report": diff_scoped_report,
     "fingerprints": lambda s, d: report.fingerprinted(a.findings(s, d)).select(*REPORT, "ordinal"),
     "ignore_split": ignore_split,
@@ -207,7 +205,7 @@ QUERIES: dict[str, Query] = {
     "call_graph_resolve": lambda s, d: graph.implementers(a.brands_required(s, d), a.brands_provided(s, d)),
     "dynamic_targets": dynamic_targets,
     "scc": scc,
-    "scc_edges": lambda s, d: graph.scc_edges(components(s, d), a.edges(s, d)),
+    "scc_edges": lambda s, d: condensation(s, d)[1].select("src", "dst"),
     "wave_depth": wave_depth,
     "callgraph_dump": lambda s, d: graph.dump(a.edges(s, d)),
     "cyclic_blocks": lambda s, d: shape(s, d, "cyclic").select("func", "b", "cyclic", "reachable"),

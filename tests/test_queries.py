@@ -176,3 +176,47 @@ def test_package_keys(spark):
         cache.package_keys(p, f, spark.createDataFrame([("a", "zz")], "pkg string, dep string"), "t")
     with pytest.raises(ValueError):
         cache.package_keys(p, f, spark.createDataFrame([("a", "b"), ("b", "a")], "pkg string, dep string"), "t")
+
+
+def test_effects_of_parts_are_those_of_rounds(spark):
+    """A part is worked off where it lies, or by rounds of joins: the same rows, on recursion, missing arguments, deep paths and odd roots."""
+    import random
+
+    r = random.Random(5)
+    own, sites = [], []
+    for _ in range(90):
+        kind = r.choice(["Param", "FreeVar", "Global", "Alloc", "Unknown"])
+        own.append((r.choice([f"f{r.randrange(25)}"]), r.choice(["chan", "lock"]), kind, "" if kind == "Unknown" else str(r.randrange(3)), [r.randrange(2) for _ in range(r.randrange(3))] if kind != "Unknown" else [], r.choice(["Send", "Recv"])))
+    loc = lambda: None if r.random() < 0.1 else (r.choice(["Param", "FreeVar", "Global", "Alloc", "Unknown"]), str(r.randrange(3)), [7] * r.randrange(3))
+    for _ in range(40):
+        a = r.randrange(25)
+        sites.append((f"f{a}", f"f{min(24, max(0, a + r.randrange(-2, 3)))}", [loc() for _ in range(r.randrange(3))], None if r.random() < 0.2 else [loc() for _ in range(r.randrange(3))]))
+    x = spark.createDataFrame(own + own[:5], effects.EFFECT)
+    s = spark.createDataFrame(sites, f"caller string, callee string, args array<{effects.LOC}>, bindings array<{effects.LOC}>")
+    near, far = rows(effects.fixpoint(x, s)), rows(effects.fixpoint(x, s, limit=0))
+    assert near == far and len(near) == len(set(near)) > len(rows(x.distinct()))
+
+
+def test_effects_take_no_rounds(spark, monkeypatch):
+    """A chain of calls of any length is one pass: rounds of joins, each of them against all that was found, grow with it."""
+    monkeypatch.setattr(effects, "rebased", None)
+    x = spark.createDataFrame([("f0", "chan", "Param", "0", [], "Send")], effects.EFFECT)
+    s = spark.createDataFrame([(f"f{k + 1}", f"f{k}", [("Param", "0", [])], []) for k in range(300)], f"caller string, callee string, args array<{effects.LOC}>, bindings array<{effects.LOC}>")
+    assert effects.fixpoint(x, s).count() == 301
+
+
+def test_parts_of_edges_that_lie_apart(spark, monkeypatch):
+    """Places that each hold a few edges, links between them contracted in one task or by stars: the same parts. Where edges lie in the order of their parts no stars are needed."""
+    import random
+
+    r = random.Random(3)
+    edges = [(k, k + 1) for k in range(0, 60) if k % 10 != 9] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(30)]
+    r.shuffle(edges)
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    whole, stars = rows(graph.weak(df)), rows(graph.weak(df, near=2))
+    assert whole == stars and {p for n, p in whole if n < 60} == set(range(0, 60, 10))
+    monkeypatch.setattr(graph, "_starred", None)
+    chain = spark.range(4000).selectExpr("id - id % 20 as c", "id").selectExpr("id as src", "least(id + 1, c + 19) as dst").coalesce(1)
+    assert graph.weak(chain, near=500).select("part").distinct().count() == 200
+    names = spark.createDataFrame([("é", "z"), ("z", "a"), ("x", "y")], "src string, dst string")
+    assert set(rows(graph.weak(names))) == {("a", "a"), ("z", "a"), ("é", "a"), ("x", "x"), ("y", "x")}
