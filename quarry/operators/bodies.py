@@ -7,14 +7,17 @@ are joined to it, two levels at most.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
+from ..storage import saved
 from . import effects
 from .cfg import Graph
 from .lowering import LOCKS
@@ -251,49 +254,145 @@ def candidates(func: str, f: Body, known: dict[str, Body]) -> Iterator[tuple]:
             yield func, c, helper, kind, i["b"], i["i"], go["b"], through, v, list(arms[0][1][2]), places, let_out, cap, caps[0] if cap == "Buffered" else None, go["file"], go["line"], go["col"]
 
 
-def _schema(ddl: str) -> pa.Schema:
-    return to_arrow_schema(StructType.fromDDL(ddl))
+# -- bodies alike
+
+#: Calls of these never give nil.
+NEVER_NIL = {"flag.NewFlagSet"}
+#: What has a meaning of its own among names of functions; the names without '.' and '/' (of builtins) besides.
+FIXED = {*LOCKS, *NEVER_NIL}
+#: Characters of the texts that are held with their answers.
+HELD = 32 << 20
+_NAME = re.compile(r'"(callee|ref_name|func)":"((?:[^"\\]|\\.)*)"')
+_AT = re.compile(r',"file":"((?:[^"\\]|\\.)*)","line":(-?[0-9]+),"col":(-?[0-9]+)')
+_MARK = re.compile("\ue000([0-9]+)\ue001")
+_answers: dict[tuple, list[tuple]] = {}
+_held = 0
 
 
-def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+class At(int):
+    """The number of an instruction's position, in place of its line."""
 
 
-def _each(ddl: str, f: Callable[[str, Body], Iterator[tuple]]):
-    schema = _schema(ddl)
+def texted(df: DataFrame) -> DataFrame:
+    """func, body, the latter as text (JSON)."""
+    return df.select("func", F.to_json("body").alias("body")) if isinstance(df.schema["body"].dataType, StructType) else df.select("func", "body")
+
+
+def filled(x, kind: DataType):
+    """A value read from text, with the fields that are null there."""
+    if x is None:
+        return None
+    if isinstance(kind, StructType):
+        out = {f.name: filled(x.get(f.name), f.dataType) for f in kind}
+        if "at" in x:
+            out["line"] = At(x["at"])
+        return out
+    return [filled(v, kind.elementType) for v in x] if isinstance(kind, ArrayType) else x
+
+
+def alike(func: str, texts: list[str | None]) -> tuple[str, list[str], list[tuple]] | None:
+    """(what the texts share with those of all functions that differ from it in names and positions only, its names, its positions)."""
+    text = "\x1f".join(["null" if t is None else t for t in texts])
+    if "\ue000" in text:
+        return None
+    number: dict[str, int] = {json.dumps(func, ensure_ascii=False)[1:-1]: 0}
+    places: list[tuple] = []
+
+    def name(m: re.Match) -> str:
+        raw = m[2]
+        if raw in FIXED or "." not in raw and "/" not in raw:
+            return m[0]
+        return f'"{m[1]}":"\ue000{number.setdefault(raw, len(number))}\ue001"'
+
+    def at(m: re.Match) -> str:
+        places.append(m.groups())
+        return f',"at":{len(places) - 1}'
+
+    return _AT.sub(at, _NAME.sub(name, text)), list(number), places
+
+
+def answers(what: tuple | None, func: str, texts: list[str | None], kinds: list[DataType], ask: Callable[..., Iterator[tuple]], place: int | None = None) -> list[tuple]:
+    """The rows of ask(func, *values), values being the texts read. Functions whose texts are alike are asked about once in a worker: names and positions (file, line and
+    column, from the field `place` of a row on) are put in for others. what: which question this is, None for one that goes by names."""
+    global _held
+    same = alike(func, texts) if what is not None and func is not None else None
+    if same is None:
+        return list(ask(func, *[None if t is None else filled(json.loads(t), k) for t, k in zip(texts, kinds)]))
+    key, names, places = same
+    rows = _answers.get((what, key))
+    if rows is None:
+        rows = list(ask("\ue0000\ue001", *[filled(json.loads(t), k) for t, k in zip(key.split("\x1f"), kinds)]))
+        if _held > HELD:
+            _answers.clear()
+            _held = 0
+        _answers[what, key] = rows
+        _held += len(key)
+    if not rows:
+        return rows
+    real = [func, *[json.loads(f'"{n}"') for n in names[1:]]]
+    put = lambda m: real[int(m[1])]
+    out = []
+    for r in rows:
+        new = [_named(v, put) for v in r]
+        if place is not None and type(new[place + 1]) is At:
+            file, line, col = places[new[place + 1]]
+            new[place : place + 3] = json.loads(f'"{file}"'), int(line), int(col)
+        out.append(tuple(new))
+    return out
+
+
+def _named(v, put: Callable[[re.Match], str]):
+    if isinstance(v, str):
+        return _MARK.sub(put, v) if "\ue000" in v else v
+    if isinstance(v, list):
+        return [_named(x, put) for x in v]
+    return {k: _named(x, put) for k, x in v.items()} if isinstance(v, dict) else v
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def _each(ddl: str, f: Callable[[str, Body], Iterator[tuple]], kind: DataType):
+    schema, what = _schema(ddl), (ddl,)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield _batch(schema, [r for x in b.to_pylist() for r in f(x["func"], Body(x["body"]))])
+            got = [r for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in answers(what, n, [x], [kind], lambda n, x: f(n, Body(x)))]
+            yield columns(schema, got)
 
     return run
 
 
+def columns(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def _place(loc: tuple) -> dict:
     return {"root_kind": loc[0], "root_id": loc[1], "path": list(loc[2])}
 
 
 def own_effects(df: DataFrame) -> DataFrame:
     """Effect rows of the bodies themselves."""
-    return df.mapInArrow(_each(OWN, lambda n, b: ((n, d, at[0], at[1], list(at[2]), op) for d, at, op in b.own())), OWN).distinct()
+    own = _each(OWN, lambda n, b: ((n, d, at[0], at[1], list(at[2]), op) for d, at, op in b.own()), df.schema["body"].dataType)
+    return texted(df).mapInArrow(own, OWN).distinct()
 
 
 def call_sites(df: DataFrame) -> DataFrame:
     """Static call sites; args is null where nothing is to be passed on."""
-    return df.mapInArrow(_each(SITES, lambda n, b: ((n, c, None if a is None else list(map(_place, a)), None if a is None else list(map(_place, k))) for c, a, k in b.sites())), SITES)
+    sites = _each(SITES, lambda n, b: ((n, c, None if a is None else list(map(_place, a)), None if a is None else list(map(_place, k))) for c, a, k in b.sites()), df.schema["body"].dataType)
+    return texted(df).mapInArrow(sites, SITES)
 
 
 def summaries(df: DataFrame, funcs: DataFrame, call_edges: DataFrame) -> DataFrame:
     """Effects of every function: own ones, those of static callees through their arguments, and those of what only the
     call graph knows, at unknown places. A function without a body may do anything."""
-    from ..storage import saved
-
     sites = saved(call_sites(df), "call-sites")
     more = effects.unplaced(call_edges, sites)
     names = funcs.select("func").unionByName(call_edges.select(F.col("callee").alias("func"))).unionByName(sites.select(F.col("callee").alias("func"))).distinct()
     none = names.join(df.select("func"), "func", "left_anti")
     own = effects.join(own_effects(df), effects.top(none))
-    return effects.fixpoint(own, sites.where("args is not null").unionByName(more))
+    return saved(effects.fixpoint(own, sites.where("args is not null").unionByName(more)), "summaries")
 
 
 def leak_candidates(df: DataFrame) -> DataFrame:
@@ -302,23 +401,24 @@ def leak_candidates(df: DataFrame) -> DataFrame:
     spawned = go.where("op = 'Go'").select("func", "callee")
     called = spawned.join(go.where("op <> 'Go'").select(F.col("func").alias("callee"), F.col("callee").alias("h")), "callee").select("func", F.col("h").alias("callee"))
     needed = spawned.unionByName(called).distinct().join(df.select(F.col("func").alias("callee"), F.col("body").alias("other")), "callee")
-    per = needed.groupBy("func").agg(F.collect_list(F.struct("callee", "other")).alias("others"))
-    schema = _schema(CANDIDATES)
+    per = needed.groupBy("func").agg(F.to_json(F.sort_array(F.collect_list(F.struct("callee", "other")))).alias("others"))
+    schema, body = _schema(CANDIDATES), df.schema["body"].dataType
+    kinds = [body, ArrayType(StructType().add("callee", "string").add("other", body))]
+
+    def ask(func: str, x: dict, others: list[dict]) -> Iterator[tuple]:
+        return candidates(func, Body(x), {o["callee"]: Body(o["other"]) for o in others})
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows: list[tuple] = []
-            for x in b.to_pylist():
-                rows += candidates(x["func"], Body(x["body"]), {o["callee"]: Body(o["other"]) for o in x["others"]})
-            yield _batch(schema, rows)
+            yield columns(schema, [r for func, *texts in zip(*[b.column(i).to_pylist() for i in range(3)]) for r in answers((CANDIDATES,), func, texts, kinds, ask, schema.names.index("file"))])
 
-    return df.join(per, "func").mapInArrow(run, CANDIDATES)
+    return texted(df).join(per, "func").mapInArrow(run, CANDIDATES)
 
 
 def leaks(df: DataFrame, summary: DataFrame) -> DataFrame:
     """Candidates that don't escape, have no counterpart in their spawner's effects and no capacity that can't be judged."""
     key = ["spawner", "callee", "helper", "op_block", "op_instr", "go_block", "call_block"]
-    c = leak_candidates(df).where("not escapes and capacity <> 'Silent'").withColumn("id", F.xxhash64(*key))
+    c = saved(leak_candidates(df).where("not escapes and capacity <> 'Silent'").withColumn("id", F.xxhash64(*key)), "leak-candidates")
     loc = F.struct("root_kind", "root_id", "path").alias("loc")
     env = summary.where("domain = 'chan'").select("func", loc, "op", "root_kind")
     arms = c.select(F.col("spawner").alias("func"), "id", F.col("kind").alias("ckind"), F.explode("arms").alias("a")).select("func", "id", "ckind", "a.kind", F.struct("a.root_kind", "a.root_id", "a.path").alias("loc"))

@@ -15,6 +15,10 @@ from ..storage import saved
 from . import adapters as a
 
 
+#: Parts of which a task makes the functions.
+PARTS = 20_000
+
+
 class Sql(str):
     """An expression over k (the part's key) and size."""
 
@@ -161,7 +165,11 @@ def _template(name: str, all_: list[Group], only: tuple[int, ...]) -> tuple[list
 def facts(spark: SparkSession, d: str, only: tuple[int, ...] = tuple(range(10))) -> dict[str, DataFrame]:
     """The fact tables of the program, or of some of its groups: each is the parts with the template's rows, some hundred at most."""
     all_ = groups()
-    part = a.t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), (F.col("p_partkey") % len(all_)).cast("int").alias("g")).where(F.col("g").isin(*only))
+    part = a.t(spark, d, "part")
+    tasks = 1 + part.count() // PARTS
+    part = part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), (F.col("p_partkey") % len(all_)).cast("int").alias("g")).where(F.col("g").isin(*only))
+    if tasks > 1:  # a row becomes dozens: the few tasks that read so small a table would make the whole program
+        part = part.repartition(tasks, "k")
     out = {}
     for name in all_[0].t:
         rows, ddl, codes = _template(name, all_, only)

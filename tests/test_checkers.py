@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.operators import bodies, checkers
 from quarry.schema import rows as make
@@ -70,3 +71,22 @@ def test_findings(found):
 def test_messages(found):
     assert found["PassNil", "nil-deref"].message == "call to DerefParam violates its nil-deref requirement"
     assert found["DivZero", "div-zero"].message == "division by zero in DivZero" and found["MadeSlice", "bounds"].line == 2
+
+
+def test_functions_alike_are_asked_about_once(spark, monkeypatch):
+    """Functions that differ in names and positions only: one is encoded, and each gets its own names and positions; one with other numbers, or a name that means something, is another."""
+    asked = []
+    monkeypatch.setattr(bodies, "_answers", {})
+    kind = StructType.fromDDL("instr array<struct<op: string, callee: string, file: string, line: int, col: int>>")
+
+    def ask(func, x):
+        asked.append(func)
+        i = x["instr"][0]
+        yield func, f"call to {i['callee']} in {func}", i["file"], i["line"], i["col"]
+
+    text = lambda callee, line, col="3": '{"instr":[{"op":"Call","callee":"%s","file":"a\\"b.go","line":%d,"col":%s}]}' % (callee, line, col)
+    got = [bodies.answers(("q",), f, [t], [kind], ask, 2)[0] for f, t in (("m/é1", text("m/g1", 7)), ("m/é2", text("m/g2", 9)), ("m/g3", text("m/g3", 9)), ("m/f", text("flag.NewFlagSet", 1)), ("m/f", text("close", 1)))]
+    assert got[:2] == [("m/é1", "call to m/g1 in m/é1", 'a"b.go', 7, 3), ("m/é2", "call to m/g2 in m/é2", 'a"b.go', 9, 3)]
+    assert got[2][1] == "call to m/g3 in m/g3" and got[3][1:] == ("call to flag.NewFlagSet in m/f", 'a"b.go', 1, 3) and got[4][1] == "call to close in m/f"
+    assert len(asked) == 4
+    assert bodies.answers(None, "m/f", [text("m/g1", 7)], [kind], ask, 2) == [("m/f", "call to m/g1 in m/f", 'a"b.go', 7, 3)] and asked[-1] == "m/f"
