@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import saved
+from ..storage import light, saved
 
 #: Edges of a weakly connected part that a task holds: about 200 MB of Python objects.
 FUSED = 500_000
@@ -53,12 +53,13 @@ def implementers(required: DataFrame, provided: DataFrame) -> DataFrame:
     """iface, impl: relational division. required has (iface, m), provided (impl, m), m being a method's name and signature.
     Candidates of an interface are the types that have its rarest method, so one that nearly every type has is never joined on alone; then the rest is
     counted. An interface without methods is not in the result: everything implements it."""
-    req, have = required.select("iface", "m").distinct(), provided.select("impl", "m").distinct()
-    often = have.groupBy("m").agg(F.count(F.lit(1)).alias("often"))
-    rarest = req.join(often, "m", "left").groupBy("iface").agg(F.min_by("m", F.struct(F.coalesce("often", F.lit(0)), "m")).alias("m"), F.count(F.lit(1)).alias("need"))
-    some = rarest.join(have, "m").select("iface", "impl", "need")
-    found = some.join(req, "iface").join(have, ["impl", "m"]).groupBy("iface", "impl", "need").agg(F.count(F.lit(1)).alias("have"))
-    return found.where("have = need").select("iface", "impl")
+    req, have = light(required.select("iface", "m").distinct(), "required"), provided.select("impl", "m").distinct()
+    often = have.join(req.select("m").distinct(), "m", "left_semi").groupBy("m").agg(F.count(F.lit(1)).alias("often"))
+    rarest = light(req.join(often, "m", "left").groupBy("iface").agg(F.min_by("m", F.struct(F.coalesce("often", F.lit(0)), "m")).alias("m"), F.count(F.lit(1)).alias("need")), "rarest")
+    some = have.join(rarest, "m").select("iface", "impl", "need")
+    rest = light(req.join(rarest.select("iface", F.col("m").alias("rarest")), "iface").where("m <> rarest").select("iface", "m"), "required")
+    found = some.where("need > 1").join(rest, "iface").join(have, ["impl", "m"]).groupBy("iface", "impl", "need").agg(F.count(F.lit(1)).alias("have"))
+    return found.where("have = need - 1").select("iface", "impl").unionByName(some.where("need = 1").select("iface", "impl"))
 
 
 def resolve_invokes(calls: DataFrame, methods: DataFrame, required: DataFrame) -> DataFrame:

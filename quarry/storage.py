@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
@@ -21,6 +22,17 @@ def shared(spark: SparkSession) -> str:
     return at.rstrip("/") if "://" in at or at.startswith("hdfs:") else "file://" + at.rstrip("/")
 
 
+#: Bytes of values of a side that is broadcast.
+LIGHT = 16 << 20
+
+
+def light(df: DataFrame, name: str = "t") -> DataFrame:
+    """saved, and broadcast to what it is joined with if its values, as text, are LIGHT bytes at most."""
+    df = saved(df, name)
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= LIGHT else df
+
+
 def saved(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df's rows to the shared folder and reads them back: lineage ends there."""
     path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

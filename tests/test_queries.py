@@ -220,3 +220,27 @@ def test_parts_of_edges_that_lie_apart(spark, monkeypatch):
     assert graph.weak(chain, near=500).select("part").distinct().count() == 200
     names = spark.createDataFrame([("é", "z"), ("z", "a"), ("x", "y")], "src string, dst string")
     assert set(rows(graph.weak(names))) == {("a", "a"), ("z", "a"), ("é", "a"), ("x", "x"), ("y", "x")}
+
+
+def plan_of(spark, df_of):
+    """The plan where nothing is broadcast by an estimate."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df_of()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_few_methods_are_not_joined_on_alone(spark, monkeypatch):
+    """A method that very many types have is never the key of a shuffle of them, as long as what is required is small; where it isn't, the same rows."""
+    required = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, "a"), (3, "z"), (4, None), (4, "a"), (5, "c"), (5, "b"), (5, "a")], "iface int, m string")
+    provided = spark.createDataFrame([(i, m) for i in range(40) for m in "abc" if (i + ord(m)) % 3 or i % 5 == 0], "impl int, m string")
+    have = {i: {m for m in "abc" if (i + ord(m)) % 3 or i % 5 == 0} for i in range(40)}
+    want = sorted((f, i) for f, ms in ((1, "ab"), (2, "b"), (5, "abc")) for i in have if set(ms) <= have[i])
+    of = lambda: graph.implementers(required, provided)
+    assert sorted(rows(of(), "iface", "impl")) == want
+    plan = plan_of(spark, of)
+    assert "BroadcastHashJoin [m#" in plan and "SortMergeJoin [m#" not in plan
+    monkeypatch.setattr("quarry.storage.LIGHT", -1)
+    assert sorted(rows(of(), "iface", "impl")) == want
