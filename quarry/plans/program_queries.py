@@ -165,7 +165,8 @@ def package_types(spark: SparkSession, d: str) -> DataFrame:
         row(4, f"concat('*', {node})", "Pointer", 2), row(5, f"concat('func of ', {node})", "Signature", params="array(4, 1)", results="array(2)"), row(6, "concat('[', size, ']int')", "Array", 1, "size"), row(7, "'*none'", "Pointer", 99),
     ]
     cast = ", ".join(f"cast({x} as {t})" for x in rows)
-    return a.t(spark, d, "part").selectExpr("concat('p', p_partkey) as import_path", "p_size as size").select("import_path", F.explode(F.expr(f"array({cast})")).alias("r")).select("import_path", "r.*")
+    part = programs.spread(a.t(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    return part.selectExpr("concat('p', p_partkey) as import_path", "p_size as size").select("import_path", F.explode(F.expr(f"array({cast})")).alias("r")).select("import_path", "r.*")
 
 
 def global_types(spark: SparkSession, d: str) -> DataFrame:

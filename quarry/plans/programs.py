@@ -162,14 +162,16 @@ def _template(name: str, all_: list[Group], only: tuple[int, ...]) -> tuple[list
     return rows, "g int, " + ", ".join(f"{c} {k}" for c, k in fields) + ", code string", sorted(codes - {"0"})
 
 
+def spread(part: DataFrame, key: str) -> DataFrame:
+    """Parts over tasks: a row becomes dozens, and the few tasks that read so small a table would make them all."""
+    tasks = 1 + part.count() // PARTS
+    return part.repartition(tasks, key) if tasks > 1 else part
+
+
 def facts(spark: SparkSession, d: str, only: tuple[int, ...] = tuple(range(10))) -> dict[str, DataFrame]:
     """The fact tables of the program, or of some of its groups: each is the parts with the template's rows, some hundred at most."""
     all_ = groups()
-    part = a.t(spark, d, "part")
-    tasks = 1 + part.count() // PARTS
-    part = part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), (F.col("p_partkey") % len(all_)).cast("int").alias("g")).where(F.col("g").isin(*only))
-    if tasks > 1:  # a row becomes dozens: the few tasks that read so small a table would make the whole program
-        part = part.repartition(tasks, "k")
+    part = spread(a.t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), (F.col("p_partkey") % len(all_)).cast("int").alias("g")), "k").where(F.col("g").isin(*only))
     out = {}
     for name in all_[0].t:
         rows, ddl, codes = _template(name, all_, only)

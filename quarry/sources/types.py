@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import light
+
 UNKNOWN = "?"
 #: Nesting beyond this is unknown.
 DEPTH = 200
@@ -20,12 +22,14 @@ DEPTH = 200
 def imported(types: DataFrame) -> DataFrame:
     """repr, kind, name, elem, key, array_len, chan_dir, fields, params, results, variadic, with texts in place of numbers; types: the fact table, with
     import_path. A reference to what the package doesn't have is unknown."""
+    first = types.groupBy("repr").agg(F.min(F.struct("import_path", "type_id")).alias("_f")).select("_f.*")  # merged before they move: every package has an int
+    first = light(first, "first-types")
+    types = types.join(first.select("import_path").distinct(), "import_path", "left_semi")  # of other packages no table is needed
     ids = types.groupBy("import_path").agg(F.map_from_entries(F.collect_set(F.struct("type_id", "repr"))).alias("_m"))
     ref = lambda c: F.when(F.coalesce(c, F.lit(0)) != 0, F.coalesce(F.try_element_at("_m", c), F.lit(UNKNOWN)))
     many = lambda c: F.transform(c, lambda x: F.coalesce(ref(x), F.lit(UNKNOWN))).alias(c)
     fields = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), F.coalesce(ref(f["type"]), F.lit(UNKNOWN)).alias("type"), f["embedded"].alias("embedded"))).alias("fields")
-    one = types.groupBy("repr").agg(F.min(F.struct("import_path", "type_id")).alias("_f")).select("_f.*")  # merged before they move: every package has an int
-    one = types.join(one, ["import_path", "type_id"], "left_semi").join(ids, "import_path")
+    one = types.join(first, ["import_path", "type_id"], "left_semi").join(ids, "import_path")
     return one.select("repr", "kind", "name", ref(F.col("elem")).alias("elem"), ref(F.col("key")).alias("key"), "array_len", "chan_dir", fields, many("params"), many("results"), "variadic")
 
 

@@ -244,3 +244,14 @@ def test_few_methods_are_not_joined_on_alone(spark, monkeypatch):
     assert "BroadcastHashJoin [m#" in plan and "SortMergeJoin [m#" not in plan
     monkeypatch.setattr("quarry.storage.LIGHT", -1)
     assert sorted(rows(of(), "iface", "impl")) == want
+
+
+def test_tables_of_packages_that_give_nothing_are_not_made(spark):
+    """Where packages describe the same types, only those that a type is taken from are grouped: what is taken is held against the table, not the other way round."""
+    from quarry.plans import program_queries
+    from quarry.sources import types
+
+    plan = plan_of(spark, lambda: types.imported(program_queries.package_types(spark, SMALL)))
+    assert plan.count("BroadcastHashJoin [import_path") == 3 and plan.count("SortMergeJoin") == 1
+    part = spark.range(50_000).withColumnRenamed("id", "k")
+    assert program_queries.programs.spread(part.coalesce(1), "k").rdd.getNumPartitions() == 3
